@@ -17,25 +17,18 @@ def leading_number(c: Column) -> Column:
     return F.regexp_extract(c, NUMBER_PREFIX, 1).try_cast("double")
 
 
-def _count(c: Column, ch: str) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
-
-
 def unify_separators(c: Column) -> Column:
     """Rewrite mixed thousands/decimal separators so that '.' is the decimal."""
-    commas, dots = _count(c, ","), _count(c, ".")
     without_commas = F.replace(c, F.lit(","), F.lit(""))
     without_dots = F.replace(c, F.lit("."), F.lit(""))
-    comma_is_last = F.locate(",", F.reverse(c)) < F.locate(".", F.reverse(c))
-    comma_as_dot = F.translate(c, ",", ".")
     return (
-        F.when((commas > 0) & (dots > 0),
-               F.when(comma_is_last, F.translate(without_dots, ",", ".")).otherwise(without_commas))
-        .when(commas > 0,
-              # one comma among the last three characters is a decimal comma
-              F.when((commas == 1) & (F.locate(",", c) > F.length(c) - 3), comma_as_dot)
-              .otherwise(without_commas))
-        .when(dots > 1, without_dots)
+        # both, comma last: European text
+        F.when(c.rlike(r"\..*,[^.]*$"), F.translate(without_dots, ",", "."))
+        # one comma among the last three characters: a decimal comma
+        .when(c.rlike(r"^[^,.]*,[^,.]{0,2}$"), F.translate(c, ",", "."))
+        .when(F.contains(c, F.lit(",")), without_commas)
+        # several dots: thousands
+        .when(c.rlike(r"\..*\."), without_dots)
         .otherwise(c)
     )
 
@@ -59,7 +52,7 @@ def with_price(df: DataFrame, price: str, out: str, mode: str = "corrected") ->
     else:
         df = df.withColumn("_price_number", F.regexp_extract(text, SUFFIXED, 1))
         scale = F.when(F.regexp_extract(text, SUFFIXED, 2) == "M", F.lit(1000000.0)).otherwise(F.lit(1000.0))
-        single = _count(number, ",") + _count(number, ".") == 1
+        single = number.rlike(r"^\d*[.,]\d*$")
         scaled = F.when(single, F.translate(number, ",", ".")).otherwise(unify_separators(number))
         value = F.when(number != "", leading_number(scaled) * scale).otherwise(plain)
     return df.withColumn(out, value).drop("_price_text", "_price_bare", "_price_number")

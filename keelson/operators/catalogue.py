@@ -119,13 +119,17 @@ def filter_price(df: DataFrame, price: str, low: float | None, high: float | Non
                  mode: str = "corrected", out: str = "price") -> DataFrame:
     """Add the parsed price; with a bound set keep only readable prices inside the bounds."""
     df = with_price(df, price, out, mode)
-    if low or high:
-        df = df.filter(F.col(out).isNotNull())
-        if low:
-            df = df.filter(F.col(out) >= low)
-        if high:
-            df = df.filter(F.col(out) <= high)
-    return df
+    if not low and not high:
+        return df
+
+    def inside(p):
+        ok = p.isNotNull()
+        ok = ok & (p >= low) if low else ok
+        return ok & (p <= high) if high else ok
+
+    # one reference to the price: the optimizer moves the filter below the parsing
+    # steps and would repeat them for every mention
+    return df.filter(F.exists(F.array(out), inside))
 
 
 def filter_cabins(df: DataFrame, cabins: str, low: int | None, high: int | None) -> DataFrame:

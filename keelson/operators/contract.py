@@ -9,11 +9,36 @@ from pyspark.sql import types as T
 from ..functions import vocab as V
 from ..functions.text import cap, clean, strip
 from ..functions.urls import with_canonical
-from ..schemas import REPORT, SCREENING
+from ..plans.ordering import first_per_key, top_k
+from ..schemas import ADVERSE_ITEM, REPORT, SCREENING, VESSEL
 
 LONGEST_TEXT, LONGEST_LIST = 2000, 100
 
 
+def rebuild(c: Column, kind: T.StructType, changes: dict[str, Column], prefix: str = "") -> Column:
+    """Struct ``c`` with the fields at the given dotted paths replaced.
+
+    Built in one go: a chain of nested ``withField`` calls would repeat the whole
+    previous expression at every step.
+    """
+    fields = []
+    for field in kind.fields:
+        path = prefix + field.name
+        if path in changes:
+            value = changes[path]
+        elif any(p.startswith(path + ".") for p in changes):
+            value = rebuild(c[field.name], field.dataType, changes, path + ".")
+        else:
+            value = c[field.name]
+        fields.append(value.alias(field.name))
+    return F.struct(*fields)
+
+
+def update(df: DataFrame, changes: dict[str, Column], report: str = "report") -> DataFrame:
+    """Replace fields of the report column."""
+    return df.withColumn(report, rebuild(F.col(report), df.schema[report].dataType, changes))
+
+
 def recover_json(reply: Column) -> Column:
     """JSON object inside a captured reply: code fences removed, first ``{`` to last ``}``;
     null when that is not a valid object."""
@@ -32,13 +57,21 @@ def _default(kind: T.DataType, c: Column) -> Column:
                            lambda x: _default(kind.elementType, x))
     if isinstance(kind, T.StringType):
         return cap(clean(c), LONGEST_TEXT)
-    return F.coalesce(c, F.lit(0).cast(kind))
+    # the only number of the contract is a 0-100 score
+    return F.least(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)), F.lit(100.0)).cast(kind)
+
+
+def _reading(kind: T.DataType) -> T.DataType:
+    """The contract as it is read: numbers of any size or precision."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _reading(f.dataType)) for f in kind.fields])
+    return T.DoubleType() if isinstance(kind, T.IntegerType) else kind
 
 
 def project(df: DataFrame, text: str, out: str = "report") -> DataFrame:
     """Parse a report JSON and keep exactly the contract: unknown keys dropped, missing ones
-    defaulted, texts and lists bounded."""
-    df = df.withColumn("_parsed", F.from_json(F.col(text), REPORT))
+    defaulted, texts and lists bounded, the score an integer from 0 to 100."""
+    df = df.withColumn("_parsed", F.from_json(F.col(text), _reading(REPORT)))
     return df.withColumn(out, _default(REPORT, F.col("_parsed"))).drop("_parsed")
 
 
@@ -53,14 +86,12 @@ def allowed(c: Column, values, fallback: str) -> Column:
 
 
 def coerce(df: DataFrame, report: str = "report") -> DataFrame:
-    """Enum values outside their set fall back; the score is an integer from 0 to 100."""
+    """Enum values outside their set fall back to their default."""
     c = F.col(report)
-    out = c
-    for path, (values, fallback) in V.REPORT_ENUMS.items():
-        out = out.withField(".".join(path), allowed(_get(c, path), values, fallback))
-    score = F.least(F.greatest(_get(c, ("identity_resolution", "confidence_score")).cast("int"),
-                               F.lit(0)), F.lit(100))
-    return df.withColumn(report, out.withField("identity_resolution.confidence_score", score.cast("double")))
+    changes = {
+        ".".join(path): allowed(_get(c, path), values, fallback)
+        for path, (values, fallback) in V.REPORT_ENUMS.items()}
+    return update(df, changes, report)
 
 
 def tidy_lists(df: DataFrame, report: str = "report") -> DataFrame:
@@ -89,11 +120,9 @@ def tidy_lists(df: DataFrame, report: str = "report") -> DataFrame:
     summary = F.transform(
         F.filter(F.slice(c["kyc_assessment"]["executive_summary"], 1, 8), lambda s: clean(s) != ""),
         lambda s: cap(strip(s), 600))
-    return df.withColumn(
-        report,
-        c.withField("identity_resolution.matched_persons", persons).withField("adverse_media", adverse)
-        .withField("maritime_screening.assets", assets)
-        .withField("kyc_assessment.executive_summary", summary))
+    return update(df, {
+        "identity_resolution.matched_persons": persons, "adverse_media": adverse,
+        "maritime_screening.assets": assets, "kyc_assessment.executive_summary": summary}, report)
 
 
 # --- grounding --------------------------------------------------------------------
@@ -156,23 +185,25 @@ def ground(reports: DataFrame, docs: DataFrame, report: str = "report", key: str
     sources = backed(c["sources"], "source", lambda x, m: F.struct(
         m["type"].alias("type"), m["url"].alias("url"), cap(clean(x["note"]), 500).alias("note")))
     adverse = backed(c["adverse_media"], "adverse",
-                     lambda x, m: x.withField("source_url", m["url"]))
+                     lambda x, m: rebuild(x, ADVERSE_ITEM, {"source_url": m["url"]}))
     assets = backed(c["maritime_screening"]["assets"], "asset",
-                    lambda x, m: x.withField("source_url", m["url"]))
-    df = df.withColumn("_sources", sources).withColumn("_urls", F.col("_sources.url"))
+                    lambda x, m: rebuild(x, VESSEL, {"source_url": m["url"]}))
+    df = df.withColumns({"_sources": sources, "_adverse": adverse, "_assets": assets})
+    df = df.withColumn("_urls", F.col("_sources.url"))
     first = F.filter(
         F.transform("_sources", lambda x, i: F.when(F.array_position("_urls", x["url"]) == i + 1, x)),
         lambda x: x.isNotNull())
-    out = c.withField("sources", F.slice(first, 1, 5)).withField("adverse_media", adverse)
     status = c["maritime_screening"]["status"]
-    out = out.withField("maritime_screening", F.struct(
-        F.when((F.size(assets) == 0) & (status == "confirmed_link"), "non_determinable")
-        .otherwise(status).alias("status"), assets.alias("assets")))
+    changes = {
+        "sources": F.slice(first, 1, 5), "adverse_media": F.col("_adverse"),
+        "maritime_screening.status": F.when(
+            (F.size("_assets") == 0) & (status == "confirmed_link"), "non_determinable").otherwise(status),
+        "maritime_screening.assets": F.col("_assets")}
     for kind, path in URL_LISTS.items():
-        out = out.withField(path, backed(_get(c, tuple(path.split("."))), kind, lambda x, m: m["url"]))
+        changes[path] = backed(_get(c, tuple(path.split("."))), kind, lambda x, m: m["url"])
     for kind, path in SINGLE_URLS.items():
-        out = out.withField(path, F.coalesce(match(kind, F.lit(0))["url"], F.lit("")))
-    return df.withColumn(report, out).drop("_kept", "_sources", "_urls")
+        changes[path] = F.coalesce(match(kind, F.lit(0))["url"], F.lit(""))
+    return update(df, changes, report).drop("_kept", "_sources", "_urls", "_adverse", "_assets")
 
 
 # --- prudence ----------------------------------------------------------------------
@@ -202,16 +233,15 @@ def enforce_screening(df: DataFrame, report: str = "report") -> DataFrame:
         "watchlists": typed("sanctions_db", "pep_db"),
         "offshore_leaks": F.exists(sources, lambda s: s["url"].rlike(host)),
     }
-    parts = []
+    changes = {}
     for name, backed in needed.items():
         old = c["risk_screening"][name]
         new = screening_rule(old["status"], backed, identity)
         dropped = (new == "not_enough_data") & (old["status"] != "not_enough_data")
-        parts.append(F.struct(
-            new.alias("status"),
-            F.when(dropped, F.array().cast(SCREENING["details"].dataType)).otherwise(old["details"])
-            .alias("details")).alias(name))
-    return df.withColumn(report, c.withField("risk_screening", F.struct(*parts)))
+        changes[f"risk_screening.{name}.status"] = new
+        changes[f"risk_screening.{name}.details"] = F.when(
+            dropped, F.array().cast(SCREENING["details"].dataType)).otherwise(old["details"])
+    return update(df, changes, report)
 
 
 def reconcile(identity: Column, risk: Column, review: Column, all_clear: Column) -> tuple[Column, Column]:
@@ -226,19 +256,36 @@ def reconcile(identity: Column, risk: Column, review: Column, all_clear: Column)
     return risk2, F.when(risk2 == "high", "enhanced_due_diligence").otherwise(review2)
 
 
-def blank_report(query: Column, reason: Column) -> Column:
-    """Report without findings for a query struct."""
-    null = F.from_json(F.lit("{}"), REPORT)
-    out = _default(REPORT, null)
-    for path, (_, fallback) in V.REPORT_ENUMS.items():
-        out = out.withField(".".join(path), F.lit(fallback))
-    missing = F.array_compact(F.array(*[
+def _blank(kind: T.StructType, values: dict[str, Column], prefix: str = "") -> Column:
+    """Empty struct of the contract with the given paths filled."""
+    fields = []
+    for field in kind.fields:
+        path = prefix + field.name
+        if path in values:
+            value = values[path]
+        elif isinstance(field.dataType, T.StructType):
+            value = _blank(field.dataType, values, path + ".")
+        elif isinstance(field.dataType, T.ArrayType):
+            value = F.array().cast(field.dataType)
+        else:
+            value = F.lit("" if isinstance(field.dataType, T.StringType) else 0).cast(field.dataType)
+        fields.append(value.alias(field.name))
+    return F.struct(*fields)
+
+
+def blank_report(query: Column, reason: Column, changes: dict[str, Column] | None = None) -> Column:
+    """Report without findings for a query struct, optionally with some paths filled."""
+    values = {".".join(path): F.lit(fallback) for path, (_, fallback) in V.REPORT_ENUMS.items()}
+    names = REPORT["query_input"].dataType.names
+    values["query_input"] = F.struct(*[clean(query[n]).alias(n) for n in names])
+    values["kyc_assessment.key_reasons"] = F.when(
+        reason != "", F.array(cap(reason, 500))).otherwise(F.array().cast("array<string>"))
+    values["kyc_assessment.missing_critical_items"] = F.array_compact(F.array(*[
         F.when(clean(query[n]) == "", F.lit(n)) for n in ("full_name", "email")]))
-    return (
-        out.withField("query_input", F.struct(*[clean(query[n]).alias(n) for n in REPORT["query_input"].dataType.names]))
-        .withField("kyc_assessment.key_reasons", F.when(
-            reason != "", F.array(cap(reason, 500))).otherwise(F.array().cast("array<string>")))
-        .withField("kyc_assessment.missing_critical_items", missing))
+    for path, value in (changes or {}).items():
+        values = {p: v for p, v in values.items() if not p.startswith(path + ".")}
+        values[path] = value
+    return _blank(REPORT, values)
 
 
 def settle(df: DataFrame, report: str = "report") -> DataFrame:
@@ -251,8 +298,8 @@ def settle(df: DataFrame, report: str = "report") -> DataFrame:
     risk, review = reconcile(
         c["identity_resolution"]["status"], c["kyc_assessment"]["overall_risk"],
         c["kyc_assessment"]["recommended_review"], all_clear)
-    settled = c.withField("kyc_assessment.overall_risk", risk).withField(
-        "kyc_assessment.recommended_review", review)
+    settled = rebuild(c, df.schema[report].dataType, {
+        "kyc_assessment.overall_risk": risk, "kyc_assessment.recommended_review": review})
     blank = blank_report(c["query_input"], F.lit(V.TEXT["no_grounded"]))
     return df.withColumn(report, F.when(F.size(c["sources"]) == 0, blank).otherwise(settled))
 
@@ -263,7 +310,7 @@ def normalise(candidates: DataFrame, leads: DataFrame, docs: DataFrame, text: st
     query = F.struct(*[clean(F.col(n)).alias(n) for n in REPORT["query_input"].dataType.names])
     df = project(candidates.select(key, text), text).drop(text)
     df = df.join(leads.select(key, query.alias("_query")), key, "inner")
-    df = df.withColumn("report", F.col("report").withField("query_input", F.col("_query"))).drop("_query")
+    df = update(df, {"query_input": F.col("_query")}).drop("_query")
     df = ground(tidy_lists(coerce(df)), docs, "report", key)
     return settle(enforce_screening(df))
 
@@ -287,17 +334,17 @@ def enrich_company(reports: DataFrame, facts: DataFrame, key: str = "lead_id", r
     def fill(old, new):
         return F.when(use & (F.coalesce(old, F.lit("")) == "") & (F.coalesce(new, F.lit("")) != ""), new).otherwise(old)
 
-    out = c
+    changes = {}
     for field in kind.fields:
         if field.name not in given.names:
             continue
         path = ("company_profile", field.name)
         if isinstance(field.dataType, T.StructType):
             for sub in given[field.name].dataType.names:
-                out = out.withField(".".join((*path, sub)), fill(_get(c, (*path, sub)), f[field.name][sub]))
+                changes[".".join((*path, sub))] = fill(_get(c, (*path, sub)), f[field.name][sub])
         elif isinstance(field.dataType, T.StringType):
-            out = out.withField(".".join(path), fill(_get(c, path), f[field.name]))
-    return df.withColumn(report, out).drop("_facts")
+            changes[".".join(path)] = fill(_get(c, path), f[field.name])
+    return update(df, changes, report).drop("_facts")
 
 
 def merge_adverse(reports: DataFrame, items: DataFrame, gate: DataFrame | None = None,
@@ -311,7 +358,6 @@ def merge_adverse(reports: DataFrame, items: DataFrame, gate: DataFrame | None =
     fields = ("category", "title", "summary", "date", "jurisdiction", "confidence", "status_type", "source_url")
     held = reports.select(key, F.explode(F.col(f"{report}.adverse_media.source_url")).alias("source_url"))
     fresh = items.join(held, [key, "source_url"], "left_anti")
-    from ..plans.ordering import first_per_key, top_k
     fresh = first_per_key(fresh, [key, "source_url"], [F.col("ordinal")])
     fresh = top_k(fresh, [key], [F.col("ordinal")], limit, "_rank").groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("_rank", F.struct(*fields).alias("item")))).alias("_new"))
@@ -327,6 +373,7 @@ def merge_adverse(reports: DataFrame, items: DataFrame, gate: DataFrame | None =
         F.transform(new, lambda x: F.struct(F.lit("news").alias("type"), x["source_url"].alias("url"),
                                             x["title"].alias("note"))),
         lambda s: ~F.array_contains(c["sources"]["url"], s["url"]))
-    out = c.withField("adverse_media", F.concat(c["adverse_media"], new)).withField(
-        "sources", F.concat(c["sources"], cited))
-    return df.withColumn(report, F.when(use, out).otherwise(c)).drop("_new", "passes_gate")
+    return update(df, {
+        "adverse_media": F.when(use, F.concat(c["adverse_media"], new)).otherwise(c["adverse_media"]),
+        "sources": F.when(use, F.concat(c["sources"], cited)).otherwise(c["sources"]),
+    }, report).drop("_new", "passes_gate")

@@ -48,33 +48,42 @@ def has_context(free_mail=V.FREE_MAIL_FULL) -> Column:
         | (clean(F.col("city")) != "") | ((domain != "") & ~domain.isin(*free_mail)))
 
 
+# counts and flags of a lead, with their value for a lead without documents
+COUNTS = {
+    "relevant": 0, "named": 0, "any_email": False, "any_person": False, "any_company": False,
+    "sanctions_docs": 0, "pep_docs": 0, "named_country": False, "named_city": False,
+    "any_sector": False, "any_executive": False,
+}
+
+
+def count_columns() -> list[Column]:
+    named = F.col("is_named")
+    kind = F.col("source_type")
+    columns = {
+        "relevant": F.count(F.lit(1)),
+        "named": F.count_if(named),
+        "any_email": F.bool_or("has_email"),
+        "any_person": F.bool_or(named & F.col("is_person")),
+        "any_company": F.bool_or("is_company"),
+        "sanctions_docs": F.count_if(named & (kind == "sanctions_db")),
+        "pep_docs": F.count_if(named & (kind == "pep_db")),
+        "named_country": F.bool_or(named & F.col("has_country")),
+        "named_city": F.bool_or(named & F.col("has_city")),
+        "any_sector": F.bool_or("has_sector"),
+        "any_executive": F.bool_or("has_executive"),
+    }
+    return [c.alias(name) for name, c in columns.items()]
+
+
 def identity_counts(facts: DataFrame, key: str = "lead_id") -> DataFrame:
     """Per-lead counts and flags; aggregated map-side, so a hot lead stays parallel."""
-    def any_of(c):
-        return F.bool_or(c)
-
-    return facts.groupBy(key).agg(
-        F.count(F.lit(1)).alias("relevant"),
-        F.count_if("is_named").alias("named"),
-        any_of(F.col("has_email")).alias("any_email"),
-        any_of(F.col("is_named") & F.col("is_person")).alias("any_person"),
-        any_of(F.col("is_company")).alias("any_company"),
-        F.count_if(F.col("is_named") & (F.col("source_type") == "sanctions_db")).alias("sanctions_docs"),
-        F.count_if(F.col("is_named") & (F.col("source_type") == "pep_db")).alias("pep_docs"),
-        any_of(F.col("is_named") & F.col("has_country")).alias("named_country"),
-        any_of(F.col("is_named") & F.col("has_city")).alias("named_city"),
-        any_of(F.col("has_sector")).alias("any_sector"),
-        any_of(F.col("has_executive")).alias("any_executive"),
-    )
+    return facts.groupBy(key).agg(*count_columns())
 
 
 def identity_ladder(leads: DataFrame, counts: DataFrame, key: str = "lead_id") -> DataFrame:
     """Status and confidence of every lead; leads without relevant documents included."""
     df = leads.withColumn("has_context", has_context()).join(counts, key, "left")
-    zero = [c for c in counts.columns if c not in (key,)]
-    df = df.withColumns({
-        c: F.coalesce(F.col(c), F.lit(0) if counts.schema[c].dataType.typeName() == "long" else F.lit(False))
-        for c in zero})
+    df = df.withColumns({c: F.coalesce(F.col(c), F.lit(value)) for c, value in COUNTS.items()})
     status = (
         F.when(F.col("relevant") == 0, "unresolved")
         .when(F.col("any_email"), "confirmed")

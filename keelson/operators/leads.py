@@ -215,3 +215,10 @@ def with_latest_screening(leads: DataFrame, latest: DataFrame, key: str = "id")
         .alias("source_count"),
     )
     return leads.join(summary, leads[key] == summary["_lead"], "left").drop("_lead")
+
+
+def merge_funnels(stats: DataFrame, owner: str) -> DataFrame:
+    """Combine funnels counted on a finer key into one funnel per owner."""
+    sums = [c for c in stats.columns if c.endswith("_leads")]
+    return stats.groupBy(owner).agg(
+        *[F.sum(c).alias(c) for c in sums], F.max("latest_lead_date").alias("latest_lead_date"))

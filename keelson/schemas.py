@@ -83,7 +83,7 @@ COMPANY = struct(
 REPORT = struct(
     query_input=QUERY_INPUT,
     identity_resolution=struct(
-        status=S, confidence_score=T.DoubleType(), matched_persons=T.ArrayType(MATCHED_PERSON),
+        status=S, confidence_score=I, matched_persons=T.ArrayType(MATCHED_PERSON),
         selected_profile_rationale=S),
     person_profile=struct(
         full_name=S, aliases=STRINGS, current_title=S, current_company=S, location=S, country=S,
