@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.money import with_price
 from ..functions.text import blank_to_null, fold, strip
 from ..functions.vocab import NOT_AVAILABLE, UUID_PATTERN
+from ..plans.barrier import filter_computed
 
 COLUMNS = {
     "id": "id", "name": "nom_bateau", "builder": "constructeur", "length": "longueur_m",
@@ -127,9 +128,7 @@ def filter_price(df: DataFrame, price: str, low: float | None, high: float | Non
         ok = ok & (p >= low) if low else ok
         return ok & (p <= high) if high else ok
 
-    # one reference to the price: the optimizer moves the filter below the parsing
-    # steps and would repeat them for every mention
-    return df.filter(F.exists(F.array(out), inside))
+    return filter_computed(df, inside(F.col(out)))
 
 
 def filter_cabins(df: DataFrame, cabins: str, low: int | None, high: int | None) -> DataFrame:

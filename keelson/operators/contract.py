@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions import vocab as V
 from ..functions.text import cap, clean, strip
 from ..functions.urls import with_canonical
+from ..plans.barrier import filter_computed
 from ..plans.ordering import first_per_key, top_k
 from ..schemas import ADVERSE_ITEM, REPORT, SCREENING, VESSEL
 
@@ -155,9 +156,9 @@ def claims(reports: DataFrame, report: str = "report", key: str = "lead_id") ->
 def grounded_claims(claimed: DataFrame, docs: DataFrame, key: str = "lead_id") -> DataFrame:
     """Claims whose canonical URL is a collected document of the same lead, with the
     document's own URL and type (the last document of a URL wins)."""
-    known = with_canonical(docs, "url", "_canonical").filter(F.col("_canonical") != "").groupBy(
+    known = filter_computed(with_canonical(docs, "url", "_canonical"), F.col("_canonical") != "").groupBy(
         key, "_canonical").agg(F.max_by(F.struct("url", "source_type"), F.col("ordinal")).alias("_doc"))
-    wanted = with_canonical(claimed, "url", "_canonical").filter(F.col("_canonical") != "").drop("url")
+    wanted = filter_computed(with_canonical(claimed, "url", "_canonical"), F.col("_canonical") != "").drop("url")
     return wanted.join(known, [key, "_canonical"], "inner").select(
         key, "kind", "position", F.col("_doc.url").alias("url"),
         F.when(F.col("_doc.source_type").isin(*V.SOURCE_TYPES), F.col("_doc.source_type"))

@@ -12,6 +12,7 @@ from ..functions.text import (
 from ..functions.urls import (
     bucket, canonical, in_domain, is_profile_person, parse_url, source_type, with_canonical,
 )
+from ..plans.barrier import filter_computed
 from ..plans.ordering import first_per_key, numbered, top_k
 
 # --- distinct, caps ----------------------------------------------------------
@@ -28,7 +29,8 @@ def diverse_hosts(df: DataFrame, keys: list[str], url: str, ordinal: str, limit:
                   per_host: int = 1) -> DataFrame:
     """At most ``per_host`` URLs per host bucket and ``limit`` per group, order kept."""
     out = parse_url(distinct_in_order(df, keys, url, ordinal), url, "_u")
-    out = out.withColumn("host_bucket", bucket(F.col("_u"))).filter(F.col("host_bucket") != "")
+    out = out.withColumn("host_bucket", bucket(F.col("_u")))
+    out = filter_computed(out, F.col("host_bucket") != "")
     out = top_k(out, [*keys, "host_bucket"], [F.col(ordinal)], per_host, "_in_host")
     return top_k(out, keys, [F.col(ordinal)], limit, "rank").drop("_u", "_in_host")
 
@@ -45,7 +47,7 @@ def merge_evidence(snippets: DataFrame, crawled: DataFrame, key: str = "lead_id"
     """Snippets and crawled documents of a lead: a crawled document replaces the snippet
     of the same canonical URL but keeps its place; invalid URLs are dropped."""
     both = snippets.withColumn("_priority", F.lit(0)).unionByName(crawled.withColumn("_priority", F.lit(1)))
-    both = with_canonical(both, "url", "_canonical").filter(F.col("_canonical") != "")
+    both = filter_computed(with_canonical(both, "url", "_canonical"), F.col("_canonical") != "")
     body = [c for c in snippets.columns if c not in (key, "ordinal")]
     merged = both.groupBy(key, F.col("_canonical").alias("canonical_url")).agg(
         F.min(F.struct("_priority", "ordinal")).alias("_place"),
@@ -62,8 +64,8 @@ def merge_evidence(snippets: DataFrame, crawled: DataFrame, key: str = "lead_id"
 def snippet_documents(hits: DataFrame, leads: DataFrame, key: str = "lead_id", limit: int = 5) -> DataFrame:
     """Search hits with a title or content as evidence documents, ``limit`` per lead."""
     out = parse_url(hits, "url", "_u").withColumn("_canonical", canonical(F.col("_u")))
-    out = out.filter((F.col("_canonical") != "")
-                     & ((clean(F.col("title")) != "") | (clean(F.col("content")) != "")))
+    out = filter_computed(out, (F.col("_canonical") != "")
+                          & ((clean(F.col("title")) != "") | (clean(F.col("content")) != "")))
     out = top_k(first_per_key(out, [key, "_canonical"], [F.col("ordinal")]), [key],
                 [F.col("ordinal")], limit, "_rank")
     out = out.join(leads.select(key, email_domain(F.col("email")).alias("_domain")), key, "left")
@@ -83,7 +85,8 @@ def rank_hits(hits: DataFrame, limit: int, key: str = "lead_id", required_name:
     out = parse_url(hits, "url", "_u").withColumn("canonical_url", canonical(F.col("_u")))
     u = F.col("_u")
     label = fold(F.concat_ws(" ", F.coalesce("content", F.lit("")), F.coalesce("title", F.lit("")), F.col("url")))
-    out = out.filter(
+    out = out.withColumn("_label", label)
+    keep = (
         (F.col("canonical_url") != "")
         & (u["host"] != V.HIT_ENGINE_HOST)
         & ~F.endswith(u["host"], F.lit(V.HIT_ENGINE_DOMAIN))
@@ -91,10 +94,11 @@ def rank_hits(hits: DataFrame, limit: int, key: str = "lead_id", required_name:
         & ~contains_any(u["host"], V.HIT_MEDIA_HOSTS)
         & ~F.lower(F.regexp_extract(F.col("canonical_url"), r"^[^?]*", 0))
         .rlike("(?:" + "|".join(s.replace(".", "\\.") for s in V.HIT_FILE_SUFFIXES) + ")$")
-    ).withColumn("_label", label)
+    )
     if required_name is not None:
-        needed = fold(F.coalesce(F.col(required_name), F.lit("")))
-        out = out.filter((needed == "") | F.contains(F.col("_label"), needed))
+        out = out.withColumn("_needed", fold(F.coalesce(F.col(required_name), F.lit(""))))
+        keep = keep & ((F.col("_needed") == "") | F.contains(F.col("_label"), F.col("_needed")))
+    out = filter_computed(out, keep)
     label = F.col("_label")
 
     def points(terms, value):
@@ -106,7 +110,7 @@ def rank_hits(hits: DataFrame, limit: int, key: str = "lead_id", required_name:
     order = [F.col("score").desc(), F.col("ordinal")]
     out = out.withColumn("_key", F.lower(F.col("canonical_url")))
     out = first_per_key(out, [key, "_key"], order)
-    return top_k(out, [key], order, limit, "rank").drop("_u", "_label", "_key")
+    return top_k(out, [key], order, limit, "rank").drop("_u", "_label", "_key", "_needed")
 
 
 # --- scoring -------------------------------------------------------------------
@@ -170,7 +174,7 @@ def score_evidence(docs: DataFrame, leads: DataFrame, key: str = "lead_id",
 def rank_evidence(scored: DataFrame, key: str = "lead_id", threshold: int = V.RELEVANCE_THRESHOLD) -> DataFrame:
     """Relevant documents of every lead numbered by score, ties in arrival order.  Every
     row is numbered, also in a lead that owns a large part of the table."""
-    relevant = scored.filter(F.col("score") >= threshold)
+    relevant = filter_computed(scored, F.col("score") >= threshold)
     return numbered(relevant, [key], "ordinal", [-F.col("score")], "rank")
 
 
@@ -260,8 +264,9 @@ def with_fields(df: DataFrame, text: str = "text", url: str = "url", kind: str =
 # --- search queries --------------------------------------------------------------
 
 
-def search_queries(leads: DataFrame, template: str = "broad", key: str = "lead_id") -> DataFrame:
-    """Ordered distinct search strings of every lead (templates broad, primary, profile, short)."""
+def query_lists(leads: DataFrame, template: str = "broad", key: str = "lead_id") -> DataFrame:
+    """Ordered distinct search strings of every lead as a list of at most eleven
+    (templates broad, primary, profile, short)."""
     name, email = clean(F.col("full_name")), clean(F.col("email"))
     company, country = clean(F.col("company_name")), clean(F.col("country"))
     domain = email_domain(email)
@@ -308,13 +313,13 @@ def search_queries(leads: DataFrame, template: str = "broad", key: str = "lead_i
         raise ValueError(f"unknown template {template!r}")
     queries = F.filter(F.transform(F.array_compact(F.array(*items)), strip),
                        lambda s: strip(F.replace(s, F.lit('"'), F.lit(""))) != "")
-    # at most eleven strings per lead: the distinct stays inside the row
-    return _distinct_per_row(leads.select(key, queries.alias("_q")), key)
+    listed = leads.select(key, queries.alias("_q")).withColumn(
+        "_lower", F.transform("_q", lambda s: F.lower(s)))
+    kept = F.array_compact(F.transform(
+        "_q", lambda s, i: F.when(F.array_position("_lower", F.lower(s)) == i + 1, s)))
+    return listed.select(key, kept.alias("queries"))
 
 
-def _distinct_per_row(df: DataFrame, key: str) -> DataFrame:
-    lowered = df.withColumn("_l", F.transform("_q", lambda s: F.lower(s)))
-    kept = F.filter(
-        F.transform("_q", lambda s, i: F.when(F.array_position("_l", F.lower(s)) == i + 1, s)),
-        lambda s: s.isNotNull())
-    return lowered.select(key, F.posexplode(kept).alias("ordinal", "query"))
+def search_queries(leads: DataFrame, template: str = "broad", key: str = "lead_id") -> DataFrame:
+    """The same search strings, one row each."""
+    return query_lists(leads, template, key).select(key, F.posexplode("queries").alias("ordinal", "query"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..functions.text import clean, email_domain, fold
 from ..functions.urls import is_profile_company, is_profile_person, parse_url
+from ..plans.barrier import filter_computed
 from ..plans.ordering import top_k
 from .evidence import own_domain_first
 
@@ -21,7 +22,7 @@ def document_facts(scored: DataFrame, leads: DataFrame, key: str = "lead_id") ->
     """
     side = leads.select(
         key, fold(clean(F.col("full_name"))).alias("_name"), email_domain(F.col("email")).alias("_domain"))
-    df = scored.filter(F.col("score") >= V.RELEVANCE_THRESHOLD).join(side, key, "left")
+    df = filter_computed(scored, F.col("score") >= V.RELEVANCE_THRESHOLD).join(side, key, "left")
     df = parse_url(df, "url", "_u")
     u = F.col("_u")
     if "headline" not in df.columns:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.text import cap, clean, contains_any, fold, squeeze
+from ..plans.barrier import filter_computed
 from ..plans.ordering import first_per_key, top_k
 
 
@@ -82,9 +83,8 @@ def flatten_profiles(items: DataFrame, item: str = "item") -> DataFrame:
     out = df.withColumns({
         "profile_url": clean(x["linkedinUrl"]), "profile_name": clean(name),
         "profile_text": F.array_join(F.concat(lines, current), "\n")})
-    return out.filter(
-        (F.col("profile_url") != "") & (F.col("profile_name") != "") & (F.length("profile_text") >= 5)
-    ).drop("_first", item)
+    usable = (F.col("profile_url") != "") & (F.col("profile_name") != "") & (F.length("profile_text") >= 5)
+    return filter_computed(out, usable).drop("_first", item)
 
 
 def importance(text: Column) -> Column:
@@ -108,7 +108,7 @@ def select_profiles(profiles: DataFrame, leads: DataFrame, n: int, key: str = "l
         "corroborated": F.coalesce(F.exists("_context", lambda t: F.contains(F.col("_text"), t)), F.lit(False)),
         "importance": importance(F.col("profile_text"))}).drop("_text", "_context")
     # the n best of both kinds reach one task per lead, whatever the lead's size
-    useful = df.filter(F.col("corroborated") | (F.col("importance") > 0))
+    useful = filter_computed(df, F.col("corroborated") | (F.col("importance") > 0))
     order = [F.when(F.col("corroborated"), 0).otherwise(-F.col("importance")), F.col(ordinal)]
     picked = top_k(useful, [key, "corroborated"], order, n, "_rank")
     any_context = picked.groupBy(key).agg(F.bool_or("corroborated").alias("_any"))

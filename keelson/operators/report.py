@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.text import clean
+from ..plans.barrier import filter_computed
 from ..plans.ordering import top_k
 from ..schemas import REPORT
 from ..session import materialise
@@ -19,8 +20,8 @@ TEXT = V.TEXT
 
 def evidence_facts(docs: DataFrame, leads: DataFrame, key: str = "lead_id") -> DataFrame:
     """Relevant documents with score, signals, lines and flags, without their text."""
-    scored = score_evidence(docs, leads, key, keep_text=True).filter(
-        F.col("score") >= V.RELEVANCE_THRESHOLD)
+    scored = score_evidence(docs, leads, key, keep_text=True)
+    scored = filter_computed(scored, F.col("score") >= V.RELEVANCE_THRESHOLD)
     return document_facts(with_fields(scored).drop("text"), leads, key)
 
 

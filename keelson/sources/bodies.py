@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.markup import decode_html
 from ..functions.text import cap, fold
 from ..functions.urls import with_safe
+from ..plans.barrier import filter_computed
 from ..plans.ordering import first_per_key
 
 RESULT_CLASSES = "result__a|result-link"
@@ -89,7 +90,7 @@ def search_hits(df: DataFrame, keys: list[str], body: str = "body", kind: str =
         html_hits(df.filter(F.col(kind) == "html"), body, keys)
         .unionByName(opensearch_hits(df.filter(F.col(kind) == "json"), body, keys))
         .unionByName(rss_hits(df.filter(F.col(kind) == "rss"), body, keys)))
-    hits = with_safe(hits, "href", "url").filter(F.col("url").isNotNull())
+    hits = filter_computed(with_safe(hits, "href", "url"), F.col("url").isNotNull())
     return first_per_key(hits, [*keys, "url"], [F.col("position")]).select(
         *keys, "position", "url", "title", "snippet")
 
@@ -98,5 +99,7 @@ def matching_hits(hits: DataFrame, query: str) -> DataFrame:
     """Hits that name the quoted part of the query (the whole query when none is quoted)."""
     quoted = F.regexp_extract(F.col(query), r'"([^"]+)"', 1)
     needed = fold(F.when(quoted != "", quoted).otherwise(F.col(query)), "builder")
-    label = fold(F.concat_ws(" ", "title", "snippet", "url"), "builder")
-    return hits.filter((needed != "") & F.contains(label, needed))
+    marked = hits.withColumn("_needed", needed).withColumn(
+        "_label", fold(F.concat_ws(" ", "title", "snippet", "url"), "builder"))
+    kept = filter_computed(marked, (F.col("_needed") != "") & F.contains(F.col("_label"), F.col("_needed")))
+    return kept.drop("_needed", "_label")
