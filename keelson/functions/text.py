@@ -49,13 +49,19 @@ def contains_any(c: Column, terms, word_boundary: bool = False) -> Column:
 def fold_table(form: str) -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Character table of a Unicode decomposition, built from the Unicode data.
 
-    Returns (from, to, expansions): one-to-one replacements for ``translate`` and
+    Returns (from, to, expansions) for ``translate``: one-to-one replacements, then the
+    combining marks, which have no counterpart and are deleted; and apart from these
     the Latin characters that expand to several letters.
     """
-    single_from, single_to, expansions = [], [], []
+    single_from, single_to, marks, expansions = [], [], [], []
     for code in range(0x80, 0x10000):
         ch = chr(code)
-        if 0xD800 <= code <= 0xDFFF or unicodedata.combining(ch):
+        if 0xD800 <= code <= 0xDFFF:
+            continue
+        if unicodedata.combining(ch):
+            # the canonical form drops only the basic block of marks
+            if form == "NFKD" or 0x300 <= code <= 0x36F:
+                marks.append(ch)
             continue
         base = unicodedata.normalize(form, ch.casefold() if form == "NFKD" else ch.lower())
         base = "".join(x for x in base if not unicodedata.combining(x))
@@ -66,7 +72,7 @@ def fold_table(form: str) -> tuple[str, str, tuple[tuple[str, str], ...]]:
             single_to.append(base)
         elif base.isalnum() and unicodedata.name(ch, "").startswith("LATIN"):
             expansions.append((ch, base))
-    return "".join(single_from), "".join(single_to), tuple(expansions)
+    return "".join(single_from + marks), "".join(single_to), tuple(expansions)
 
 
 FOLD_VARIANTS = {
@@ -83,22 +89,24 @@ def fold(c: Column, variant: str = "evidence") -> Column:
     """Comparable form of a text; JVM built-ins only.
 
     Exact for every BMP character that decomposes to one ASCII character and for
-    the Latin characters that expand to several (ß, ligatures, digraphs).
+    the Latin characters that expand to several (ß, ligatures, digraphs).  Plain ASCII
+    texts skip the character table.
     """
     form, keep = FOLD_VARIANTS[variant]
     out = F.lower(c)
     if form:
         source, target, expansions = fold_table(form)
-        # translate() maps the table in one pass; the few expanding letters are
-        # parked on private-use characters only where one of them occurs.
+        folded = out
         if expansions:
-            expanded = out
-            for ch, base in expansions:
+            common, *rare = expansions
+            folded = F.replace(folded, F.lit(common[0]), F.lit(common[1]))
+            expanded = folded
+            for ch, base in rare:
                 expanded = F.replace(expanded, F.lit(ch), F.lit(base))
-            marker = "[" + "".join(ch for ch, _ in expansions) + "]"
-            out = F.when(out.rlike(marker), expanded).otherwise(out)
-        out = F.translate(out, source, target)
-        out = F.regexp_replace(out, r"\p{M}+", "")
+            marker = "[" + "".join(ch for ch, _ in rare) + "]"
+            folded = F.when(out.rlike(marker), expanded).otherwise(folded)
+        folded = F.translate(folded, source, target)
+        out = F.when(F.octet_length(out) > F.length(out), folded).otherwise(out)
     if keep is None:
         return out
     out = F.regexp_replace(out, "[^a-z0-9" + keep.replace("-", "\\-") + "]+", " ")
@@ -117,7 +125,9 @@ def fold_arrow(variant: str = "evidence"):
                 return None
             out = v.casefold() if form == "NFKD" else v.lower()
             if form:
-                out = "".join(x for x in unicodedata.normalize(form, out) if not unicodedata.combining(x))
+                kept = (x for x in unicodedata.normalize(form, out)
+                        if not (unicodedata.combining(x) if form == "NFKD" else "\u0300" <= x <= "\u036f"))
+                out = "".join(kept)
             return out if drop is None else drop.sub(" ", out).strip()
 
         return values.map(one)

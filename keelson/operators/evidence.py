@@ -14,6 +14,7 @@ from ..functions.urls import (
 )
 from ..plans.barrier import filter_computed
 from ..plans.ordering import first_per_key, numbered, top_k
+from ..session import materialise
 
 # --- distinct, caps ----------------------------------------------------------
 
@@ -171,10 +172,16 @@ def score_evidence(docs: DataFrame, leads: DataFrame, key: str = "lead_id",
     return df.drop(*drop) if keep_text else df.drop("text", *drop)
 
 
-def rank_evidence(scored: DataFrame, key: str = "lead_id", threshold: int = V.RELEVANCE_THRESHOLD) -> DataFrame:
+def rank_evidence(scored: DataFrame, key: str = "lead_id", threshold: int = V.RELEVANCE_THRESHOLD,
+                  reuse: bool = True) -> DataFrame:
     """Relevant documents of every lead numbered by score, ties in arrival order.  Every
-    row is numbered, also in a lead that owns a large part of the table."""
+    row is numbered, also in a lead that owns a large part of the table.
+
+    Numbering reads the scores twice; with ``reuse`` the scored rows (without text) are
+    written once to the checkpoint folder, so the texts are read once."""
     relevant = filter_computed(scored, F.col("score") >= threshold)
+    if reuse:
+        relevant = materialise(relevant)
     return numbered(relevant, [key], "ordinal", [-F.col("score")], "rank")
 
 

@@ -1,0 +1,15 @@
+"""Even out small inputs before heavy per-row text work."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition only when the input has fewer splits than the cluster has cores.
+
+    A large table is read in more splits than there are cores and is left alone, so it
+    is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_table
+from ..plans.barrier import fenced
+from ..plans.spread import spread
+from ..session import materialise
 from ..functions import vocab as V
 
 
@@ -37,7 +40,6 @@ def sql_fold(expr: str, variant: str = "evidence") -> str:
         for ch, base in expansions:
             out = f"replace({out}, {q(ch)}, {q(base)})"
         out = f"translate({out}, {q(source)}, {q(target)})"
-        out = f"regexp_replace({out}, '\\p{{M}}+', '', 'g')"
     if keep is None:
         return out
     kept = keep.replace("-", "\\-")
@@ -126,11 +128,12 @@ DOCUMENT_URL = (
 def evidence_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One lead per document source; its facts come from its own first document and the
     first mail address in its documents.  Three in four keep company, country and city."""
-    docs = table(spark, sf_dir, "documents")
-    mail = F.regexp_extract("text", EMAIL_RE, 0)
-    first = docs.groupBy("source").agg(
-        F.min_by(F.struct(F.substring_index(F.regexp_replace("text", r"\s+", " "), " ", 4).alias("w"), "lang"), F.col("doc_id")).alias("f"),
-        F.min_by(F.when(mail != "", mail), F.when(mail != "", F.col("doc_id"))).alias("email"),
+    docs = spread(table(spark, sf_dir, "documents")).select(
+        "source", "doc_id", "lang", F.nullif(F.regexp_extract("text", EMAIL_RE, 0), F.lit("")).alias("mail"),
+        F.regexp_extract("text", r"^\S*(?:\s+\S*){0,3}", 0).alias("w"))
+    first = fenced(docs).groupBy("source").agg(
+        F.min_by(F.struct(F.regexp_replace("w", r"\s+", " ").alias("w"), "lang"), F.col("doc_id")).alias("f"),
+        F.min_by("mail", F.when(F.col("mail").isNotNull(), F.col("doc_id"))).alias("email"),
         F.min("doc_id").alias("first_id"))
     words = F.split(F.col("f.w"), " ")
 
@@ -138,13 +141,13 @@ def evidence_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.coalesce(F.get(words, F.lit(i)), F.lit(""))
 
     keep = F.col("first_id") % 4 != 0
-    return first.select(
+    return materialise(first.select(
         F.col("source").alias("lead_id"),
         F.concat_ws(" ", word(0), word(1)).alias("full_name"),
         F.coalesce("email", F.lit("")).alias("email"),
         F.when(keep, word(2)).otherwise("").alias("company_name"),
         F.when(keep, F.col("f.lang")).otherwise("").alias("country"),
-        F.when(keep, word(3)).otherwise("").alias("city"))
+        F.when(keep, word(3)).otherwise("").alias("city")))
 
 
 EVIDENCE_LEADS_SQL = f"""
@@ -167,7 +170,7 @@ def evidence_documents(spark: SparkSession, sf_dir: str, own_domains: DataFrame
     """Documents with a URL and its source type."""
     from ..functions.text import email_domain
     from ..functions.urls import parse_url, source_type
-    docs = table(spark, sf_dir, "documents").selectExpr(
+    docs = spread(table(spark, sf_dir, "documents")).selectExpr(
         "source AS lead_id", "doc_id AS ordinal", f"{DOCUMENT_URL} AS url", "text")
     people = own_domains if own_domains is not None else evidence_leads(spark, sf_dir)
     docs = docs.join(people.select("lead_id", email_domain(F.col("email")).alias("_domain")), "lead_id")
