@@ -1,10 +1,10 @@
 """Text columns: trimming, folding, redaction and display formats."""
 
-import re
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,6 +85,20 @@ FOLD_VARIANTS = {
 }
 
 
+def other_than(keep: str) -> str:
+    """Character class of everything but a-z, 0-9 and ``keep``.
+
+    Written as positive ranges: the regex engine matches those several times faster
+    than a negated class of many parts."""
+    kept = sorted({*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *map(ord, keep)})
+    ranges, start = [], 0
+    for code in [*kept, 0x110000]:
+        if code > start:
+            ranges.append(f"\\x{{{start:x}}}-\\x{{{code - 1:x}}}")
+        start = code + 1
+    return "[" + "".join(ranges) + "]"
+
+
 def fold(c: Column, variant: str = "evidence") -> Column:
     """Comparable form of a text; JVM built-ins only.
 
@@ -109,28 +123,26 @@ def fold(c: Column, variant: str = "evidence") -> Column:
         out = F.when(F.octet_length(out) > F.length(out), folded).otherwise(out)
     if keep is None:
         return out
-    out = F.regexp_replace(out, "[^a-z0-9" + keep.replace("-", "\\-") + "]+", " ")
+    out = F.regexp_replace(out, other_than(keep) + "+", " ")
     return F.trim(out)
 
 
 def fold_arrow(variant: str = "evidence"):
-    """Opt-in Arrow version of :func:`fold`, complete for every Unicode script."""
+    """Opt-in Arrow version of :func:`fold`, complete for every Unicode script.
+
+    Whole batches go through Arrow's string kernels; no Python runs per row."""
     form, keep = FOLD_VARIANTS[variant]
-    drop = None if keep is None else re.compile("[^a-z0-9" + re.escape(keep) + "]+")
-
-    @F.pandas_udf("string")
-    def apply(values: pd.Series) -> pd.Series:
-        def one(v):
-            if v is None:
-                return None
-            out = v.casefold() if form == "NFKD" else v.lower()
-            if form:
-                kept = (x for x in unicodedata.normalize(form, out)
-                        if not (unicodedata.combining(x) if form == "NFKD" else "\u0300" <= x <= "\u036f"))
-                out = "".join(kept)
-            return out if drop is None else drop.sub(" ", out).strip()
-
-        return values.map(one)
+    marks = r"\p{M}+" if form == "NFKD" else "[\u0300-\u036f]+"
+    drop = None if keep is None else other_than(keep) + "+"
+
+    @F.arrow_udf("string")
+    def apply(values: pa.Array) -> pa.Array:
+        out = pc.utf8_lower(values)
+        if form == "NFKD":
+            out = pc.replace_substring(out, "ß", "ss")
+        if form:
+            out = pc.replace_substring_regex(pc.utf8_normalize(out, form), marks, "")
+        return out if drop is None else pc.utf8_trim(pc.replace_substring_regex(out, drop, " "), " ")
 
     return apply
 

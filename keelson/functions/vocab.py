@@ -3,7 +3,7 @@
 # Whitespace stripped from both ends of a text (ASCII and Unicode spaces).
 WHITESPACE = " \t\n\r\x0b\x0c\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 # The same set as a regular-expression class.
-WS = "[" + WHITESPACE + "]"
+WS = "[\\t-\\r \u00a0\u1680\u2000-\u200a\u2028-\u2029\u202f\u205f\u3000\ufeff]"
 
 # --- mail providers (fixed lists, one per rule set) ---
 FREE_MAIL_FULL = (
