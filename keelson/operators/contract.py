@@ -11,6 +11,7 @@ from ..functions.text import cap, clean, strip
 from ..functions.urls import with_canonical
 from ..plans.barrier import filter_computed
 from ..plans.ordering import first_per_key, top_k
+from ..session import materialise
 from ..schemas import ADVERSE_ITEM, REPORT, SCREENING, VESSEL
 
 LONGEST_TEXT, LONGEST_LIST = 2000, 100
@@ -150,7 +151,8 @@ def claims(reports: DataFrame, report: str = "report", key: str = "lead_id") ->
     parts = [rows(kind, F.col(f"{report}.{path}.{field}")) for kind, (path, field) in LIST_CLAIMS.items()]
     parts += [rows(kind, F.col(f"{report}.{path}")) for kind, path in URL_LISTS.items()]
     parts += [rows(kind, F.array(F.col(f"{report}.{path}"))) for kind, path in SINGLE_URLS.items()]
-    return reports.select(key, F.explode(F.concat(*parts)).alias("_c")).select(key, "_c.*")
+    rows = F.filter(F.concat(*parts), lambda c: c["url"] != "")
+    return reports.select(key, F.explode(rows).alias("_c")).select(key, "_c.*")
 
 
 def grounded_claims(claimed: DataFrame, docs: DataFrame, key: str = "lead_id") -> DataFrame:
@@ -306,13 +308,17 @@ def settle(df: DataFrame, report: str = "report") -> DataFrame:
 
 
 def normalise(candidates: DataFrame, leads: DataFrame, docs: DataFrame, text: str = "candidate",
-              key: str = "lead_id") -> DataFrame:
-    """Candidate report JSON of every lead to a grounded, conservative report."""
+              key: str = "lead_id", reuse: bool = True) -> DataFrame:
+    """Candidate report JSON of every lead to a grounded, conservative report.
+
+    Grounding reads the parsed reports twice; with ``reuse`` they are parsed once and
+    written to the checkpoint folder."""
     query = F.struct(*[clean(F.col(n)).alias(n) for n in REPORT["query_input"].dataType.names])
     df = project(candidates.select(key, text), text).drop(text)
     df = df.join(leads.select(key, query.alias("_query")), key, "inner")
     df = update(df, {"query_input": F.col("_query")}).drop("_query")
-    df = ground(tidy_lists(coerce(df)), docs, "report", key)
+    df = tidy_lists(coerce(df))
+    df = ground(materialise(df) if reuse else df, docs, "report", key)
     return settle(enforce_screening(df))
 
 
@@ -349,13 +355,17 @@ def enrich_company(reports: DataFrame, facts: DataFrame, key: str = "lead_id", r
 
 
 def merge_adverse(reports: DataFrame, items: DataFrame, gate: DataFrame | None = None,
-                  key: str = "lead_id", report: str = "report", limit: int = LONGEST_LIST) -> DataFrame:
+                  key: str = "lead_id", report: str = "report", limit: int = LONGEST_LIST,
+                  reuse: bool = True) -> DataFrame:
     """Append adverse items whose URL the report does not hold yet, and cite each one.
 
     Only leads with a resolved identity are touched, and with ``gate`` (key,
     passes_gate) only those with enough profile text.  ``items``: one row per item
     with ``ordinal``; a report takes at most ``limit`` items by contract.
+    The reports are read twice; ``reuse`` writes them once to the checkpoint folder.
     """
+    if reuse:
+        reports = materialise(reports)
     fields = ("category", "title", "summary", "date", "jurisdiction", "confidence", "status_type", "source_url")
     held = reports.select(key, F.explode(F.col(f"{report}.adverse_media.source_url")).alias("source_url"))
     fresh = items.join(held, [key, "source_url"], "left_anti")

@@ -14,7 +14,7 @@ from ..plans.spread import spread
 from ..sources import bodies
 from . import roles
 from .roles import (
-    EVIDENCE_DOCS_SQL, EVIDENCE_LEADS_SQL, EVIDENCE_SCORED_SQL, CUSTOMER_EMAIL, q, sql_any, sql_domain,
+    EVIDENCE_DOCS_SQL, EVIDENCE_SCORED_SQL, CUSTOMER_EMAIL, q, sql_any, sql_domain,
     sql_fold, sql_host, sql_list, sql_path, sql_source_type, table,
 )
 
