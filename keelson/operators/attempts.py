@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.text import blank_to_null
-from ..plans.ordering import first_per_key
+from ..plans.ordering import first_per_key, keys_of
 
 # report column -> JSON path of the latest-attempt view
 REPORT_PATHS = {
@@ -59,14 +59,15 @@ def enqueue(leads: DataFrame, now: Column, trigger: str = "new_lead", key: str =
 
 def backfill(leads: DataFrame, attempts: DataFrame, now: Column, key: str = "id", **columns) -> DataFrame:
     """Attempts for the leads that have none."""
-    missing = leads.join(attempts.select(F.col("lead_id").alias(key)), key, "left_anti")
+    screened = keys_of(attempts, ["lead_id"]).withColumnRenamed("lead_id", key)
+    missing = leads.join(screened, key, "left_anti")
     return enqueue(missing, now, "manual", key, **columns)
 
 
 def guard_one_active(requests: DataFrame, attempts: DataFrame, ordinal: str, key: str = "lead_id",
                      status: str = "status") -> DataFrame:
     """First request per lead, none for a lead with a pending or running attempt."""
-    active = attempts.filter(F.col(status).isin(*V.ACTIVE_STATUSES)).select(key)
+    active = keys_of(attempts.filter(F.col(status).isin(*V.ACTIVE_STATUSES)), [key])
     return first_per_key(requests.join(active, key, "left_anti"), [key], [F.col(ordinal)])
 
 

@@ -9,6 +9,7 @@ from ..functions.money import with_price
 from ..functions.text import blank_to_null, fold, strip
 from ..functions.vocab import NOT_AVAILABLE, UUID_PATTERN
 from ..plans.barrier import filter_computed
+from ..plans.ordering import keys_of
 
 COLUMNS = {
     "id": "id", "name": "nom_bateau", "builder": "constructeur", "length": "longueur_m",
@@ -160,7 +161,7 @@ def with_broker(df: DataFrame, brokers: DataFrame, owner: str = "broker_id", key
 
 def lookup(df: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key (or key and owner) is asked for."""
-    return df.join(wanted.select(*on), on, "left_semi")
+    return df.join(keys_of(wanted, on), on, "left_semi")
 
 
 def without_secrets(df: DataFrame, columns: tuple = ("password", "password_hash"),

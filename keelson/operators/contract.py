@@ -368,7 +368,7 @@ def merge_adverse(reports: DataFrame, items: DataFrame, gate: DataFrame | None =
         reports = materialise(reports)
     fields = ("category", "title", "summary", "date", "jurisdiction", "confidence", "status_type", "source_url")
     held = reports.select(key, F.explode(F.col(f"{report}.adverse_media.source_url")).alias("source_url"))
-    fresh = items.join(held, [key, "source_url"], "left_anti")
+    fresh = items.join(held.distinct(), [key, "source_url"], "left_anti")
     fresh = first_per_key(fresh, [key, "source_url"], [F.col("ordinal")])
     fresh = top_k(fresh, [key], [F.col("ordinal")], limit, "_rank").groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("_rank", F.struct(*fields).alias("item")))).alias("_new"))

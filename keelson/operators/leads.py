@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import vocab as V
 from ..functions.text import display_name, fold, strip
-from ..plans.ordering import first_per_key
+from ..plans.ordering import first_per_key, keys_of
 from ..schemas import LEAD_DOCUMENT
 from .catalogue import contains_ci, unique_names
 
@@ -116,7 +116,7 @@ def first_wins(df: DataFrame, key: str, ordinal: str) -> DataFrame:
 
 def new_only(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not stored yet."""
-    return incoming.join(stored.select(key), key, "left_anti")
+    return incoming.join(keys_of(stored, [key]), key, "left_anti")
 
 
 def intake(raw: DataFrame, stored: DataFrame, brokers: DataFrame, aliases: DataFrame, now: Column,

@@ -11,14 +11,14 @@ from pyspark.sql import types as T
 
 from ..functions.text import strip
 from ..functions.vocab import NOT_AVAILABLE
-from ..plans.ordering import first_per_key
+from ..plans.ordering import first_per_key, keys_of
 
 
 def seed_missing(existing: DataFrame, wanted: DataFrame, key: str, ordinal: str | None = None) -> DataFrame:
     """Existing rows plus the wanted rows whose key is not there yet (idempotent)."""
     wanted = (
         first_per_key(wanted, [key], [F.col(ordinal)]) if ordinal else wanted.dropDuplicates([key]))
-    fresh = wanted.join(existing.select(key), key, "left_anti")
+    fresh = wanted.join(keys_of(existing, [key]), key, "left_anti")
     return existing.unionByName(fresh.select(*[c for c in existing.columns if c in fresh.columns]),
                                 allowMissingColumns=True)
 
@@ -54,7 +54,7 @@ def apply_patches(
 
 
 def delete_keys(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    return table.join(keys.select(*on), on, "left_anti")
+    return table.join(keys_of(keys, on), on, "left_anti")
 
 
 def cascade_delete(children: DataFrame, deleted: DataFrame, parent: str, key: str) -> DataFrame:

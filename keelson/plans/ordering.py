@@ -23,6 +23,12 @@ def top_k(df: DataFrame, keys, order, k: int, rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
+def keys_of(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct keys for the right side of a semi or anti join.  The duplicates of a hot
+    key go away on the map side instead of meeting in the one task that joins it."""
+    return df.select(*keys).distinct()
+
+
 def first_per_key(df: DataFrame, keys, order) -> DataFrame:
     """First row of every group."""
     return top_k(df, keys, order, 1, "_first").drop("_first")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,7 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
     cluster names one; only where it is unset (tests) a fresh local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
+        return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="keelson-"))
@@ -60,6 +61,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a result that several later branches read."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write a result that several later branches read to a table in the shared folder.
+
+    The lineage ends at the files, so lost executors cost nothing but a re-read, and each
+    branch reads only the columns it needs."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

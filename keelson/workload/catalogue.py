@@ -179,7 +179,7 @@ def required_names_union(spark, sf):
 SELECT s_suppkey, s_name FROM supplier WHERE EXISTS (
   SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_linenumber % 25 = s_nationkey)""")
 def keyed_lookup(spark, sf):
-    asked = table(spark, sf, "lineitem").selectExpr("l_suppkey AS s_suppkey", "l_linenumber % 25 AS s_nationkey").distinct()
+    asked = table(spark, sf, "lineitem").selectExpr("l_suppkey AS s_suppkey", "l_linenumber % 25 AS s_nationkey")
     out = C.lookup(table(spark, sf, "supplier"), asked, ["s_suppkey", "s_nationkey"])
     return C.without_secrets(out.withColumn("password", F.lit("x"))).select("s_suppkey", "s_name")
 

@@ -129,7 +129,7 @@ def evidence_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One lead per document source; its facts come from its own first document and the
     first mail address in its documents.  Three in four keep company, country and city."""
     docs = spread(table(spark, sf_dir, "documents")).select(
-        "source", "doc_id", "lang", F.nullif(F.regexp_extract("text", EMAIL_RE, 0), F.lit("")).alias("mail"),
+        "source", "doc_id", "lang", F.when(F.contains("text", F.lit("@")), F.nullif(F.regexp_extract("text", EMAIL_RE, 0), F.lit(""))).alias("mail"),
         F.regexp_extract("text", r"^\S*(?:\s+\S*){0,3}", 0).alias("w"))
     first = fenced(docs).groupBy("source").agg(
         F.min_by(F.struct(F.regexp_replace("w", r"\s+", " ").alias("w"), "lang"), F.col("doc_id")).alias("f"),
