@@ -68,7 +68,8 @@ def guard_one_active(requests: DataFrame, attempts: DataFrame, ordinal: str, key
                      status: str = "status") -> DataFrame:
     """First request per lead, none for a lead with a pending or running attempt."""
     active = keys_of(attempts.filter(F.col(status).isin(*V.ACTIVE_STATUSES)), [key])
-    return first_per_key(requests.join(active, key, "left_anti"), [key], [F.col(ordinal)])
+    # one request per lead before the join, so a lead asked for many times is no hot key
+    return first_per_key(requests, [key], [F.col(ordinal)]).join(active, key, "left_anti")
 
 
 def queue_head(attempts: DataFrame, n: int = 10, status: str = "status",

@@ -13,6 +13,7 @@ from ..functions.urls import (
     bucket, canonical, in_domain, is_profile_person, parse_url, source_type, with_canonical,
 )
 from ..plans.barrier import filter_computed
+from ..plans.joins import with_group_facts
 from ..plans.ordering import first_per_key, numbered, top_k
 from ..session import materialise
 
@@ -136,10 +137,9 @@ def score_evidence(docs: DataFrame, leads: DataFrame, key: str = "lead_id",
                    word_boundary: bool = False, keep_text: bool = False) -> DataFrame:
     """Score every document against its own lead and list its signals.
 
-    The join key is always the lead, so the plan is an equi join; a hot lead is split
-    by AQE because the lead side holds one row per key.
+    The join key is always the lead (an equi join); the documents of a hot lead are spread.
     """
-    df = docs.join(lead_terms(leads, key), key, "inner")
+    df = with_group_facts(docs, lead_terms(leads, key), key, "ordinal")
     df = parse_url(df, "url", "_u")
     df = df.withColumn("_folded", fold(F.coalesce("text", F.lit(""))))
     text, u = F.col("_folded"), F.col("_u")

@@ -9,6 +9,7 @@ from ..functions import vocab as V
 from ..functions.text import clean, email_domain, fold
 from ..functions.urls import is_profile_company, is_profile_person, parse_url
 from ..plans.barrier import filter_computed
+from ..plans.joins import with_group_facts
 from ..plans.ordering import top_k
 from .evidence import own_domain_first
 
@@ -22,7 +23,8 @@ def document_facts(scored: DataFrame, leads: DataFrame, key: str = "lead_id") ->
     """
     side = leads.select(
         key, fold(clean(F.col("full_name"))).alias("_name"), email_domain(F.col("email")).alias("_domain"))
-    df = filter_computed(scored, F.col("score") >= V.RELEVANCE_THRESHOLD).join(side, key, "left")
+    relevant = filter_computed(scored, F.col("score") >= V.RELEVANCE_THRESHOLD)
+    df = with_group_facts(relevant, side, key, "ordinal", "left")
     df = parse_url(df, "url", "_u")
     u = F.col("_u")
     if "headline" not in df.columns:
@@ -146,7 +148,7 @@ def identity_short(hits: DataFrame, leads: DataFrame, key: str = "lead_id", limi
         key, fold(clean(F.col("full_name")), "builder").alias("_name"),
         fold(mail, "builder").alias("_email"), after_at.alias("_domain"),
         ((clean(F.col("full_name")) != "") & (mail != "")).alias("_ready"))
-    df = hits.join(side.select(key, "_domain"), key, "inner")
+    df = with_group_facts(hits, side.select(key, "_domain"), key, "ordinal")
     df = own_domain_first(df, [key], "url", F.col("_domain"), "ordinal", limit)
     line = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")), "url")
     per_lead = df.groupBy(key).agg(

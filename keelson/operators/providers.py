@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..functions.text import cap, clean, contains_any, fold, squeeze
 from ..plans.barrier import filter_computed
+from ..plans.joins import with_group_facts
 from ..plans.ordering import first_per_key, top_k
 
 
@@ -103,7 +104,7 @@ def select_profiles(profiles: DataFrame, leads: DataFrame, n: int, key: str = "l
     context = leads.select(key, F.filter(
         F.array(*[fold(clean(F.col(c)), "marks") for c in ("company_name", "country", "city")]),
         lambda t: t != "").alias("_context"))
-    df = profiles.join(context, key, "left").withColumn("_text", fold(F.col("profile_text"), "marks"))
+    df = with_group_facts(profiles, context, key, ordinal, "left").withColumn("_text", fold(F.col("profile_text"), "marks"))
     df = df.withColumns({
         "corroborated": F.coalesce(F.exists("_context", lambda t: F.contains(F.col("_text"), t)), F.lit(False)),
         "importance": importance(F.col("profile_text"))}).drop("_text", "_context")

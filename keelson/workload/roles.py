@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold_table
 from ..plans.barrier import fenced
+from ..plans.joins import with_group_facts
 from ..plans.spread import spread
 from ..session import materialise
 from ..functions import vocab as V
@@ -173,7 +174,8 @@ def evidence_documents(spark: SparkSession, sf_dir: str, own_domains: DataFrame
     docs = spread(table(spark, sf_dir, "documents")).selectExpr(
         "source AS lead_id", "doc_id AS ordinal", f"{DOCUMENT_URL} AS url", "text")
     people = own_domains if own_domains is not None else evidence_leads(spark, sf_dir)
-    docs = docs.join(people.select("lead_id", email_domain(F.col("email")).alias("_domain")), "lead_id")
+    own = people.select("lead_id", email_domain(F.col("email")).alias("_domain"))
+    docs = with_group_facts(docs, own, "lead_id", "ordinal")
     docs = parse_url(docs, "url", "_u")
     return docs.withColumn("source_type", source_type(F.col("_u"), F.col("_domain"))).drop("_u", "_domain")
 

@@ -25,6 +25,17 @@ def test_rank_filter_runs_before_the_shuffle(spark):
     assert text.count("WindowGroupLimit") == 2
 
 
+def test_a_hot_lead_is_cut_before_its_shuffle(spark, lead, docs):
+    """The lead join leaves the rows spread, so the top-k after it keeps its map-side limit."""
+    from keelson.operators.identity import document_facts, top_sources
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(top_sources(document_facts(score_evidence(docs(("https://a.example", "t", "other")), lead()), lead())))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("WindowGroupLimit") == 2
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     part = spark.read.parquet(f"{SF}/part.parquet")
     text = plan(C.filter_catalogue(part, min_length=5, columns={"length": "p_size"}).select("p_partkey"))
