@@ -222,3 +222,16 @@ def merge_funnels(stats: DataFrame, owner: str) -> DataFrame:
     sums = [c for c in stats.columns if c.endswith("_leads")]
     return stats.groupBy(owner).agg(
         *[F.sum(c).alias(c) for c in sums], F.max("latest_lead_date").alias("latest_lead_date"))
+
+
+def manual_leads(rows: DataFrame, owner: Column, now: Column, ordinal: str = "ordinal") -> DataFrame:
+    """Leads entered by hand: a ``MANUAL-`` id, defaults for source and request type, and
+    the entering broker as owner."""
+    return rows.withColumns({
+        "source_lead_id": F.concat(
+            F.lit("MANUAL-"), F.unix_millis(now).cast("string"), F.lit("-"), F.col(ordinal).cast("string")),
+        "lead_date": now,
+        "source": F.coalesce(F.col("source"), F.lit("Manual")),
+        "request_type": F.coalesce(F.col("request_type"), F.lit("Manual")),
+        "broker_id": owner, "status": F.lit("NEW"), "processed_at": now,
+    })

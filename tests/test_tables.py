@@ -202,3 +202,10 @@ def test_result_bodies(rows):
                    (2, "https://n.example/x", "T", "d"), (3, "https://w.example/1", "T1", "D1")]
     hits = rows([("Jane Doe", "", "https://x.example", '"jané doe" x'), ("Other", "", "https://y.example", '"jane doe"')], "title string, snippet string, url string, query string")
     assert [r.url for r in bodies.matching_hits(hits, "query").collect()] == ["https://x.example"]
+
+
+def test_manual_leads(rows):
+    df = rows([(1, None, "Call", "N"), (2, "Fair", None, "M")], "ordinal int, source string, request_type string, contact_display_name string")
+    out = L.manual_leads(df, F.lit("7"), now()).orderBy("ordinal").collect()
+    assert [(r.source, r.request_type, r.broker_id, r.status) for r in out] == [("Manual", "Call", "7", "NEW"), ("Fair", "Manual", "7", "NEW")]
+    assert out[0].source_lead_id.startswith("MANUAL-") and out[0].source_lead_id != out[1].source_lead_id
