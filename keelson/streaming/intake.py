@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.utils import AnalysisException
 
 from ..operators import attempts as A
 from ..operators import leads as L
@@ -16,7 +16,10 @@ def read_back(spark, path: str, before: int | None = None) -> DataFrame | None:
     """Rows the earlier batches stored, None while there are none."""
     try:
         stored = spark.read.option("basePath", path).parquet(path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        # only a store without files counts as empty; any other failure must not look like one
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
     return stored if before is None else stored.filter(F.col("batch_id") < before)
 

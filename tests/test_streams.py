@@ -1,4 +1,6 @@
 import json
+import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -13,7 +15,10 @@ def test_intake_in_batches_equals_one_batch(rows, spark, tmp_path):
     batches = [[(1, document("A", "Ann", email="a@x.co")), (2, document("B", office="")), (3, document("A", "Cy"))],
                [(4, document("A", "Cy")), (5, document("B", "Cy", {"display": "N"}, "b@x.co")), (6, "{cut")]]
     for i, batch in enumerate(batches):
-        (source / f"{i}.json").write_text("\n".join(json.dumps({"ordinal": o, "value": v}) for o, v in batch))
+        file = source / f"{i}.json"
+        file.write_text("\n".join(json.dumps({"ordinal": o, "value": v}) for o, v in batch))
+        # the file source takes files in order of their modification time
+        os.utime(file, (time.time() - 100 + 50 * i,) * 2)
     stream = spark.readStream.schema("ordinal long, value string").option("maxFilesPerTrigger", 1).json(str(source))
     brokers = rows(BROKERS, "id string, broker_name string, email string")
     aliases = rows([("none", "none@one.example")], "alias_key string, email string")
