@@ -48,24 +48,32 @@ def local_session(name: str = "keelson", cpus: str | None = None, shuffle: int =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` when the
-    cluster names one; only where it is unset (tests) a fresh local folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor can reach: ``spark.checkpoint.dir``.  Only a local session
+    (tests, bench), whose tasks all run on this machine, may go without: it gets a fresh folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="keelson-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="keelson-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def fresh_path(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in the shared folder, which the file system removes when the driver ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write a result that several later branches read to a table in the shared folder.
 
     The lineage ends at the files, so lost executors cost nothing but a re-read, and each
-    branch reads only the columns it needs."""
+    branch reads only the columns it needs.  The table goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
