@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.arrow_text import arrow_batches
+from keelson.llm.arrow_text import arrow_batches, schema_of
 from keelson.llm.components import components
 from keelson.session import materialise
 
@@ -87,8 +87,7 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(n) for n in names], pa.array(found.view(np.int64))], names=[*names, "fp"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}fp long").select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "fp")
+    return rows.mapInArrow(run, schema_of(rows.schema.fields[:-1], "fp long")).select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "fp")
 
 
 def masks(bits: int, parity: int, threshold: int) -> tuple[list[int], list[list[int]]]:

@@ -7,12 +7,13 @@ text that is longer), not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 CHUNK = 1 << 19
 BATCH_ROWS = 1000
@@ -30,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def schema_of(fields: Iterable[T.StructField], more: str) -> T.StructType:
+    """The given columns as they are, then those of a DDL text."""
+    return T.StructType([T.StructField(f.name, f.dataType) for f in fields]
+                        + T.StructType.fromDDL(more).fields)
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of Python operators by rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

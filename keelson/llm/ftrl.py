@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.arrow_text import LOWER, arrow_batches, mixed, text_chunks, word_hashes, words
+from keelson.llm.arrow_text import LOWER, arrow_batches, mixed, schema_of, text_chunks, word_hashes, words
 
 BITS = 20
 SAMPLE = 20_000
@@ -145,6 +145,5 @@ def score(docs: DataFrame, weights: dict[int, float], keys: list[str], text: str
             p = 1 / (1 + np.exp(-np.clip(np.concatenate(sums), -35, 35)))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(p)], names=[*names, "_score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, _score double" if names else "_score double").select(
+    return rows.mapInArrow(run, schema_of(rows.schema.fields[:-1], "_score double")).select(
         *[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("_score").alias(name))

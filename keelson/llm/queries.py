@@ -5,7 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ("mixing_query", "archive_query", "decontamination_query", "toxicity_query", "secrets_query",
-           "search_query", "token_query", "url_query", "simhash_query")
+           "search_query", "token_query", "url_query", "repeats_query",
+           "simhash_query")
 
 
 def queries() -> dict:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.arrow_text import arrow_batches
+from keelson.llm.arrow_text import arrow_batches, schema_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 REMEMBERED = 200_000
@@ -119,6 +119,5 @@ def count_tokens(docs: DataFrame, keys: list[str], text: str = "text", path: str
                 [*[batch.column(n) for n in names], pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())],
                 names=[*names, "n_words", "n_tokens"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}n_words long, n_tokens long").select(
+    return rows.mapInArrow(run, schema_of(rows.schema.fields[:-1], "n_words long, n_tokens long")).select(
         *[F.col(n).alias(k) for n, k in zip(names, keys)], "n_words", "n_tokens")

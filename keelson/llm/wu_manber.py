@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.arrow_text import LOWER, arrow_batches, text_chunks, words
+from keelson.llm.arrow_text import LOWER, arrow_batches, schema_of, text_chunks, words
 from keelson.session import materialise
 
 WINDOW = 13
@@ -187,8 +187,7 @@ def searched(docs: DataFrame, patterns: Patterns, keep_text: bool) -> DataFrame:
                    pa.array(items, pa.list_(pa.string()))],
                 names=[f.name for f in kept] + ["n_words", "spans", "items"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInArrow(run, f"{schema}, n_words long, spans array<struct<a:long,b:long>>, items array<string>")
+    return docs.mapInArrow(run, schema_of(kept, "n_words long, spans array<struct<a:long,b:long>>, items array<string>"))
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, keys: list[str], doc_text: str = "text",
@@ -206,7 +205,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, keys: list[str], doc_text:
                              F.col(item_text).alias("item_text")).filter(F.col("item_text").isNotNull()).distinct()
     size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     passes = max(1, -(-size // limit))
-    rows = docs.select(*[F.col(k).alias(k) for k in keys], F.col(doc_text).alias("text"))
+    rows = docs.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(doc_text).alias("text"))
     for k in range(passes):
         part = items.filter(F.pmod(F.xxhash64("item", "item_text"), F.lit(passes)) == k)
         patterns = Patterns([(r["item"], r["item_text"]) for r in part.toLocalIterator()], window)
@@ -214,7 +213,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, keys: list[str], doc_text:
         rows = searched(rows, patterns, keep_text=text or not last)
         if not last:
             rows = materialise(rows)
-    return rows
+    return rows.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *(["text"] if text else []),
+                       "n_words", "spans", "items")
 
 
 def n_hit() -> Column:
