@@ -1,13 +1,75 @@
-"""The corpus pipeline: each stage is written as Parquet and reread as the next one's documents."""
+"""The corpus pipeline: each stage is written as Parquet and reread as the next one's documents.
+
+Rows travel through the stages as one struct, so further columns of the input come through as they are
+and may have any name.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from keelson.llm.anchor_cover import near_duplicates
+from keelson.llm.arrow_text import arrow_batches, table
+from keelson.llm.ftrl import fit, score, training_rows
+from keelson.llm.order_sample import mix
+from keelson.llm.secrets_markov import ratio_table, redacted, scan, spans
+from keelson.llm.wu_manber import contaminated, find_items, n_hit
 from keelson.session import materialise
 
-STAGES = []
+REJECT_AT = 0.3
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct("*").alias("row"), "doc_id", "text")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is 0.3 or more go; rows without text stay if the bias says so."""
+    arrow_batches(spark)
+    weights = fit(training_rows(docs, table(spark, sf_dir, "labels")))
+    scored = score(whole_rows(docs), weights, ["row"])
+    return scored.filter(F.col("score") < REJECT_AT).select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document with the smallest id stays, once; rows without id all stay, as
+    nothing tells which document they are."""
+    groups = near_duplicates(docs)
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return first.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with at least one word in twenty inside test items go."""
+    found = find_items(whole_rows(docs), table(spark, sf_dir, "benchmark"), ["row"])
+    return found.filter(~contaminated(n_hit(), F.col("n_words"))).select("row.*")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays, n_chars follows the new text."""
+    scanned = scan(whole_rows(docs).select("row", "text"), ["row"])
+    marked = spans(scanned, ratio_table(scanned, docs))
+    text = redacted(F.col("row.text"), F.col("_all"))
+    changed = F.size("_all") > 0
+    new = {"text": text, "n_chars": F.when(changed, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}
+    return marked.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with the number of copies."""
+    taken = mix(docs).filter("copies > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies").distinct()
+    rows = docs.drop("copies")
+    return rows.join(taken, rows["doc_id"].eqNullSafe(taken["_id"]) & rows["source"].eqNullSafe(taken["_source"])).drop(
+        "_id", "_source")
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination),
+          ("secrets", secrets), ("mixing", mixing)]
 
+# the scores, fingerprints and Markov spans are beyond SQL
 ORACLE_SQL = None
 
 
