@@ -122,12 +122,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     planned = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     size = F.col("source_size")
     planned = materialise(
-        planned.withColumn("_whole", F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long"))
+        planned.withColumn("_whole", F.coalesce(F.floor(F.try_divide("target", size)), F.lit(0)).cast("long"))
         .withColumn("_rest", F.col("target") - F.col("_whole") * size)
         .withColumnRenamed("source", "_source"))
     u = (uniform_key(F.col("doc_id")) + F.lit(0.5)) / F.lit(float(1 << KEY_BITS))
-    f = F.col("_rest") / size
-    ranked = (u / (1 - u)) / (f / (1 - f) * F.col("_odds"))
+    f = F.try_divide("_rest", size)
+    ranked = F.try_divide(u / (1 - u), F.try_divide(f, 1 - f) * F.col("_odds"))
     keyed = materialise(
         rows.join(planned, rows["source"].eqNullSafe(planned["_source"]))
         .withColumn("_key", F.when(f > 0, F.floor(ranked / (1 + ranked) * F.lit(float(1 << KEY_BITS))))
