@@ -5,7 +5,7 @@ runs of key characters are candidates: two first-order character models, one of
 one of ordinary identifiers, give each a log-likelihood ratio, and those above ``threshold`` that
 touch no pattern match are spans of the kind ``markov``.  Both models are counted from samples with
 labels: what the patterns matched anywhere in the corpus is random; runs in documents without any
-match, from a hash sample of about ``sample`` documents, are ordinary.
+match, from a hash sample of about ``sample`` documents, that are built like identifiers are ordinary.
 
 DataFrame functions only.  Texts are read once in full for all patterns, and again for the sample;
 what is kept in between is a narrow table of matches.  Spans are worked out inside each row, so
@@ -29,11 +29,15 @@ PATTERNS = {
 }
 KINDS = (*PATTERNS, "markov")
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
-ORDINARY = "[A-Za-z0-9+/_-]{6,}"
+# an ordinary identifier: words of one case or with a capital, joined or followed by digits
+PART = "(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)"
+ORDINARY = f"(?<![A-Za-z0-9+/_-]){PART}(?:[_/-]?(?:{PART}|[0-9]++))*+(?![A-Za-z0-9+/_-])"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 SIDE = len(ALPHABET) + 1  # 0 stands for the start and for any other character
 SAMPLE = 2000
 THRESHOLD = 12.0
+#: A random string has at least so many different characters; lines of dashes have not.
+DIFFERENT = 8
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -67,12 +71,15 @@ def pair_counts(strings: DataFrame) -> DataFrame:
             .filter(F.col("pair").isNotNull()).groupBy("pair").agg(F.count(F.lit(1)).alias("n")))
 
 
-def transitions(counts: DataFrame, weight: float) -> np.ndarray:
-    """Smoothed transition probabilities; the rows to fetch are bounded by the alphabet."""
+def transitions(counts: DataFrame, weight: float, backed: bool) -> np.ndarray:
+    """Transition probabilities, smoothed towards equal ones or (``backed``) towards how often the
+    second character occurs at all; the rows to fetch are bounded by the alphabet."""
     table = np.zeros(SIDE * SIDE)
     for r in counts.toLocalIterator():
         table[r["pair"]] = r["n"]
-    table = table.reshape(SIDE, SIDE) + weight / SIDE
+    table = table.reshape(SIDE, SIDE)
+    single = table.sum(axis=0) + 0.5 if backed else np.ones(SIDE)
+    table = table + weight * single / single.sum()
     return table / table.sum(axis=1, keepdims=True)
 
 
@@ -94,8 +101,9 @@ def ratio_table(scanned: DataFrame, docs: DataFrame, text: str = "text", key: st
     clean = docs.select(F.col(key), F.col(text).alias("_text")).filter(drawn & F.col("_text").isNotNull())
     for pattern, _, _ in PATTERNS.values():
         clean = clean.filter(~F.col("_text").rlike(pattern))
-    ordinary = pair_counts(clean.select(F.explode(F.regexp_extract_all("_text", F.lit(ORDINARY), F.lit(0))).alias("value")))
-    return np.log(transitions(random, SIDE)) - np.log(transitions(ordinary, SIDE / 10))
+    ordinary = pair_counts(clean.select(F.explode(F.regexp_extract_all("_text", F.lit(ORDINARY), F.lit(0))).alias("value"))
+                           .filter(F.length("value") >= 6))
+    return np.log(transitions(random, SIDE, False)) - np.log(transitions(ordinary, SIDE / 10, True))
 
 
 def likelihood_ratio(value: Column, ratios: np.ndarray) -> Column:
@@ -114,6 +122,7 @@ def spans(scanned: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD)
 
     marked = scanned.withColumn("_base", F.array_sort(F.concat(*[kind(k) for k in PATTERNS])))
     added = F.filter("_candidates", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+                     & (F.size(F.array_distinct(F.split(c["value"], ""))) > DIFFERENT)
                      & (likelihood_ratio(c["value"], ratios) > threshold))
     marked = marked.withColumn("_markov", added)
     return marked.withColumn("_all", F.array_sort(F.concat("_base", kind("markov")))).drop("_candidates", "_markov")
