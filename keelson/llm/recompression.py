@@ -11,19 +11,22 @@ That key (symbol and following words, verified by a second digest over all of it
 corpus: where a smaller document has it, all its windows are repeats, and nothing below that symbol is
 looked at again.  So text that is copied costs one row per phrase, however often it is copied.
 
-Windows.  What is left, first occurrences of phrases, is compared window by window (80 bits
-of digest), which decides repeats that are too short, or cut too differently, to share a phrase.
-
-Scale.  Every task works through slabs of about ``SLAB`` words: repeats inside a slab are settled there and
-only the occurrences in the smallest document of the slab go on.  So a phrase or window that a third
-of all documents share reaches its group once per slab, not once per document.  Windows travel as
-packed arrays, dealt by the range of their digest into buckets of about ``BUCKET`` entries.
+Windows.  Repeats that are too short, or cut too differently, to share a phrase are decided window by
+window (80 bits of digest).  Only windows that can be repeats are: each window has one of its sequences
+of ``ANCHOR`` words, the one of least digest, as its anchor, so equal windows have equal anchors, and
+anchors that no two documents share rule out all their windows.  About one word in five begins an anchor.
+
+Scale.  Every task works through slabs of about ``SLAB`` words: repeats inside a slab are settled there
+and what goes on are the occurrences in the smallest document of the slab (of an anchor, two occurrences).
+So a phrase, anchor or window that a third of all documents share reaches its group a few times per
+slab, not once per document.  Anchors and windows travel as packed arrays, dealt by the range of their
+digest into buckets of about ``BUCKET`` entries.
 """
 
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,7 @@ from keelson.llm.arrow_text import SPACES, arrow_batches, mixed, schema_of, text
 from keelson.session import materialise
 
 WINDOW = 13
+ANCHOR = 5
 ROUNDS = 10
 SLAB = 2_000_000
 BUCKET = 1_500_000
@@ -111,19 +115,90 @@ def smallest(keys: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def phrase_rows(docs: DataFrame, window: int, slab: int) -> DataFrame:
-    """k1, k2 (key), id, th (document), s, n (first window and number of windows) of all phrases;
-    ``repeat`` where the slab has the key in a smaller document."""
-    def settle(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        k1, k2, ids, ths, s, n = (np.concatenate(p) for p in zip(*parts))
+def shared(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every row whether its key has two ids, and whether it is the first or last of its key."""
+    order = np.lexsort((ids, *reversed(keys)))
+    edge = np.ones(len(order) + 1, bool)
+    edge[1:-1] = False
+    for k in keys:
+        edge[1:-1] |= k[order][1:] != k[order][:-1]
+    first = np.flatnonzero(edge[:-1])
+    size = np.diff(np.append(first, len(order)))
+    two, end = np.empty(len(order), bool), np.empty(len(order), bool)
+    two[order] = np.repeat(ids[order][first] != ids[order][first + size - 1], size)
+    end[order] = edge[:-1] | edge[1:]
+    return two, end
+
+
+def anchors(digests: Digests, begins: np.ndarray, stop: np.ndarray, window: int, size: int) -> np.ndarray:
+    """The word at which the anchor of the window that starts at each of ``begins`` begins."""
+    at = np.arange(len(stop))
+    values = np.full(len(stop), U(2**64 - 1))
+    whole = at + size <= stop
+    values[whole] = digests(at[whole], at[whole] + size)
+    best, least = begins, values[begins]
+    for d in range(1, window - size + 1):
+        other = values[begins + d]
+        less = other < least
+        best, least = np.where(less, begins + d, best), np.where(less, other, least)
+    return best
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Differences of neighbours, which are small in document order, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(values, prepend=values.dtype.type(0)).tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind), dtype=kind)
+
+
+PACKED = "bucket int, settled boolean, w binary, v binary, pid binary, pth binary, ps binary"
+PACKED_NAMES = ("bucket", "settled", "w", "v", "pid", "pth", "ps")
+PACKED_KINDS = (pa.int32(), pa.bool_(), *[pa.binary()] * 5)
+
+
+def packs(digest: np.ndarray, w: np.ndarray, v: np.ndarray, ids: np.ndarray, ths: np.ndarray, s: np.ndarray,
+          settled: np.ndarray, buckets: int) -> list[pa.Array]:
+    """Entries of a slab as one row per bucket: ``settled`` ones without, others with their digest."""
+    group = ((digest >> U(32)) * U(buckets) >> U(32)).astype(np.int64) * 2 + settled
+    order = np.argsort(group, kind="stable")
+    edges = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
+    rows = []
+    for a, b in zip(edges, edges[1:]):
+        at = order[a:b]
+        done = bool(group[at[0]] & 1)
+        rows.append((int(group[at[0]] >> 1), done, b"" if done else w[at].tobytes(), b"" if done else v[at].tobytes(),
+                     packed(ids[at]), packed(ths[at]), packed(s[at])))
+    columns = list(zip(*rows)) or [()] * len(PACKED_NAMES)
+    return [pa.array(c, k) for c, k in zip(columns, PACKED_KINDS)]
+
+
+def first_rows(docs: DataFrame, window: int, slab: int, buckets: int) -> DataFrame:
+    """Phrases and anchors in one reading.  Phrases: k1, k2 (key), id, th (document), s, n (first window
+    and number of windows), ``repeat`` where the slab has the key in a smaller document.  Anchors: packed."""
+    size = min(ANCHOR, window)
+    plain = (("k1", pa.int64()), ("k2", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()),
+             ("n", pa.int32()), ("repeat", pa.bool_()))
+    names = [n for n, _ in plain] + list(PACKED_NAMES)
+
+    def settle(found: list[tuple[np.ndarray, ...]], anchored: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        k1, k2, ids, ths, s, n = (np.concatenate(p) for p in zip(*found))
         repeat = smallest([k1, k2], ids)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(ids), pa.array(ths),
-             pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(repeat)],
-            names=["k1", "k2", "id", "th", "s", "n", "repeat"])
+        columns = [pa.array(x, k) for x, (_, k) in zip(
+            (k1.view(np.int64), k2.view(np.int64), ids, ths, s.astype(np.int32), n.astype(np.int32), repeat), plain)]
+        yield pa.RecordBatch.from_arrays(columns + [pa.nulls(len(k1), k) for k in PACKED_KINDS], names=names)
+        digest, ids, ths, s = (np.concatenate(p) for p in zip(*anchored))
+        two, end = shared([digest], ids)
+        # where two documents of the slab have it, all are settled and two go on to tell the others
+        at = np.concatenate([np.flatnonzero(~two | end), np.flatnonzero(two)])
+        done = np.arange(len(at)) >= len(at) - two.sum()
+        w, v = (digest & U(0xFFFFFFFF)).astype(np.uint32), (digest >> U(32) & U(0xFFFF)).astype(np.uint16)
+        columns = packs(digest[at], w[at], v[at], ids[at], ths[at], s[at], done, buckets)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), k) for _, k in plain] + columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        found, anchored, held = [], [], 0
         for batch in batches:
             ids, ths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "th"))
             for first, last, data, offsets in text_chunks(batch.column("text")):
@@ -132,38 +207,47 @@ def phrase_rows(docs: DataFrame, window: int, slab: int) -> DataFrame:
                     continue
                 begins = np.zeros(len(h) + 1, bool)
                 begins[firsts] = True
-                names, s = phrases(h, begins[:-1])
+                names_, s = phrases(h, begins[:-1])
                 row = np.searchsorted(firsts, s, "right") - 1
                 end, stop = np.append(s[1:], len(h)), firsts[row + 1]
                 reach = np.minimum(end + window - 1, stop)
                 n = np.minimum(end, stop - window + 1) - s
                 some = n > 0
                 d1, d2 = digested(h)
-                k1 = mixed(names * ODD[0] + d1(end, reach) * ODD[1] + (reach - s).astype(U))
+                k1 = mixed(names_ * ODD[0] + d1(end, reach) * ODD[1] + (reach - s).astype(U))
                 k2 = d2(s, reach) + (reach - s).astype(U)
-                parts.append(tuple(x[some] for x in (
+                found.append(tuple(x[some] for x in (
                     k1, k2, ids[first:last][row], ths[first:last][row], s - firsts[row], n)))
+                row = np.repeat(np.arange(last - first), np.diff(firsts))
+                stop = firsts[row + 1]
+                a = np.unique(anchors(d1, np.flatnonzero(np.arange(len(h)) + window <= stop), stop, window, size))
+                row = row[a]
+                anchored.append((d1(a, a + size), ids[first:last][row], ths[first:last][row], (a - firsts[row]).astype(np.int32)))
                 held += len(h)
                 if held >= slab:
-                    yield from settle(parts)
-                    parts, held = [], 0
-        if parts:
-            yield from settle(parts)
+                    yield from settle(found, anchored)
+                    found, anchored, held = [], [], 0
+        if found:
+            yield from settle(found, anchored)
 
-    return docs.mapInArrow(run, "k1 long, k2 long, id long, th long, s int, n int, repeat boolean")
+    return docs.mapInArrow(run, "k1 long, k2 long, id long, th long, s int, n int, repeat boolean, " + PACKED)
 
 
-def marked(ranges: pa.Array, first: int, last: int, firsts: np.ndarray, longer: int = 0) -> np.ndarray:
-    """Which words of a chunk lie in the (s, n + longer) ranges of their texts."""
+def marked(ranges: pa.Array, first: int, last: int, firsts: np.ndarray, longer: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Which words of a chunk lie in the (s, n + longer) ranges of their texts, and at which an anchor
+    (a range of no windows) begins."""
     places = ranges.offsets.to_numpy()[first: last + 1]
     rows = np.repeat(firsts[:-1], np.diff(places))
     cut = slice(places[0], places[-1])
     s = ranges.values.field(0).to_numpy(zero_copy_only=False)[cut] + rows
-    n = ranges.values.field(1).to_numpy(zero_copy_only=False)[cut] + longer
+    n = ranges.values.field(1).to_numpy(zero_copy_only=False)[cut]
+    hot = np.zeros(firsts[-1], bool)
+    hot[s[n == 0]] = True
+    s, n = s[n > 0], n[n > 0] + longer
     cover = np.zeros(firsts[-1] + 1, np.int64)
     np.add.at(cover, s, 1)
     np.add.at(cover, s + n, -1)
-    return np.cumsum(cover)[:-1] > 0
+    return np.cumsum(cover)[:-1] > 0, hot
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -173,42 +257,15 @@ def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     return docs.join(per_text.hint("shuffle_hash"), ["id", "th"], "left").withColumn("ranges", F.coalesce("ranges", none))
 
 
-PACKED = "bucket int, settled boolean, w binary, v binary, id binary, th binary, s binary"
-
-
-def packed(values: np.ndarray) -> bytes:
-    """Differences of neighbours, which are small in document order, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(values, prepend=values.dtype.type(0)).tobytes())
-
-
-def unpacked(data: bytes, kind: type) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind), dtype=kind)
-
-
 def window_rows(docs: DataFrame, window: int, slab: int, buckets: int) -> DataFrame:
-    """Windows that start in no range of their text, packed by slab and bucket: digest, document and
-    place; ``settled`` entries are repeats of a smaller document of the slab."""
-    names = ["bucket", "settled", "w", "v", "id", "th", "s"]
+    """Windows that start in no range of their text and have a shared anchor, packed by slab and bucket;
+    ``settled`` entries are repeats of a smaller document of the slab."""
+    size = min(ANCHOR, window)
 
     def settle(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         w, v, ids, ths, s = (np.concatenate(p) for p in zip(*parts))
-        repeat = smallest([w, v], ids)
-        bucket = ((w >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
-        group = bucket * 2 + repeat
-        order = np.argsort(group, kind="stable")
-        edges = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
-        rows = {n: [] for n in names}
-        for a, b in zip(edges, edges[1:]):
-            at = order[a:b]
-            done = bool(group[at[0]] & 1)
-            rows["bucket"].append(int(group[at[0]] >> 1))
-            rows["settled"].append(done)
-            rows["w"].append(b"" if done else w[at].tobytes())
-            rows["v"].append(b"" if done else v[at].tobytes())
-            for n, x in (("id", ids), ("th", ths), ("s", s)):
-                rows[n].append(packed(x[at]))
-        kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
-        yield pa.RecordBatch.from_arrays([pa.array(rows[n], k) for n, k in zip(names, kinds)], names=names)
+        columns = packs(w, w, v, ids, ths, s, smallest([w, v], ids), buckets)
+        yield pa.RecordBatch.from_arrays(columns, names=list(PACKED_NAMES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -219,9 +276,11 @@ def window_rows(docs: DataFrame, window: int, slab: int, buckets: int) -> DataFr
                 if not len(h):
                     continue
                 row = np.repeat(np.arange(last - first), np.diff(firsts))
-                known = marked(batch.column("ranges"), first, last, firsts)
-                at = np.flatnonzero(~known & (np.arange(len(h)) + window <= firsts[row + 1]))
+                known, hot = marked(batch.column("ranges"), first, last, firsts)
+                stop = firsts[row + 1]
+                at = np.flatnonzero(~known & (np.arange(len(h)) + window <= stop))
                 d1, d2 = digested(h)
+                at = at[hot[anchors(d1, at, stop, window, size)]]
                 row = row[at]
                 parts.append((d1(at, at + window), (d2(at, at + window) >> U(48)).astype(np.uint16),
                               ids[first:last][row], ths[first:last][row], (at - firsts[row]).astype(np.int32)))
@@ -235,19 +294,18 @@ def window_rows(docs: DataFrame, window: int, slab: int, buckets: int) -> DataFr
     return docs.mapInArrow(run, PACKED)
 
 
-def repeated_windows(entries: DataFrame, buckets: int) -> DataFrame:
-    """(id, th, s, n) of the windows that a smaller document has."""
+def decided(entries: DataFrame, buckets: int, kind: type, rule: Callable, n: int) -> DataFrame:
+    """(id, th, s, n) of the settled entries and of those that ``rule`` picks among the others of a bucket."""
     def decide(group: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, ths, s = (np.concatenate([unpacked(g[k], kind) for g in group])
-                       for k, kind in ((4, np.int64), (5, np.int64), (6, np.int32)))
-        settled = np.concatenate([np.full(len(unpacked(g[6], np.int32)), g[1]) for g in group])
-        open_ = ~settled
-        w = np.concatenate([np.frombuffer(g[2], U) for g in group])
+        ids, ths, s = (np.concatenate([unpacked(g[k], t) for g in group])
+                       for k, t in ((4, np.int64), (5, np.int64), (6, np.int32)))
+        w = [np.frombuffer(g[2], kind) for g in group]
         v = np.concatenate([np.frombuffer(g[3], np.uint16) for g in group])
-        settled[open_] = smallest([w, v], ids[open_])
-        n = np.ones(int(settled.sum()), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[settled], ths[settled], s[settled], n)],
-                                         names=["id", "th", "s", "n"])
+        chosen = np.concatenate([np.full(len(unpacked(g[6], np.int32)), g[1]) for g in group])
+        open_ = ~chosen
+        chosen[open_] = rule([np.concatenate(w), v], ids[open_])
+        out = [ids[chosen], ths[chosen], s[chosen], np.full(int(chosen.sum()), n, np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["id", "th", "s", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -275,15 +333,19 @@ def settled(df: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, window: int = WINDOW, slab: int = SLAB, bucket: int = BUCKET) -> DataFrame:
     """(id, th, s, n) for (id, th, text): every window that starts at a word s to s + n - 1 of the
     document occurs in a document with a smaller id."""
-    found = settled(phrase_rows(docs, window, slab))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(max(1, size // (32 * bucket)))  # about one anchor in 32 bytes
+    found = settled(first_rows(docs, window, slab, buckets))
+    plain = found.filter("bucket is null")
     group = Window.partitionBy("k1", "k2")
     known = settled(
-        found.filter("not repeat").withColumn("least", F.min("id").over(group)).filter("id > least")
-        .select("id", "th", "s", "n").unionByName(found.filter("repeat").select("id", "th", "s", "n")))
-    left = (found.agg(F.sum("n")).first()[0] or 0) - (known.agg(F.sum("n")).first()[0] or 0)
-    buckets = max(1, -(-left // bucket))
-    more = settled(repeated_windows(window_rows(with_ranges(docs, known), window, slab, buckets), buckets))
-    return known.unionByName(more)
+        plain.filter("not repeat").withColumn("least", F.min("id").over(group)).filter("id > least")
+        .select("id", "th", "s", "n").unionByName(plain.filter("repeat").select("id", "th", "s", "n")))
+    hot = settled(decided(found.filter("bucket is not null").select(*PACKED_NAMES), buckets, np.uint32,
+                          lambda keys, ids: shared(keys, ids)[0], 0))
+    buckets = max(1, 6 * hot.count() // bucket)
+    entries = window_rows(with_ranges(docs, known.unionByName(hot)), window, slab, buckets)
+    return known.unionByName(settled(decided(entries, buckets, U, smallest, 1)))
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -314,7 +376,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             texts = batch.column("text")
             for first, last, data, offsets in text_chunks(texts):
                 _, _, firsts = words(~SPACES[data], offsets)
-                covered = marked(batch.column("ranges"), first, last, firsts, window - 1)
+                covered, _ = marked(batch.column("ranges"), first, last, firsts, window - 1)
                 for k in range(last - first):
                     own = covered[firsts[k]: firsts[k + 1]]
                     all_words = data[offsets[k]: offsets[k + 1]].tobytes().split()

@@ -23,7 +23,7 @@ def table(spark, rows):
 def test_each_decision_takes_effect(spark, inputs):
     training = [(i, prose(i, 30) + (" vile" if i % 4 == 0 else ""), "a") for i in range(600)]
     rows = training + [(1000, prose(2000, 40) + " vile", "a"), (1001, prose(2001, 300), "a"),
-                       (1002, prose(2001, 300) + " end", "b"), (1003, prose(1, 20) + " " + prose(2002, 30), "b"),
+                       (1002, prose(2001, 300).upper().replace(" ", "\n"), "b"), (1003, prose(1, 20) + " " + prose(2002, 30), "b"),
                        (1004, "my password = abcdefghijklmnop " + prose(2003, 40), "b")]
     docs, seen = table(spark, rows), {}
     columns = docs.columns
@@ -48,7 +48,7 @@ def test_awkward_rows_and_empty(spark, inputs):
             out = stage(spark, docs, inputs)
             got = out.collect()
             assert len(got) <= len(rows)
-            if name in ("toxicity", "secrets"):
+            if name == "secrets":
                 assert len(got) == len(rows)
 
 
