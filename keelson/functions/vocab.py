@@ -187,4 +187,8 @@ METRES_TO_FEET = 3.28084
 UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 SECRET_PATTERN = r"(?i)\b(api[_ -]?key|authorization|token|secret)\b\s*[:=]\s*(?:bearer\s+)?\S+"
 STALE_ERROR = "STALE_WORKER_RECOVERY"
-STALE_MESSAGE = "Worker stopped before completing the job."
+STALE_MESSAGE = "Worker stopped before completing the KYC job."
+
+# lengths of a ranked hit's title and content; window, title and snippet of a result body's hit
+HIT_TITLE, HIT_CONTENT = 300, 800
+BODY_WINDOW, BODY_TITLE, BODY_SNIPPET = 2500, 240, 500

@@ -120,8 +120,9 @@ def recover_stale(attempts: DataFrame, now: Column, minutes: int = 30, max_retri
 
 # --- lifecycle -------------------------------------------------------------
 # A transition maps each state to the next one, and maps compose.  So a long event
-# sequence is cut into blocks, every block folded to one small map, and the maps of
-# an attempt folded in block order: no task ever sees an unbounded attempt.
+# sequence is cut into blocks of ordinals, every block folded to one small map, and the
+# maps folded level by level, so that no task sees more than one block of an attempt's
+# events or maps, however sparse its ordinals are.
 
 ACTIONS = ("claim", "complete", "insufficient", "fail", "cancel")
 
@@ -177,9 +178,11 @@ def lifecycle(events: DataFrame, key: str, ordinal: str, action: str, max_retrie
     def fold(ordered: Column, as_map) -> Column:
         return F.aggregate(ordered, identity, lambda acc, item: compose(acc, as_map(item)))
 
+    span = events.agg(F.min(ordinal).alias("low"), F.max(ordinal).alias("high")).first()
+    low = span["low"] or 0
     blocks = (
         events.withColumn("_code", code)
-        .withColumn("_block", F.floor(F.col(ordinal) / F.lit(block)))
+        .withColumn("_block", F.floor((F.col(ordinal) - F.lit(low)) / F.lit(block)))
         .groupBy(key, "_block")
         .agg(F.count(F.lit(1)).alias("_events"),
              F.array_sort(F.collect_list(F.when(
@@ -188,12 +191,23 @@ def lifecycle(events: DataFrame, key: str, ordinal: str, action: str, max_retrie
         .withColumn("_map", fold(F.col("_list"), lambda e: F.element_at(table, e["c"])))
         .drop("_list")
     )
-    whole = blocks.groupBy(key).agg(
-        F.sum("_events").alias("events"),
-        F.array_sort(F.collect_list(F.struct("_block", "_map"))).alias("_maps"))
+
+    def joined(maps: DataFrame, *keys: str) -> DataFrame:
+        """One map for the blocks that share the keys, at most ``block`` of them."""
+        return maps.groupBy(*keys).agg(
+            F.sum("_events").alias("_events"),
+            F.array_sort(F.collect_list(F.struct("_at", "_map"))).alias("_maps")
+        ).withColumn("_map", fold(F.col("_maps"), lambda m: m["_map"])).drop("_maps")
+
+    left = ((span["high"] or 0) - low) // block + 1
+    while left > block:
+        blocks = joined(blocks.withColumnRenamed("_block", "_at").withColumn(
+            "_block", F.floor(F.col("_at") / F.lit(block))), key, "_block")
+        left = -(-left // block)
+    whole = joined(blocks.withColumnRenamed("_block", "_at"), key).withColumnRenamed("_events", "events")
     names = F.array(*[F.lit(s) for s, _ in states])
     retries = F.array(*[F.lit(r) for _, r in states])
-    end = whole.withColumn("_end", F.element_at(fold(F.col("_maps"), lambda m: m["_map"]), 1))
+    end = whole.withColumn("_end", F.element_at("_map", 1))
     return end.select(
         key, "events", F.element_at(names, F.col("_end")).alias("status"),
         F.element_at(retries, F.col("_end")).alias("retry_count"))

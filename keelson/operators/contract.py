@@ -355,23 +355,24 @@ def enrich_company(reports: DataFrame, facts: DataFrame, key: str = "lead_id", r
 
 
 def merge_adverse(reports: DataFrame, items: DataFrame, gate: DataFrame | None = None,
-                  key: str = "lead_id", report: str = "report", limit: int = LONGEST_LIST,
+                  key: str = "lead_id", report: str = "report", max_hits: int | None = None,
                   reuse: bool = True) -> DataFrame:
     """Append adverse items whose URL the report does not hold yet, and cite each one.
 
     Only leads with a resolved identity are touched, and with ``gate`` (key,
     passes_gate) only those with enough profile text.  ``items``: one row per item
-    with ``ordinal``; a report takes at most ``limit`` items by contract.
+    with ``ordinal``; ``max_hits`` keeps only the first ones of a screen, before anything else.
     The reports are read twice; ``reuse`` writes them once to the checkpoint folder.
     """
     if reuse:
         reports = materialise(reports)
     fields = ("category", "title", "summary", "date", "jurisdiction", "confidence", "status_type", "source_url")
     held = reports.select(key, F.explode(F.col(f"{report}.adverse_media.source_url")).alias("source_url"))
+    if max_hits is not None:
+        items = top_k(items, [key], [F.col("ordinal")], max_hits, "_hit").drop("_hit")
     fresh = items.join(held.distinct(), [key, "source_url"], "left_anti")
-    fresh = first_per_key(fresh, [key, "source_url"], [F.col("ordinal")])
-    fresh = top_k(fresh, [key], [F.col("ordinal")], limit, "_rank").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_rank", F.struct(*fields).alias("item")))).alias("_new"))
+    fresh = first_per_key(fresh, [key, "source_url"], [F.col("ordinal")]).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*fields).alias("item")))).alias("_new"))
     df = reports.join(fresh, key, "left")
     if gate is not None:
         df = df.join(gate.select(key, "passes_gate"), key, "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..functions.markup import decode_html
 from ..functions.text import (
     cap, clean, contains_any, email_domain, fold, name_tokens, strip,
 )
@@ -83,8 +84,12 @@ def snippet_documents(hits: DataFrame, leads: DataFrame, key: str = "lead_id", l
 
 def rank_hits(hits: DataFrame, limit: int, key: str = "lead_id", required_name: str | None = None) -> DataFrame:
     """Filter and rank search hits: engine, media, file and off-name links dropped; sector,
-    business and role terms raise the score, music terms lower it."""
+    business and role terms raise the score, music terms lower it.  Of several hits with one
+    canonical URL the best that passes gives the rank, the last of all gives title and content,
+    without tags and cut to the lengths of the contract."""
     out = parse_url(hits, "url", "_u").withColumn("canonical_url", canonical(F.col("_u")))
+    shown = filter_computed(out, F.col("canonical_url") != "").groupBy(key, "canonical_url").agg(
+        F.max_by(F.struct("title", "content"), "ordinal").alias("_shown"))
     u = F.col("_u")
     label = fold(F.concat_ws(" ", F.coalesce("content", F.lit("")), F.coalesce("title", F.lit("")), F.col("url")))
     out = out.withColumn("_label", label)
@@ -111,8 +116,11 @@ def rank_hits(hits: DataFrame, limit: int, key: str = "lead_id", required_name:
         points(V.HIT_SECTOR, 12) + points(V.HIT_BUSINESS, 8) + points(V.HIT_ROLE, 5) - points(V.HIT_MUSIC, 8))
     order = [F.col("score").desc(), F.col("ordinal")]
     out = out.withColumn("_key", F.lower(F.col("canonical_url")))
-    out = first_per_key(out, [key, "_key"], order)
-    return top_k(out, [key], order, limit, "rank").drop("_u", "_label", "_key", "_needed")
+    best = first_per_key(out.drop("_u", "_label", "_needed", "title", "content"), [key, "_key"], order)
+    best = top_k(best, [key], order, limit, "rank").drop("_key")
+    return best.join(shown, [key, "canonical_url"]).select(
+        *best.columns, cap(decode_html(F.coalesce("_shown.title", F.lit(""))), V.HIT_TITLE).alias("title"),
+        cap(decode_html(F.coalesce("_shown.content", F.lit(""))), V.HIT_CONTENT).alias("content"))
 
 
 # --- scoring -------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import vocab as V
 from ..functions.text import display_name, fold, strip
+from ..plans.barrier import fenced
 from ..plans.ordering import first_per_key, keys_of
 from ..schemas import LEAD_DOCUMENT
 from .catalogue import contains_ci, unique_names
@@ -19,7 +20,7 @@ def parse_documents(raw: DataFrame, text: str = "value") -> DataFrame:
     schema = T.StructType([*LEAD_DOCUMENT.fields, T.StructField("corrupt", T.StringType())])
     parsed = raw.withColumn("doc", F.from_json(
         F.col(text), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}))
-    return parsed.withColumn("corrupt", F.col("doc.corrupt")).withColumn("raw_payload", F.col(text))
+    return fenced(parsed.withColumn("raw_payload", F.col(text))).withColumn("corrupt", F.col("doc.corrupt"))
 
 
 # flat lead column -> path in the document
@@ -78,9 +79,11 @@ def route(
     df = leads.withColumn("_alias", fold(raw, "recipient"))
     alias = first_per_key(aliases.select("alias_key", "email"), ["alias_key"], [F.col("email")]) \
         .select(F.col("alias_key").alias("_ak"), F.col("email").alias("_alias_email"))
+    # a null key matches nothing and is spread; blank texts would meet in one task
+    df = df.withColumn("_alias", F.nullif(F.col("_alias"), F.lit("")))
     df = df.join(alias, df["_alias"] == alias["_ak"], "left")
     first = F.coalesce(F.nullif(F.col("_alias_email"), F.lit("")), strip(raw))
-    df = df.withColumn("_mail1", first)
+    df = df.withColumn("_mail1", F.nullif(first, F.lit("")))
     second = F.lit(None).cast("string")
     if domains:
         a, b = domains
@@ -96,11 +99,10 @@ def route(
     for i in ("1", "2"):
         side = by_mail.select(F.col("_e").alias("_e" + i), F.col("_n").alias("_n" + i),
                               F.col("_id").alias("_id" + i))
-        df = df.join(side, (df["_mail" + i] == side["_e" + i]) & (df["_mail" + i] != ""), "left")
+        df = df.join(side, df["_mail" + i] == side["_e" + i], "left")
     names = unique_names(brokers, name, key)
-    df = df.withColumn("_raw", F.lower(raw)).join(
-        names.select(F.col("_name"), F.col("_id").alias("_id3")),
-        (F.col("_raw") == F.col("_name")) & (F.col("_raw") != ""), "left")
+    df = df.withColumn("_raw", F.nullif(F.lower(raw), F.lit(""))).join(
+        names.select(F.col("_name"), F.col("_id").alias("_id3")), F.col("_raw") == F.col("_name"), "left")
     matches = F.coalesce(F.col("_n1"), F.lit(0)) + F.coalesce(F.col("_n2"), F.lit(0))
     by_email = F.when(matches == 1, F.coalesce(F.col("_id1"), F.col("_id2")))
     owner = F.coalesce(by_email, F.col("_id3"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.text import cap, clean, contains_any, fold, squeeze
-from ..plans.barrier import filter_computed
+from ..plans.barrier import fenced, filter_computed
 from ..plans.joins import with_group_facts
 from ..plans.ordering import first_per_key, top_k
 
@@ -88,9 +88,8 @@ def flatten_profiles(items: DataFrame, item: str = "item") -> DataFrame:
     return filter_computed(out, usable).drop("_first", item)
 
 
-def importance(text: Column) -> Column:
-    """Seniority tier of the first tier with a term, plus a bonus for sector terms."""
-    folded = fold(text, "marks")
+def importance(folded: Column) -> Column:
+    """Seniority tier of the first tier with a term, plus a bonus for sector terms, of a folded text."""
     tier = F.lit(0)
     for points, terms in reversed(V.SENIORITY_TIERS):
         tier = F.when(contains_any(folded, terms), points).otherwise(tier)
@@ -104,18 +103,18 @@ def select_profiles(profiles: DataFrame, leads: DataFrame, n: int, key: str = "l
     context = leads.select(key, F.filter(
         F.array(*[fold(clean(F.col(c)), "marks") for c in ("company_name", "country", "city")]),
         lambda t: t != "").alias("_context"))
-    df = with_group_facts(profiles, context, key, ordinal, "left").withColumn("_text", fold(F.col("profile_text"), "marks"))
-    df = df.withColumns({
-        "corroborated": F.coalesce(F.exists("_context", lambda t: F.contains(F.col("_text"), t)), F.lit(False)),
-        "importance": importance(F.col("profile_text"))}).drop("_text", "_context")
+    df = fenced(profiles.withColumn("_text", fold(F.col("profile_text"), "marks")))
+    df = fenced(df.withColumn("importance", importance(F.col("_text"))))
+    df = with_group_facts(df, context, key, ordinal, "left").withColumn(
+        "corroborated", F.coalesce(F.exists("_context", lambda t: F.contains(F.col("_text"), t)), F.lit(False))
+    ).drop("_text", "_context")
     # the n best of both kinds reach one task per lead, whatever the lead's size
     useful = filter_computed(df, F.col("corroborated") | (F.col("importance") > 0))
     order = [F.when(F.col("corroborated"), 0).otherwise(-F.col("importance")), F.col(ordinal)]
     picked = top_k(useful, [key, "corroborated"], order, n, "_rank")
-    any_context = picked.groupBy(key).agg(F.bool_or("corroborated").alias("_any"))
-    return (
-        picked.join(any_context, key).filter(F.col("corroborated") == F.col("_any"))
-        .withColumnRenamed("_rank", "rank").drop("_any"))
+    # at most 2n rows of a lead are left, so one window settles which kind is wanted
+    picked = picked.withColumn("_any", F.max("corroborated").over(Window.partitionBy(key)))
+    return picked.filter(F.col("corroborated") == F.col("_any")).withColumnRenamed("_rank", "rank").drop("_any")
 
 
 def swap_richer(selected: DataFrame, refetched: DataFrame, keys: list[str], url: str = "profile_url") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, strip
 from ..functions.vocab import LEAD_STATUSES
+from ..plans.barrier import filter_computed
 
 EMAIL = r"^[A-Za-z0-9_'+\-.]*[A-Za-z0-9_+\-]@(?:[A-Za-z0-9][A-Za-z0-9\-]*\.)+[A-Za-z]{2,}$"
 
@@ -18,9 +19,9 @@ def with_errors(df: DataFrame, rules: dict[str, Column], out: str = "errors") ->
 
 
 def split(df: DataFrame, errors: str = "errors") -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected)"""
+    """(accepted, rejected); the rules stay above the filter, so their inputs are derived once."""
     good = F.size(errors) == 0
-    return df.filter(good).drop(errors), df.filter(~good)
+    return filter_computed(df, good).drop(errors), filter_computed(df, ~good)
 
 
 def outcome_counts(df: DataFrame, outcome: str) -> DataFrame:

@@ -14,16 +14,16 @@ def new_lead_counts(leads: DataFrame, owner: str = "broker_id", status: str = "s
 
 
 def counter_stream(leads: DataFrame, path: str, checkpoint: str, owner: str = "broker_id") -> DataStreamWriter:
-    """Every batch replaces the counts of its own folder; the highest batch is current."""
+    """Every batch writes the owners whose counts changed; the highest batch of an owner is current."""
     def run(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return new_lead_counts(leads, owner).writeStream.outputMode("complete").foreachBatch(run).option(
+    return new_lead_counts(leads, owner).writeStream.outputMode("update").foreachBatch(run).option(
         "checkpointLocation", checkpoint)
 
 
-def current(spark, path: str) -> DataFrame:
-    """Counts of the latest batch."""
+def current(spark, path: str, owner: str = "broker_id") -> DataFrame:
+    """Latest counts of every owner."""
     stored = spark.read.option("basePath", path).parquet(path)
-    last = stored.agg(F.max("batch_id").alias("batch_id"))
-    return stored.join(last, "batch_id", "left_semi").drop("batch_id")
+    counts = F.struct("new_leads", "total_leads")
+    return stored.groupBy(owner).agg(F.max_by(counts, "batch_id").alias("_counts")).select(owner, "_counts.*")

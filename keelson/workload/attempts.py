@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import vocab as V
 from ..operators import attempts as A
 from ..operators.leads import with_latest_screening
 from .roles import CUSTOMER_EMAIL, table
@@ -75,14 +76,15 @@ _PATCHED = f"({STATUS} = 'running' AND ts < TIMESTAMP '2024-01-20 00:00:00' - IN
 SELECT event_id AS id, CASE WHEN NOT {_PATCHED} THEN {STATUS} WHEN event_id % 5 < 3 THEN 'pending' ELSE 'failed' END AS status,
   CASE WHEN NOT {_PATCHED} THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS started_at,
   CASE WHEN {_PATCHED} AND event_id % 5 >= 3 THEN '2024-01-20 00:00:00' END AS completed_at,
-  CASE WHEN {_PATCHED} THEN 'STALE_WORKER_RECOVERY' END AS error_code, {_PATCHED} AS recovered FROM events""")
+  CASE WHEN {_PATCHED} THEN 'STALE_WORKER_RECOVERY' END AS error_code,
+  CASE WHEN {_PATCHED} THEN '{V.STALE_MESSAGE}' END AS error_message, {_PATCHED} AS recovered FROM events""")
 def stale_recovery(spark, sf):
     rows = attempts(spark, sf).selectExpr(
         "id", "status", "retry_count", "CAST(requested_at AS TIMESTAMP) AS started_at",
-        "CAST(NULL AS TIMESTAMP) AS completed_at", "CAST(NULL AS STRING) AS error_code")
+        "CAST(NULL AS TIMESTAMP) AS completed_at", "CAST(NULL AS STRING) AS error_code", "CAST(NULL AS STRING) AS error_message")
     out = A.recover_stale(rows, F.lit("2024-01-20 00:00:00").cast("timestamp"), 30, 3)
     return out.select("id", "status", ts("started_at").alias("started_at"), ts("completed_at").alias("completed_at"),
-                      "error_code", "recovered")
+                      "error_code", "error_message", "recovered")
 
 
 ACTION = ("CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'fail' WHEN 'error' THEN 'fail' "

@@ -10,11 +10,7 @@ MODULES = ("leads", "catalogue", "attempts", "evidence", "screening", "streams")
 def _merged(name: str) -> dict:
     out = {}
     for module in MODULES:
-        try:
-            loaded = import_module(f"{__package__}.{module}")
-        except ModuleNotFoundError:
-            continue
-        for key, value in getattr(loaded, name).items():
+        for key, value in getattr(import_module(f"{__package__}.{module}"), name).items():
             if key in out:
                 raise ValueError(f"query {key} is registered twice")
             out[key] = value

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.text import fold_table
 from ..plans.barrier import fenced
 from ..plans.joins import with_group_facts
-from ..plans.spread import spread
 from ..session import materialise
 from ..functions import vocab as V
 
@@ -129,7 +128,7 @@ DOCUMENT_URL = (
 def evidence_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One lead per document source; its facts come from its own first document and the
     first mail address in its documents.  Three in four keep company, country and city."""
-    docs = spread(table(spark, sf_dir, "documents")).select(
+    docs = table(spark, sf_dir, "documents").select(
         "source", "doc_id", "lang", F.when(F.contains("text", F.lit("@")), F.nullif(F.regexp_extract("text", EMAIL_RE, 0), F.lit(""))).alias("mail"),
         F.regexp_extract("text", r"^\S*(?:\s+\S*){0,3}", 0).alias("w"))
     first = fenced(docs).groupBy("source").agg(
@@ -171,7 +170,7 @@ def evidence_documents(spark: SparkSession, sf_dir: str, own_domains: DataFrame
     """Documents with a URL and its source type."""
     from ..functions.text import email_domain
     from ..functions.urls import parse_url, source_type
-    docs = spread(table(spark, sf_dir, "documents")).selectExpr(
+    docs = table(spark, sf_dir, "documents").selectExpr(
         "source AS lead_id", "doc_id AS ordinal", f"{DOCUMENT_URL} AS url", "text")
     people = own_domains if own_domains is not None else evidence_leads(spark, sf_dir)
     own = people.select("lead_id", email_domain(F.col("email")).alias("_domain"))

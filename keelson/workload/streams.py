@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators.attempts import latest
-from ..session import shared_dir
+from ..session import fresh_path
 from ..streaming import counter, intake, lifecycle
 from . import attempts as AW
 from . import leads as LW
@@ -15,7 +13,6 @@ from . import roles
 from .roles import table
 
 QUERIES, ORACLE = {}, {}
-LIMIT_SECONDS = 1800
 
 
 def query(name, sql=None):
@@ -34,15 +31,12 @@ def stream(spark, sf, name):
 
 
 def folders(spark):
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "stream")
     return f"{base}/out", f"{base}/checkpoint"
 
 
 def finish(writer):
-    running = writer.trigger(availableNow=True).start()
-    if not running.awaitTermination(LIMIT_SECONDS):
-        running.stop()
-        raise TimeoutError("the stream did not reach the end of its input")
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
 @query("stream_counter", f"""
@@ -55,13 +49,13 @@ def stream_counter(spark, sf):
     return counter.current(spark, out)
 
 
-_DOC = """to_json(named_struct('lead', named_struct('id', CASE WHEN event_id % 31 = 0 THEN '' ELSE CAST(event_id % 4000 AS STRING) END, 'source', event_type),
+_DOC = """to_json(named_struct('lead', named_struct('id', CASE WHEN event_id % 31 = 0 THEN '' ELSE CAST(event_id - event_id % 5 AS STRING) END, 'source', event_type),
   'contact', named_struct('name', named_struct('display', concat('User ', CAST(user_id AS STRING))), 'email', CASE WHEN user_id % 3 = 0 THEN '' ELSE concat('u', CAST(user_id AS STRING), '@x.example') END),
   'recipient', named_struct('officeName', 'O', 'officeId', '1', 'contactName', concat('nation_', CAST(user_id % 30 AS STRING)))))"""
 
 
 @query("stream_intake", """
-WITH v AS (SELECT event_id, user_id, event_type, event_id % 4000 AS id FROM events WHERE event_id % 31 <> 0),
+WITH v AS (SELECT event_id, user_id, event_type, event_id - event_id % 5 AS id FROM events WHERE event_id % 31 <> 0),
 f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY event_id) = 1)
 SELECT CAST(id AS VARCHAR) AS source_lead_id, n_nationkey AS broker_id, concat('User ', user_id) AS contact,
   CASE WHEN user_id % 3 = 0 THEN 'insufficient_data' ELSE 'pending' END AS attempt_status
