@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import parse_length, parse_year
@@ -11,9 +11,11 @@ from ..functions.vocab import NOT_AVAILABLE
 from ..schemas import LISTING_CSV
 
 
-def read_listing_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV, every column a string, under the canonical column names."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"',
+def read_listing_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Header CSV, every column a string, under the canonical column names.
+
+    ``multi_line`` reads quoted line breaks, at the price of one task per file."""
+    df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"',
                         ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     return df.select(*[
         F.col(f"`{header}`").alias(name) for header, name in LISTING_CSV.items() if header in df.columns])
@@ -56,20 +58,26 @@ def outcome_or_default(outcome: Column) -> Column:
     return F.coalesce(outcome, F.lit("imported"))
 
 
-def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """JSON export ``{id, fields, createdTime}``: fields flattened to canonical names."""
+def read_export(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """JSON export ``{id, fields, createdTime}``: fields flattened to canonical names.
+
+    One document per line, which splits; ``multi_line`` reads one array per file instead."""
     schema = "id string, createdTime string, fields struct<" + ", ".join(
         f"`{h}`: string" for h in LISTING_CSV) + ">"
-    df = spark.read.schema(schema).json(path, multiLine=True)
+    df = spark.read.schema(schema).json(path, multiLine=multi_line)
     return df.select(
         F.col("id").alias("external_id"), F.to_timestamp("createdTime").alias("created_at"),
         *[F.col(f"fields.`{h}`").alias(name) for h, name in LISTING_CSV.items()])
 
 
-def write_export(df: DataFrame, path: str, key: str, created: str) -> None:
-    """Table to JSON lines ``{id, fields, createdTime}``."""
+def write_export(df: DataFrame, path: str, key: str, created: str) -> int:
+    """Table to JSON lines ``{id, fields, createdTime}``; returns the number of records, which is
+    counted while they are written."""
     fields = [c for c in df.columns if c not in (key, created)]
-    export_rows(df, key, created, fields).write.mode("overwrite").json(path)
+    seen = Observation()
+    rows = export_rows(df, key, created, fields).observe(seen, F.count(F.lit(1)).alias("records"))
+    rows.write.mode("overwrite").json(path)
+    return seen.get["records"]
 
 
 def export_rows(df: DataFrame, key: str, created: str, fields: list[str]) -> DataFrame:

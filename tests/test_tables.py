@@ -166,7 +166,7 @@ def test_listing_csv(rows, spark, brokers, tmp_path):
     path = tmp_path / "boats.csv"
     path.write_text("Nom du Bateau,Constructeur,Longueur (M/pieds),Année,Broker,Propriétaire,Capitaine,Localisation,Prix Actuel (€/$),Prix Précédent (€/$),Dernier message,Commentaire\n"
                     'One,Maker,"12,5",2010.0,Ann,,N/A,Nice,1M€,N/A,,\nTwo,,1,2,Ann,,,,,,,\nThree,Maker,0,x,Zed,o,c,l,,,,"a, b"\n')
-    raw = files.read_listing_csv(spark, str(path))
+    raw = files.read_listing_csv(spark, str(path), multi_line=True)
     out = {r.nom_bateau: r for r in files.import_listings(raw, brokers).collect()}
     assert (float(out["One"].longueur_m), out["One"].annee, out["One"].broker_id, out["One"].capitaine, out["One"].prix_precedent) == (12.5, 2010, "1", "N/A", None)
     assert out["Two"].outcome == "skipped" and out["Three"].outcome == "imported" and out["Three"].broker_id is None
