@@ -13,7 +13,7 @@ from ..functions.text import (
 from ..functions.urls import (
     bucket, canonical, in_domain, is_profile_person, parse_url, source_type, with_canonical,
 )
-from ..plans.barrier import filter_computed
+from ..plans.barrier import fenced, filter_computed
 from ..plans.joins import with_group_facts
 from ..plans.ordering import first_per_key, numbered, top_k
 from ..session import materialise
@@ -211,19 +211,24 @@ def pack_budget(docs: DataFrame, max_chars: int = 60_000, key: str = "lead_id")
 
     A document costs its header and body.  Each one spends at least the shortest
     header, so numbers past ``max_chars / shortest header`` can never fit: groups are
-    bounded by the rule itself before the running total, at no loss.
+    bounded by the rule itself before the running total, at no loss.  Lengths are numbered
+    and added up; only the few documents that fit are joined back to their texts.
     """
     most = max_chars // _SHORTEST_HEADER + 1
-    df = numbered(docs, [key], "ordinal", rank="index").filter(F.col("index") <= most)
+    length = F.length(F.coalesce("text", F.lit("")))
+    narrow = fenced(docs.select(key, "ordinal", "source_type", "url", length.alias("_length")))
+    df = numbered(narrow, [key], "ordinal", rank="index").filter(F.col("index") <= most)
     df = df.withColumn("header", F.concat(
         F.lit("[S"), F.col("index").cast("string"), F.lit("] type="), F.col("source_type"),
         F.lit(" url="), F.col("url"), F.lit("\n")))
-    size = F.length("header") + F.length(F.coalesce("text", F.lit("")))
+    size = F.length("header") + F.col("_length")
     before = Window.partitionBy(key).orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("used_before", F.coalesce(F.sum(size).over(before), F.lit(0)))
     room = F.lit(max_chars) - F.col("used_before") - F.length("header")
+    kept = df.withColumn("_room", room).filter(F.col("_room") > 0).select(
+        key, "ordinal", "index", "header", "used_before", "_room")
     return (
-        df.withColumn("_room", room).filter(F.col("_room") > 0)
+        docs.join(kept, [key, "ordinal"])
         .withColumn("body", F.left(F.coalesce("text", F.lit("")), F.col("_room").cast("int")))
         .drop("_room", "text"))
 

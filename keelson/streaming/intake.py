@@ -12,8 +12,12 @@ from ..operators import leads as L
 from ..operators.validation import lead_document_rules, split, with_errors
 
 
-def read_back(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """Rows the earlier batches stored, None while there are none."""
+PREFIXES = 64
+
+
+def read_back(spark, path: str, before: int | None = None, prefixes: list[int] | None = None) -> DataFrame | None:
+    """Rows the earlier batches stored, None while there are none.  ``prefixes`` reads only the
+    folders that can hold the keys of a batch."""
     try:
         stored = spark.read.option("basePath", path).parquet(path)
     except AnalysisException as exc:
@@ -21,36 +25,53 @@ def read_back(spark, path: str, before: int | None = None) -> DataFrame | None:
         if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
-    return stored if before is None else stored.filter(F.col("batch_id") < before)
+    if before is not None:
+        stored = stored.filter(F.col("batch_id") < before)
+    return stored if prefixes is None else stored.filter(F.col("prefix").isin(prefixes))
+
+
+def write_batch(df: DataFrame, path: str, batch_id: int, key: str | None = None, prefixes: int = PREFIXES) -> None:
+    """Write one batch to its own folder; repeating a batch replaces it.  With ``key`` the rows are
+    filed by a hash of it."""
+    place = f"{path}/batch_id={batch_id}"
+    if key is None:
+        df.write.mode("overwrite").parquet(place)
+    else:
+        df.withColumn("prefix", prefix(key, prefixes)).write.mode("overwrite").partitionBy("prefix").parquet(place)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write one batch to its own folder; repeating a batch replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def prefix(key: str, prefixes: int = PREFIXES) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(prefixes)).cast("int")
 
 
 def store_batch(batch: DataFrame, batch_id: int, store: str, brokers: DataFrame, aliases: DataFrame,
-                now: Column, domains: tuple[str, str] | None = None) -> None:
+                now: Column, domains: tuple[str, str] | None = None, prefixes: int = PREFIXES) -> None:
     """One micro-batch: rejected documents, new leads with owner, one attempt per new lead.
 
-    Keys stored by earlier batches are skipped, which keeps the unlimited uniqueness.
+    Keys stored by earlier batches are skipped, which keeps the unlimited uniqueness.  The store
+    is filed by ``prefixes`` hash folders of the lead key, of which a batch reads those its own keys
+    fall in: a small batch reads a small part of the store.
     """
-    checked = with_errors(L.parse_documents(batch), lead_document_rules())
+    spark = batch.sparkSession
+    # read by both branches, so documents are parsed once
+    checked = with_errors(L.parse_documents(batch), lead_document_rules()).persist()
     good, bad = split(checked)
     write_batch(bad.select("ordinal", "raw_payload", F.array_join("errors", "|").alias("errors")),
                 f"{store}/rejected", batch_id)
     fresh = L.first_wins(L.flatten_documents(good, now, keep=("ordinal",)), "source_lead_id", "ordinal")
-    known = read_back(batch.sparkSession, f"{store}/leads", before=batch_id)
+    folders = [r[0] for r in good.select(prefix("doc.lead.id", prefixes)).distinct().toLocalIterator()]
+    known = read_back(spark, f"{store}/leads", batch_id, folders)
     if known is not None:
         fresh = L.new_only(fresh, known, "source_lead_id")
-    write_batch(L.route(fresh, brokers, aliases, now, domains), f"{store}/leads", batch_id)
+    write_batch(L.route(fresh, brokers, aliases, now, domains), f"{store}/leads", batch_id, "source_lead_id", prefixes)
     # attempts are derived from what was stored, so both outputs name the same leads
-    stored = batch.sparkSession.read.parquet(f"{store}/leads/batch_id={batch_id}")
+    stored = spark.read.schema(fresh.schema).parquet(f"{store}/leads/batch_id={batch_id}")
     attempts = A.enqueue(stored, now, key="source_lead_id")
-    active = read_back(batch.sparkSession, f"{store}/attempts", before=batch_id)
+    active = read_back(spark, f"{store}/attempts", batch_id, folders)
     if active is not None:
-        attempts = A.guard_one_active(attempts, active, "requested_at")
-    write_batch(attempts, f"{store}/attempts", batch_id)
+        attempts = A.guard_one_active(attempts, active.drop("prefix"), "requested_at")
+    write_batch(attempts, f"{store}/attempts", batch_id, "lead_id", prefixes)
+    checked.unpersist()
 
 
 def intake_stream(documents: DataFrame, store: str, checkpoint: str, brokers: DataFrame, aliases: DataFrame,

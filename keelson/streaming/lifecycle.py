@@ -4,28 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.attempts import ACTIONS, next_state
+from ..operators.attempts import ACTIONS, lifecycle_states, next_state
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CODES = {a: i for i, a in enumerate(ACTIONS)}
 OUTPUT = "id string, events long, status string, retry_count int"
 
 
 class Lifecycle(StatefulProcessor):
     """State per attempt: (status, retry_count, number of events).
 
-    The events of one attempt inside a micro-batch are put in ordinal order first; the
-    source's rate limit (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) bounds them.
+    Of the events of one attempt inside a micro-batch only ordinals and action codes are held (nine
+    bytes an event), put in order and folded as arrays; the source's rate limit
+    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) bounds them.
     An attempt still running ``stale_minutes`` after its last event is recovered by a
     processing-time timer.
     """
 
-    def __init__(self, max_retries: int = 3, stale_minutes: int | None = None):
+    def __init__(self, max_retries: int = 3, stale_minutes: float | None = None):
         self.max_retries = max_retries
-        self.stale_ms = None if stale_minutes is None else stale_minutes * 60_000
+        self.stale_ms = None if stale_minutes is None else int(stale_minutes * 60_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -35,17 +38,30 @@ class Lifecycle(StatefulProcessor):
         stored = self.state.get() if self.state.exists() else None
         return tuple(stored) if stored else ("pending", 0, 0)
 
+    def after(self, state: tuple[str, int], codes: np.ndarray) -> tuple[str, int]:
+        """State after the ordered actions.  An action maps every state to the next one and maps
+        compose, so neighbours are joined pairwise until one map is left."""
+        states = lifecycle_states(self.max_retries)
+        steps = np.array([[states.index(next_state(s, a, self.max_retries)) for s in states] for a in ACTIONS])
+        maps = steps[codes]
+        while len(maps) > 1:
+            pairs = np.take_along_axis(maps[1::2], maps[: len(maps) // 2 * 2: 2], axis=1)
+            maps = np.concatenate([pairs, maps[len(maps) // 2 * 2:]])
+        return states[maps[0][states.index(state)]] if len(maps) else state
+
     def _row(self, key, status, retries, events) -> pd.DataFrame:
         return pd.DataFrame({"id": [key[0]], "events": [events], "status": [status], "retry_count": [retries]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         status, retries, events = self._load()
-        parts = []
+        ordinals, codes = [], []
         for part in rows:
             events += len(part)
-            parts.append(part.loc[part["action"].isin(ACTIONS), ["ordinal", "action"]])
-        for action in pd.concat(parts).sort_values("ordinal")["action"]:
-            status, retries = next_state((status, retries), action, self.max_retries)
+            code = part["action"].map(CODES)
+            ordinals.append(part["ordinal"].to_numpy()[code.notna()])
+            codes.append(code.dropna().to_numpy(np.int8))
+        order = np.argsort(np.concatenate(ordinals), kind="stable")
+        status, retries = self.after((status, int(retries)), np.concatenate(codes)[order])
         self.state.update((status, int(retries), int(events)))
         if self.stale_ms is not None:
             for timer in list(self.handle.listTimers()):
@@ -65,7 +81,7 @@ class Lifecycle(StatefulProcessor):
         pass
 
 
-def lifecycle_stream(events: DataFrame, max_retries: int = 3, stale_minutes: int | None = None) -> DataFrame:
+def lifecycle_stream(events: DataFrame, max_retries: int = 3, stale_minutes: float | None = None) -> DataFrame:
     """Stream of (id, ordinal, action) to the changing state of every attempt."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return events.groupBy("id").transformWithStateInPandas(

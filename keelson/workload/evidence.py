@@ -197,7 +197,7 @@ def search_hits(spark, sf):
 
 _HIT_URL = (
     "CASE page_id % 9 WHEN 0 THEN concat('https://search.brave.com/', cast(page_id AS VARCHAR(20))) "
-    "WHEN 1 THEN concat('https://www.youtube.com/', cast(page_id AS VARCHAR(20))) WHEN 2 THEN concat(split_part(url, '?', 1), '.pdf') ELSE url END")
+    "WHEN 1 THEN concat('https://www.youtube.com/', cast(page_id AS VARCHAR(20))) WHEN 2 THEN concat(split_part(url, '?', 1), '.pdf') WHEN 3 THEN concat('https://shared.example/', CAST(page_id % 3 AS VARCHAR(9))) ELSE url END")
 _WORDS = (
     "concat(CASE WHEN page_id % 2 = 0 THEN 'Yacht charter ' ELSE '' END, CASE WHEN page_id % 3 = 0 THEN 'Founder of ' ELSE '' END, "
     "CASE WHEN page_id % 5 = 0 THEN 'Fleet logistics ' ELSE '' END, CASE WHEN page_id % 7 = 0 THEN 'music album ' ELSE '' END, "
@@ -214,14 +214,16 @@ s AS (SELECT lead_id, page_id, cu AS canonical_url,
   FROM c WHERE cu <> '' AND host <> 'search.brave.com' AND NOT ends_with(host, '.brave.com') AND NOT starts_with(host, 'imgs.')
    AND NOT {sql_any('host', V.HIT_MEDIA_HOSTS)} AND NOT regexp_matches(lower(split_part(cu, '?', 1)), '(\\.jpg|\\.jpeg|\\.png|\\.gif|\\.svg|\\.webp|\\.pdf)$')
    AND contains(lab, 'jane doe')),
+shown AS (SELECT lead_id, cu AS canonical_url, arg_max(title, page_id) AS title FROM c WHERE cu <> '' GROUP BY ALL),
 d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lead_id, lower(canonical_url) ORDER BY score DESC, page_id) = 1)
-SELECT lead_id, page_id, canonical_url, score, row_number() OVER (PARTITION BY lead_id ORDER BY score DESC, page_id) AS rank FROM d QUALIFY rank <= 8""")
+SELECT d.lead_id, page_id, canonical_url, score, row_number() OVER (PARTITION BY d.lead_id ORDER BY score DESC, page_id) AS rank,
+  trim(title) AS title, trim(title) AS content FROM d JOIN shown USING (lead_id, canonical_url) QUALIFY rank <= 8""")
 def hit_ranking(spark, sf):
     hits = table(spark, sf, "pages").selectExpr(
         "page_id AS ordinal", "page_id % 20 AS lead_id", f"{_HIT_URL} AS url", f"{_WORDS} AS title", f"{_WORDS} AS content",
         "'Jane Doe' AS wanted")
     out = E.rank_hits(hits, 8, required_name="wanted")
-    return out.select("lead_id", F.col("ordinal").alias("page_id"), "canonical_url", "score", "rank")
+    return out.select("lead_id", F.col("ordinal").alias("page_id"), "canonical_url", "score", "rank", "title", "content")
 
 
 # --- texts -----------------------------------------------------------------------------

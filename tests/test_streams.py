@@ -1,10 +1,14 @@
 import json
 import os
+import random
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from keelson.streaming import intake
+from keelson.operators.attempts import ACTIONS, next_state
+from keelson.operators.attempts import lifecycle as lifecycle_job
+from keelson.streaming import intake, lifecycle
 from tests.test_tables import BROKERS, document
 
 
@@ -33,3 +37,48 @@ def test_intake_in_batches_equals_one_batch(rows, spark, tmp_path):
     # a repeated batch replaces its own output
     intake.store_batch(rows(batches[1], "ordinal long, value string"), 1, store, brokers, aliases, now)
     assert intake.read_back(spark, f"{store}/leads").count() == 2
+    # a batch reads only the folders its keys can be in
+    plan = intake.read_back(spark, f"{store}/leads", 2, [3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch_id" in plan and "prefix" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_a_silent_attempt_is_recovered_by_its_timer(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "0.json").write_text('{"id": "A", "ordinal": 1, "action": "claim"}\n{"id": "B", "ordinal": 1, "action": "complete"}')
+    events = spark.readStream.schema("id string, ordinal long, action string").json(str(source))
+    states = lifecycle.lifecycle_stream(events, stale_minutes=0.02)
+    query = states.writeStream.outputMode("update").foreachBatch(
+        lambda batch, batch_id: intake.write_batch(batch, out, batch_id)).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            stored = intake.read_back(spark, out) if os.path.isdir(out) else None
+            seen = [(r.status, r.retry_count) for r in stored.filter("id = 'A'").orderBy("batch_id").collect()] if stored else []
+            if len(seen) > 1:
+                break
+    finally:
+        query.stop()
+    assert seen[0] == ("running", 1) and seen[-1] == ("pending", 1)
+
+
+def test_long_event_sequences_fold_to_the_same_state():
+    r = random.Random(1)
+    for n in (0, 1, 2, 3, 1000):
+        actions = [r.choice(ACTIONS) for _ in range(n)]
+        state = ("pending", 0)
+        for a in actions:
+            state = next_state(state, a, 3)
+        codes = np.array([lifecycle.CODES[a] for a in actions], np.int8)
+        assert lifecycle.Lifecycle(3).after(("pending", 0), codes) == state
+
+
+def test_sparse_ordinals_are_folded_in_levels(spark):
+    events = spark.range(100_000).selectExpr(
+        "'A' AS id", "id * 1000003 - 7000000000 AS ordinal", "element_at(array('claim', 'fail', 'noop'), CAST(id % 3 + 1 AS INT)) AS action")
+    row = lifecycle_job(events, "id", "ordinal", "action").first()
+    state = ("pending", 0)
+    for i in range(100_000):
+        state = next_state(state, ("claim", "fail", "noop")[i % 3], 3)
+    assert (row.events, row.status, row.retry_count) == (100_000, *state)
