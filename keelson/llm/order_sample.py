@@ -81,15 +81,19 @@ def cut(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A key is taken if the words before it and half its own are at most the rest, which is the
     prefix of the ranking nearest to the rest.  Digit by digit: whole buckets within the rest are
-    in, the first one that is not is opened.
+    in, the first one that is not is opened.  The first sums are made before they meet the rests, and
+    later rows meet the opened buckets on source and bucket, so no join gathers a source.
     """
-    path, low = F.lit(0).cast("long"), KEY_BITS
-    state = wanted.select("_sid", "_rest", path.alias("_path"))
+    low = KEY_BITS
     for bits in DIGIT_BITS:
         low -= bits
-        inside = keyed.join(state, "_sid").filter(F.shiftright("_key", low + bits) == F.col("_path"))
-        sums = inside.groupBy("_sid", F.shiftright("_key", low).alias("_path")).agg(
-            F.sum("size").alias("_words"), F.first("_rest").alias("_rest"))
+        path = F.shiftright("_key", low).alias("_path")
+        if low + bits == KEY_BITS:
+            sums = keyed.groupBy("_sid", path).agg(F.sum("size").alias("_words")).join(wanted, "_sid")
+        else:
+            opened = state.withColumnRenamed("_path", "_bucket")
+            inside = keyed.withColumn("_bucket", F.shiftright("_key", low + bits)).join(opened, ["_sid", "_bucket"])
+            sums = inside.groupBy("_sid", path).agg(F.sum("size").alias("_words"), F.first("_rest").alias("_rest"))
         upto = Window.partitionBy("_sid").orderBy("_path")
         sums = sums.withColumn("_through", F.sum("_words").over(upto))
         if low:
