@@ -174,6 +174,19 @@ TEXT = {
     "sum_homonym": "Homonyme sanctions ou PEP possible, non confirmé ; contrôle renforcé recommandé.",
 }
 
+# --- short report sentences (fixed texts) ---
+SHORT_TEXT = {
+    "no_input": "Nom complet ou email manquant.",
+    "email": "Adresse email exacte présente dans un résultat public.",
+    "name": "Nom complet exact présent dans les résultats collectés.",
+    "own_domain": "Source concordante trouvée sur le domaine professionnel de l’email.",
+    "rationale": "Attribution textuelle uniquement; confirmation humaine requise avant décision KYC.",
+    "collected": " source(s) publique(s) collectée(s).",
+    "screening": "Contrôles sanctions/PEP non conclusifs sans registre officiel intégré.",
+    "none": "Aucune source publique suffisamment robuste trouvée.",
+}
+SHORT_NOTE = 500
+
 # --- leads ---
 LEAD_STATUSES = ("NEW", "CONTACTED", "QUALIFIED", "CONVERTED", "LOST")
 ATTEMPT_STATUSES = ("pending", "running", "completed", "insufficient_data", "failed", "cancelled")

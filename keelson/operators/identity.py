@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.text import clean, email_domain, fold
-from ..functions.urls import is_profile_company, is_profile_person, parse_url
+from ..functions.urls import is_profile_company, is_profile_person, parse_url, source_type_short
 from ..plans.barrier import filter_computed
 from ..plans.joins import with_group_facts
 from ..plans.ordering import top_k
@@ -140,38 +140,50 @@ def screening_details(facts: DataFrame, kind: str, k: int = 3, key: str = "lead_
     return out.withColumn("detail", F.concat(F.lit(V.TEXT["match_detail"]), F.col("url")))
 
 
-def identity_short(hits: DataFrame, leads: DataFrame, key: str = "lead_id", limit: int = 5) -> DataFrame:
-    """Rule set on the concatenated evidence of the first ``limit`` sources of a lead."""
+def short_evidence(hits: DataFrame, leads: DataFrame, key: str = "lead_id", limit: int = 5) -> DataFrame:
+    """Facts of the short rule set: the first ``limit`` sources of every lead (``_hits``) and what
+    their joined texts hold."""
     mail = F.lower(clean(F.col("email")))
     after_at = F.coalesce(F.get(F.split(mail, "@"), F.lit(1)), F.lit(""))
     side = leads.select(
         key, fold(clean(F.col("full_name")), "builder").alias("_name"),
-        fold(mail, "builder").alias("_email"), after_at.alias("_domain"),
+        fold(mail, "builder").alias("_email"), after_at.alias("_domain"), mail.alias("_mail"),
         ((clean(F.col("full_name")) != "") & (mail != "")).alias("_ready"))
     df = with_group_facts(hits, side.select(key, "_domain"), key, "ordinal")
     df = own_domain_first(df, [key], "url", F.col("_domain"), "ordinal", limit)
-    line = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")), "url")
+    df = parse_url(df, "url", "_u").withColumn("_type", source_type_short(F.col("_u"), F.col("_domain"))).drop("_u")
+    title, snippet = F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))
     per_lead = df.groupBy(key).agg(
         F.count(F.lit(1)).alias("sources"),
-        F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("_lines"),
+        F.array_sort(F.collect_list(F.struct(
+            "rank", F.col("_type").alias("type"), "url", title.alias("title"), snippet.alias("snippet")))).alias("_hits"),
         F.bool_or((F.col("_domain") != "") & ~F.col("_domain").isin(*V.FREE_MAIL_SHORT) & F.col("is_own"))
         .alias("own_domain"))
-    df = side.join(per_lead, key, "left").withColumn(
-        "_all", fold(F.array_join(F.col("_lines.line"), " "), "builder"))
+    lines = F.transform("_hits", lambda h: F.concat_ws(" ", h["title"], h["snippet"], h["url"]))
+    df = side.join(per_lead, key, "left").withColumn("_all", fold(F.array_join(lines, " "), "builder"))
     text = F.coalesce("_all", F.lit(""))
-    df = df.withColumns({
+    return df.withColumns({
         "email_found": (F.col("_email") != "") & F.contains(text, F.col("_email")),
         "name_found": (F.length("_name") > 2) & F.contains(text, F.col("_name")),
         "own_domain": F.coalesce("own_domain", F.lit(False)),
         "sources": F.coalesce("sources", F.lit(0)),
-    })
+    }).drop("_all")
+
+
+def with_short_status(df: DataFrame) -> DataFrame:
+    """Add status, score and review of the short rule set."""
     email, name, own, ready = (F.col(c) for c in ("email_found", "name_found", "own_domain", "_ready"))
-    return df.select(
-        key, "sources", "email_found", "name_found", "own_domain",
-        F.when(ready & ((email & name) | (name & own)), "probable")
-        .when(ready & (email | name), "ambiguous").otherwise("unresolved").alias("identity_status"),
-        F.when(~ready, 0).when(email & name & own, 70).when(email & name, 60).when(name & own, 55)
-        .when(email, 45).when(name, 30).otherwise(0).alias("confidence_score"),
-        F.when(ready & (F.col("sources") > 0), "manual_review").otherwise("insufficient_data")
-        .alias("recommended_review"))
+    return df.withColumns({
+        "identity_status": F.when(ready & ((email & name) | (name & own)), "probable")
+        .when(ready & (email | name), "ambiguous").otherwise("unresolved"),
+        "confidence_score": F.when(~ready, 0).when(email & name & own, 70).when(email & name, 60)
+        .when(name & own, 55).when(email, 45).when(name, 30).otherwise(0),
+        "recommended_review": F.when(ready & (F.col("sources") > 0), "manual_review").otherwise("insufficient_data"),
+    })
 
+
+def identity_short(hits: DataFrame, leads: DataFrame, key: str = "lead_id", limit: int = 5) -> DataFrame:
+    """Rule set on the concatenated evidence of the first ``limit`` sources of a lead."""
+    return with_short_status(short_evidence(hits, leads, key, limit)).select(
+        key, "sources", "email_found", "name_found", "own_domain", "identity_status", "confidence_score",
+        "recommended_review")

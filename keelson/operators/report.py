@@ -13,7 +13,9 @@ from ..schemas import REPORT
 from ..session import materialise
 from .contract import blank_report, enforce_screening, settle
 from .evidence import score_evidence, with_fields
-from .identity import COUNTS, IDENTIFIED, count_columns, document_facts, identity_ladder
+from .identity import (
+    COUNTS, IDENTIFIED, count_columns, document_facts, identity_ladder, short_evidence, with_short_status,
+)
 
 TEXT = V.TEXT
 
@@ -219,3 +221,44 @@ def assemble(docs: DataFrame, leads: DataFrame, key: str = "lead_id", reuse: boo
                    usable.alias("_usable"))
     done = settle(enforce_screening(df.withColumn("_plain", F.col("report"))))
     return done.select(key, F.when(F.col("_usable"), F.col("report")).otherwise(F.col("_plain")).alias("report"))
+
+
+def short_report(hits: DataFrame, leads: DataFrame, key: str = "lead_id", limit: int = 5) -> DataFrame:
+    """The short builder's report per lead: typed sources with a note, evidence, the matched person,
+    addresses, sites and reasons.  Leads without name or e-mail get the reason alone."""
+    df = with_short_status(short_evidence(hits, leads, key, limit))
+    names = ("full_name", "company_name", "country", "city")
+    df = df.join(leads.select(key, *[clean(F.col(n)).alias(n) for n in names]), key)
+    ready, domain, T = F.col("_ready"), F.col("_domain"), V.SHORT_TEXT
+    email, name, own = (F.col(c) for c in ("email_found", "name_found", "own_domain"))
+
+    def source(h):
+        note = F.concat_ws(" — ", F.nullif(h["title"], F.lit("")), F.nullif(h["snippet"], F.lit("")))
+        return F.struct(h["type"].alias("type"), h["url"].alias("url"), F.left(note, F.lit(V.SHORT_NOTE)).alias("note"))
+
+    kind = "array<struct<type:string,url:string,note:string>>"
+    strings = "array<string>"
+    df = df.withColumn("source_list", F.when(
+        ready & (F.col("sources") > 0), F.transform("_hits", source)).otherwise(F.array().cast(kind)).cast(kind))
+    df = df.withColumn("evidence", F.array_compact(F.array(
+        F.when(ready & email, T["email"]), F.when(ready & name, T["name"]),
+        F.when(ready & own & (email | name), T["own_domain"]))).cast(strings))
+    found = F.size("evidence") > 0
+
+    def text_if(condition, value):
+        return F.when(condition, value).otherwise("")
+
+    place = F.when(F.col("city") != "", F.col("city")).otherwise(F.col("country"))
+    linkedin = F.filter("source_list", lambda s: s["type"] == "linkedin")
+    reasons = F.when(~ready, F.array(F.lit(T["no_input"]))).when(
+        F.col("sources") > 0, F.array(F.concat(F.col("sources").cast("string"), F.lit(T["collected"])), F.lit(T["screening"]))
+    ).otherwise(F.array(F.lit(T["none"])))
+    return df.select(
+        key, "identity_status", "confidence_score", "recommended_review", "source_list", "evidence",
+        text_if(found, F.col("full_name")).alias("person_name"), text_if(found, place).alias("person_location"),
+        text_if(found, F.col("company_name")).alias("person_company"), text_if(found, F.col("country")).alias("person_country"),
+        text_if(found, F.lit(T["rationale"])).alias("rationale"),
+        F.when(ready & email, F.array("_mail")).otherwise(F.array().cast(strings)).alias("emails"),
+        F.col("source_list.url").alias("websites"), F.coalesce(F.get(linkedin, F.lit(0))["url"], F.lit("")).alias("linkedin"),
+        text_if(ready & (domain != "") & ~domain.isin(*V.FREE_MAIL_SHORT), F.concat(F.lit("https://"), domain)).alias("company_website"),
+        reasons.alias("key_reasons"))

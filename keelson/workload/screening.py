@@ -125,6 +125,45 @@ def identity_short(spark, sf):
     return I.identity_short(hits, roles.evidence_leads(spark, sf))
 
 
+_SHORT_TYPE = f"""CASE WHEN {sql_in_domain('hh', 'd')} THEN 'company_website' WHEN contains(hh, 'linkedin.com') THEN 'linkedin'
+    WHEN contains(hh, 'sanction') OR contains(hh, 'ofac') OR contains(hh, 'europa.eu') THEN 'sanctions_db'
+    WHEN contains(hh, 'company') OR contains(hh, 'registry') OR contains(hh, 'registre') THEN 'official_registry'
+    WHEN contains(hh, 'news') OR contains(hh, 'press') OR contains(hh, 'reuters') THEN 'news' ELSE 'other' END"""
+_S = V.SHORT_TEXT
+
+
+@query("short_report", f"""
+WITH {EVIDENCE_LEADS_SQL},
+h AS (SELECT source AS lead_id, doc_id AS ordinal, {roles.DOCUMENT_URL} AS url, CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END AS title, text AS snippet FROM documents),
+l AS (SELECT *, {sql_fold('full_name', 'builder')} AS n, {sql_fold('lower(email)', 'builder')} AS e, split_part(lower(email), '@', 2) AS d, full_name <> '' AND email <> '' AS ready FROM ev_leads),
+r AS (SELECT h.*, d, {sql_host('url')} AS hh, {sql_in_domain(sql_host('url'), 'd')} AS own FROM h JOIN l USING (lead_id)
+  QUALIFY row_number() OVER (PARTITION BY lead_id ORDER BY {sql_in_domain(sql_host('url'), 'd')} DESC, ordinal) <= 5),
+t AS (SELECT *, {_SHORT_TYPE} AS typ FROM r),
+g AS (SELECT lead_id, count(*) AS sources, string_agg(concat_ws(' ', title, snippet, url), ' ' ORDER BY own DESC, ordinal) AS t,
+  string_agg(concat(typ, ' ', url, ' ', left(concat_ws(' — ', nullif(title, ''), nullif(snippet, '')), 500)), '|' ORDER BY own DESC, ordinal) AS src,
+  string_agg(url, '|' ORDER BY own DESC, ordinal) AS urls, coalesce(first(url ORDER BY own DESC, ordinal) FILTER (WHERE typ = 'linkedin'), '') AS linkedin,
+  bool_or(d <> '' AND d NOT IN {sql_list(V.FREE_MAIL_SHORT)} AND own) AS own FROM t GROUP BY lead_id),
+f AS (SELECT l.*, sources, own, src, urls, linkedin, ready AND contains(ft, e) AND e <> '' AS ef, ready AND contains(ft, n) AND length(n) > 2 AS nf
+  FROM l JOIN (SELECT *, {sql_fold('t', 'builder')} AS ft FROM g) USING (lead_id))
+SELECT lead_id, CASE WHEN ready THEN src ELSE '' END AS sources, CASE WHEN ready THEN urls ELSE '' END AS websites, CASE WHEN ready THEN linkedin ELSE '' END AS linkedin,
+  concat_ws('|', CASE WHEN ef THEN {q(_S['email'])} END, CASE WHEN nf THEN {q(_S['name'])} END, CASE WHEN own AND (ef OR nf) THEN {q(_S['own_domain'])} END) AS evidence,
+  CASE WHEN ef OR nf THEN full_name ELSE '' END AS person_name, CASE WHEN ef OR nf THEN company_name ELSE '' END AS person_company,
+  CASE WHEN ef OR nf THEN CASE WHEN city <> '' THEN city ELSE country END ELSE '' END AS person_location,
+  CASE WHEN ef OR nf THEN country ELSE '' END AS person_country, CASE WHEN ef OR nf THEN {q(_S['rationale'])} ELSE '' END AS rationale,
+  CASE WHEN ef THEN lower(email) ELSE '' END AS emails,
+  CASE WHEN ready AND d <> '' AND d NOT IN {sql_list(V.FREE_MAIL_SHORT)} THEN concat('https://', d) ELSE '' END AS company_website,
+  CASE WHEN NOT ready THEN {q(_S['no_input'])} ELSE concat(sources, {q(_S['collected'])}, '|', {q(_S['screening'])}) END AS key_reasons FROM f""")
+def short_report(spark, sf):
+    hits = table(spark, sf, "documents").selectExpr(
+        "source AS lead_id", "doc_id AS ordinal", f"{roles.DOCUMENT_URL} AS url",
+        "CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END AS title", "text AS snippet")
+    out = R.short_report(hits, roles.evidence_leads(spark, sf))
+    lists = {c: F.array_join(c, "|") for c in ("evidence", "emails", "websites", "key_reasons")}
+    sources = F.array_join(F.transform("source_list", lambda s: F.concat_ws(" ", s["type"], s["url"], s["note"])), "|")
+    return out.withColumns(lists).withColumn("sources", sources).drop(
+        "source_list", "identity_status", "confidence_score", "recommended_review")
+
+
 # --- report ------------------------------------------------------------------------------
 
 _FIRST = "string_agg({v}, '|' ORDER BY score DESC, ordinal)"
