@@ -87,19 +87,14 @@ def allowed(c: Column, values, fallback: str) -> Column:
     return F.when(c.isin(*values), c).otherwise(F.lit(fallback))
 
 
-def coerce(df: DataFrame, report: str = "report") -> DataFrame:
+def enum_changes(c: Column) -> dict[str, Column]:
     """Enum values outside their set fall back to their default."""
-    c = F.col(report)
-    changes = {
-        ".".join(path): allowed(_get(c, path), values, fallback)
-        for path, (values, fallback) in V.REPORT_ENUMS.items()}
-    return update(df, changes, report)
+    return {".".join(path): allowed(_get(c, path), values, fallback)
+            for path, (values, fallback) in V.REPORT_ENUMS.items()}
 
 
-def tidy_lists(df: DataFrame, report: str = "report") -> DataFrame:
+def list_changes(c: Column) -> dict[str, Column]:
     """Field caps and enum rules inside the nested lists."""
-    c = F.col(report)
-
     def bounded(x, name, n):
         return cap(clean(x[name]), n).alias(name)
 
@@ -122,9 +117,9 @@ def tidy_lists(df: DataFrame, report: str = "report") -> DataFrame:
     summary = F.transform(
         F.filter(F.slice(c["kyc_assessment"]["executive_summary"], 1, 8), lambda s: clean(s) != ""),
         lambda s: cap(strip(s), 600))
-    return update(df, {
+    return {
         "identity_resolution.matched_persons": persons, "adverse_media": adverse,
-        "maritime_screening.assets": assets, "kyc_assessment.executive_summary": summary}, report)
+        "maritime_screening.assets": assets, "kyc_assessment.executive_summary": summary}
 
 
 # --- grounding --------------------------------------------------------------------
@@ -316,8 +311,9 @@ def normalise(candidates: DataFrame, leads: DataFrame, docs: DataFrame, text: st
     query = F.struct(*[clean(F.col(n)).alias(n) for n in REPORT["query_input"].dataType.names])
     df = project(candidates.select(key, text), text).drop(text)
     df = df.join(leads.select(key, query.alias("_query")), key, "inner")
-    df = update(df, {"query_input": F.col("_query")}).drop("_query")
-    df = tidy_lists(coerce(df))
+    # everything that needs no other table in one rebuild of the struct
+    c = F.col("report")
+    df = update(df, {"query_input": F.col("_query"), **enum_changes(c), **list_changes(c)}).drop("_query")
     df = ground(materialise(df) if reuse else df, docs, "report", key)
     return settle(enforce_screening(df))
 

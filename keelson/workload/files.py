@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..operators import evidence as E
 from ..operators import leads as L
 from ..operators import providers as P
 from ..operators import validation as R
@@ -207,3 +208,31 @@ def rule_sets(spark, sf):
     rows = rows.select("o_orderkey", *sets, *[F.col(f"a_{n}").alias(n) for n in _ATTEMPT])
     rows = R.with_errors(rows, R.attempt_rules(), "attempt")
     return rows.select("o_orderkey", *[F.array_join(n, "|").alias(n) for n in (*sets, "attempt")])
+
+
+# a profile page: fields at the start of a line, in any case, with blanks around them
+_LINES = {
+    "metier": "CASE WHEN c_custkey % 2 = 0 THEN concat('  MÉTIER:  ', c_mktsegment, ' ') ELSE 'x Métier: no' END",
+    "entreprise": "CASE WHEN c_custkey % 3 = 0 THEN concat('Entreprise: Co ', CAST(c_custkey AS VARCHAR(20))) ELSE '' END",
+    "missions": "CASE WHEN c_custkey % 5 = 0 THEN concat('missions:', repeat('m ', 250)) ELSE 'Missions:' END",
+    "location": "concat('Location: ', CAST(c_nationkey AS VARCHAR(20)))",
+    "about": "CASE WHEN c_custkey % 7 = 0 THEN 'About: first' ELSE 'none' END",
+    "company_url": "'EntrepriseUrl: https://co.example/'",
+}
+_PAGE = "concat_ws(chr(10), c_name, " + ", ".join(_LINES.values()) + ", 'About: second')"
+_PAGE_URL = "concat('https://www.linkedin.com/', CASE WHEN c_custkey % 4 = 0 THEN 'company/' ELSE 'in/' END, CAST(c_custkey AS VARCHAR(20)))"
+_WANT = {
+    "metier": "CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END",
+    "entreprise": "CASE WHEN c_custkey % 3 = 0 THEN concat('Co ', c_custkey) ELSE '' END",
+    "missions": "CASE WHEN c_custkey % 5 = 0 THEN left(trim(repeat('m ', 250)), 400) ELSE '' END",
+    "location": "CAST(c_nationkey AS VARCHAR)", "about": "CASE WHEN c_custkey % 7 = 0 THEN 'first' ELSE 'second' END",
+    "company_url": "'https://co.example/'",
+}
+
+
+@query("profile_fields", "SELECT c_custkey, " + ", ".join(
+    f"CASE WHEN c_custkey % 4 = 0 THEN '' ELSE {w} END AS field_{n}" for n, w in _WANT.items()) + " FROM customer")
+def profile_fields(spark, sf):
+    """The prefixed fields of profile pages; other pages have none."""
+    pages = table(spark, sf, "customer").selectExpr("c_custkey", f"{_PAGE} AS text", f"{_PAGE_URL} AS url", "'linkedin' AS source_type")
+    return E.with_fields(pages).select("c_custkey", *[f"field_{n}" for n in _WANT])
