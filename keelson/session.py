@@ -68,12 +68,18 @@ def fresh_path(spark: SparkSession, kind: str = "table") -> str:
     return path
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a table of the shared folder that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write a result that several later branches read to a table in the shared folder.
 
     The lineage ends at the files, so lost executors cost nothing but a re-read, and each
     branch reads only the columns it needs.  The table goes when the driver ends."""
     spark = df.sparkSession
-    path = fresh_path(spark)
+    path = path or fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
