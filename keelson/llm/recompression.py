@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.llm.arrow_text import SPACES, arrow_batches, mixed, schema_of, text_chunks, word_hashes, words
-from keelson.session import materialise
+from keelson.session import fresh_path, materialise, remove
 
 WINDOW = 13
 ANCHOR = 5
 ROUNDS = 10
-SLAB = 2_000_000
-BUCKET = 1_500_000
+SLAB = 1_000_000
+BUCKET = 1_000_000
 NO_ID = 2**63 - 1
 
 U = np.uint64
@@ -322,9 +322,9 @@ def decided(entries: DataFrame, buckets: int, kind: type, rule: Callable, n: int
     return dealt.mapInArrow(run, "id long, th long, s int, n int")
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write a step; the shuffle files of the steps before go when the driver forgets their plans."""
-    out = materialise(df)
+    out = materialise(df, path)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
@@ -335,7 +335,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, slab: int = SLAB, bucket: int
     document occurs in a document with a smaller id."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(1, size // (32 * bucket)))  # about one anchor in 32 bytes
-    found = settled(first_rows(docs, window, slab, buckets))
+    spark, first = docs.sparkSession, fresh_path(docs.sparkSession)
+    found = settled(first_rows(docs, window, slab, buckets), first)
     plain = found.filter("bucket is null")
     group = Window.partitionBy("k1", "k2")
     known = settled(
@@ -343,6 +344,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, slab: int = SLAB, bucket: int
         .select("id", "th", "s", "n").unionByName(plain.filter("repeat").select("id", "th", "s", "n")))
     hot = settled(decided(found.filter("bucket is not null").select(*PACKED_NAMES), buckets, np.uint32,
                           lambda keys, ids: shared(keys, ids)[0], 0))
+    remove(spark, first)
     buckets = max(1, 6 * hot.count() // bucket)
     entries = window_rows(with_ranges(docs, known.unionByName(hot)), window, slab, buckets)
     return known.unionByName(settled(decided(entries, buckets, U, smallest, 1)))
