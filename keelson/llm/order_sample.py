@@ -89,11 +89,15 @@ def cut(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
         low -= bits
         path = F.shiftright("_key", low).alias("_path")
         if low + bits == KEY_BITS:
-            sums = keyed.groupBy("_sid", path).agg(F.sum("size").alias("_words")).join(wanted, "_sid")
+            sums = keyed.groupBy("_sid", path).agg(F.sum("size").alias("_words"))
         else:
             opened = state.withColumnRenamed("_path", "_bucket")
             inside = keyed.withColumn("_bucket", F.shiftright("_key", low + bits)).join(opened, ["_sid", "_bucket"])
             sums = inside.groupBy("_sid", path).agg(F.sum("size").alias("_words"), F.first("_rest").alias("_rest"))
+        # written, so that sums are complete before the rows of a source meet: at most one per bucket
+        sums = materialise(sums)
+        if low + bits == KEY_BITS:
+            sums = sums.join(wanted, "_sid")
         upto = Window.partitionBy("_sid").orderBy("_path")
         sums = sums.withColumn("_through", F.sum("_words").over(upto))
         if low:
