@@ -142,13 +142,17 @@ def lead_terms(leads: DataFrame, key: str = "lead_id") -> DataFrame:
 
 
 def score_evidence(docs: DataFrame, leads: DataFrame, key: str = "lead_id",
-                   word_boundary: bool = False, keep_text: bool = False) -> DataFrame:
+                   word_boundary: bool = False, keep_text: bool = False, keep_terms: bool = False) -> DataFrame:
     """Score every document against its own lead and list its signals.
 
     The join key is always the lead (an equi join); the documents of a hot lead are spread.
+    Documents without ``source_type`` get it here, so one join serves both; ``keep_terms`` leaves
+    the lead's name and domain for :func:`identity.document_facts`.
     """
     df = with_group_facts(docs, lead_terms(leads, key), key, "ordinal")
     df = parse_url(df, "url", "_u")
+    if "source_type" not in docs.columns:
+        df = df.withColumn("source_type", source_type(F.col("_u"), F.col("_domain")))
     df = df.withColumn("_folded", fold(F.coalesce("text", F.lit(""))))
     text, u = F.col("_folded"), F.col("_u")
 
@@ -176,7 +180,8 @@ def score_evidence(docs: DataFrame, leads: DataFrame, key: str = "lead_id",
     signals = F.array_compact(F.array(*[
         F.when(F.col("has_" + name), F.lit(label)) for name, label in V.SIGNALS.items()]))
     df = df.withColumn("score", score).withColumn("signals", signals)
-    drop = ["_name", "_tokens", "_email", "_domain", "_company", "_country", "_city", "_u", "_folded"]
+    drop = ["_tokens", "_email", "_company", "_country", "_city", "_u", "_folded"]
+    drop += [] if keep_terms else ["_name", "_domain"]
     return df.drop(*drop) if keep_text else df.drop("text", *drop)
 
 

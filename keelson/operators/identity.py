@@ -19,12 +19,14 @@ IDENTIFIED = ("confirmed", "probable")
 def document_facts(scored: DataFrame, leads: DataFrame, key: str = "lead_id") -> DataFrame:
     """Relevant documents with the flags the identity rules read.
 
-    ``scored`` comes from :func:`evidence.score_evidence`; ``headline`` is optional.
+    ``scored`` comes from :func:`evidence.score_evidence`; ``headline`` is optional, and with the
+    terms it can keep the leads are not joined again.
     """
-    side = leads.select(
-        key, fold(clean(F.col("full_name"))).alias("_name"), email_domain(F.col("email")).alias("_domain"))
-    relevant = filter_computed(scored, F.col("score") >= V.RELEVANCE_THRESHOLD)
-    df = with_group_facts(relevant, side, key, "ordinal", "left")
+    df = filter_computed(scored, F.col("score") >= V.RELEVANCE_THRESHOLD)
+    if "_name" not in scored.columns:
+        side = leads.select(
+            key, fold(clean(F.col("full_name"))).alias("_name"), email_domain(F.col("email")).alias("_domain"))
+        df = with_group_facts(df, side, key, "ordinal", "left")
     df = parse_url(df, "url", "_u")
     u = F.col("_u")
     if "headline" not in df.columns:

@@ -22,7 +22,7 @@ TEXT = V.TEXT
 
 def evidence_facts(docs: DataFrame, leads: DataFrame, key: str = "lead_id") -> DataFrame:
     """Relevant documents with score, signals, lines and flags, without their text."""
-    scored = score_evidence(docs, leads, key, keep_text=True)
+    scored = score_evidence(docs, leads, key, keep_text=True, keep_terms=True)
     scored = filter_computed(scored, F.col("score") >= V.RELEVANCE_THRESHOLD)
     return document_facts(with_fields(scored).drop("text"), leads, key)
 

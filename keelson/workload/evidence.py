@@ -282,7 +282,7 @@ def headlines(spark, sf):
 
 def scored(spark, sf, keep_text=False):
     leads = roles.evidence_leads(spark, sf)
-    return E.score_evidence(roles.evidence_documents(spark, sf, leads), leads, keep_text=keep_text)
+    return E.score_evidence(roles.untyped_documents(spark, sf), leads, keep_text=keep_text)
 
 
 @query("evidence_score", f"WITH {EVIDENCE_SCORED_SQL} SELECT lead_id, ordinal, source_type, score, signals FROM ev_scored")

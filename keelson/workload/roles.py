@@ -166,12 +166,17 @@ ev_leads AS (
   FROM first_docs)"""
 
 
+def untyped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a URL; scoring adds the source type in its own join."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "source AS lead_id", "doc_id AS ordinal", f"{DOCUMENT_URL} AS url", "text")
+
+
 def evidence_documents(spark: SparkSession, sf_dir: str, own_domains: DataFrame | None = None) -> DataFrame:
     """Documents with a URL and its source type."""
     from ..functions.text import email_domain
     from ..functions.urls import parse_url, source_type
-    docs = table(spark, sf_dir, "documents").selectExpr(
-        "source AS lead_id", "doc_id AS ordinal", f"{DOCUMENT_URL} AS url", "text")
+    docs = untyped_documents(spark, sf_dir)
     people = own_domains if own_domains is not None else evidence_leads(spark, sf_dir)
     own = people.select("lead_id", email_domain(F.col("email")).alias("_domain"))
     docs = with_group_facts(docs, own, "lead_id", "ordinal")

@@ -55,8 +55,8 @@ resolved AS (
 
 def facts(spark, sf):
     leads = roles.evidence_leads(spark, sf)
-    docs = roles.evidence_documents(spark, sf, leads)
-    return I.document_facts(E.score_evidence(docs, leads), leads), leads
+    docs = roles.untyped_documents(spark, sf)
+    return I.document_facts(E.score_evidence(docs, leads, keep_terms=True), leads), leads
 
 
 @query("identity_ladder", f"""WITH {FACTS_SQL}
@@ -189,7 +189,7 @@ SELECT r.lead_id, identity_status, CASE WHEN n_relevant = 0 THEN 0 WHEN identity
 FROM resolved r LEFT JOIN src USING (lead_id) LEFT JOIN nm USING (lead_id) LEFT JOIN pe USING (lead_id) LEFT JOIN st USING (lead_id)""")
 def report_assembly(spark, sf):
     leads = roles.evidence_leads(spark, sf)
-    reports = R.assemble(roles.evidence_documents(spark, sf, leads), leads)
+    reports = R.assemble(roles.untyped_documents(spark, sf), leads)
     r = F.col("report")
     people = r["identity_resolution"]["matched_persons"]
     separate = (r["identity_resolution"]["status"] == "ambiguous") & (
@@ -211,7 +211,7 @@ def report_assembly(spark, sf):
 @query("report_json")
 def report_json(spark, sf):
     leads = roles.evidence_leads(spark, sf)
-    reports = R.assemble(roles.evidence_documents(spark, sf, leads), leads)
+    reports = R.assemble(roles.untyped_documents(spark, sf), leads)
     return reports.select("lead_id", F.to_json("report").alias("report"))
 
 
