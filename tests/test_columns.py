@@ -148,3 +148,12 @@ def test_html_to_text(rows):
         markup.html_title(F.col("h")).alias("t"), markup.html_description(F.col("h")).alias("d"),
         markup.visible_text(F.col("h")).alias("v")).first()
     assert (r.t, r.d, r.v) == ("A & B", 'd "q"', "A & B café €5A x'y")
+
+
+def test_description_reads_attributes_in_any_order(rows):
+    pages = ['<meta content="first" name="description">', "<META data-name='x' property = og:description content=plain>",
+             '<meta name="author" content="no"><meta name=\'Description\' content=\'b "q"\'>',
+             '<meta name="description" content=""><meta property="og:description" content="later">', "<p>none</p>"]
+    got = rows([(i, p) for i, p in enumerate(pages)], "i int, h string").select(
+        "i", markup.html_description(F.col("h")).alias("d")).orderBy("i").collect()
+    assert [r.d for r in got] == ["first", "plain", 'b "q"', "later", ""]

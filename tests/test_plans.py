@@ -56,3 +56,42 @@ def test_derived_filter_is_not_copied_below(rows):
     text = plan(out)
     assert text.count("_price_number") > 0 and text.index("Filter") < text.index("Project", text.index("Filter"))
     assert text.count("upper(") <= 2
+
+
+def test_lead_documents_are_parsed_once(spark):
+    """The optimized plan holds one parse however many rules and columns read the document."""
+    from keelson.operators import leads as L
+    from keelson.operators.validation import lead_document_rules, split, with_errors
+    raw = spark.range(5).selectExpr("id AS ordinal", "CAST(id AS STRING) AS value")
+    good, bad = split(with_errors(L.parse_documents(raw), lead_document_rules()))
+    now = F.lit("2026-01-01").cast("timestamp")
+    for out in (L.flatten_documents(good, now), bad.select("errors")):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_profiles_are_folded_once_and_scored_in_one_pass(spark, lead):
+    from keelson.operators.providers import select_profiles
+    profiles = spark.createDataFrame([("L1", 1, "text")], "lead_id string, ordinal long, profile_text string")
+    text = select_profiles(profiles, lead(), 3)._jdf.queryExecution().optimizedPlan().toString()
+    # one scan of the profiles, one of the leads; one fold of the text, one per context column
+    assert text.count("LogicalRDD [lead_id") == 2
+    assert text.count("translate(") <= 4
+
+
+def test_texts_cross_the_network_once(spark, lead, docs):
+    """Typing and scoring share one join, and no later exchange holds a text."""
+    from keelson.operators.report import evidence_facts
+    untyped = docs(("https://a.example", "t", "other")).drop("source_type")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(evidence_facts(untyped, lead()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("SortMergeJoin") + text.count("ShuffledHashJoin") == 1 and text.count("Exchange") == 2
+
+
+def test_budget_numbers_lengths_not_texts(spark, docs):
+    from keelson.operators.evidence import pack_budget
+    text = plan(pack_budget(docs(("https://a.example", "t", "other"))))
+    windows = [line for line in text.splitlines() if "Window [" in line or "Window (" in line]
+    assert windows and not any(" text#" in line or ",text#" in line for line in windows)

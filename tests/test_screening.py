@@ -179,6 +179,10 @@ def test_adverse_merge_is_gated_and_cites(rows, lead, docs):
     assert [s["url"] for s in r["sources"]] == [PROFILE[0], SITE[0], "https://n.example/1"]
     closed = rows([("L1", False)], "lead_id string, passes_gate boolean")
     assert one(K.merge_adverse(reports, items, gate=closed))["adverse_media"] == []
+    many = rows([("L1", i, "civil", "t", "s", "", "", "low", "media_report", f"https://m.example/{i}") for i in range(150)], item)
+    for bound, want in ((None, 150), (20, 20)):
+        merged = json.loads(K.merge_adverse(reports, many, max_hits=bound).select(F.to_json("report").alias("j")).first().j)
+        assert [a["source_url"] for a in merged["adverse_media"]] == [f"https://m.example/{i}" for i in range(want)]
 
 
 def test_profiles(rows, lead):
