@@ -308,18 +308,12 @@ def decided(entries: DataFrame, buckets: int, kind: type, rule: Callable, n: int
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["id", "th", "s", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and row[0] != group[0][0]:
-                    yield from decide(group)
-                    group = []
-                group.append(row)
+        group = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
         if group:
             yield from decide(group)
 
-    dealt = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "id long, th long, s int, n int")
+    # one bucket to a task, where hashing the numbers would put several together
+    return entries.repartitionById(buckets, "bucket").mapInArrow(run, "id long, th long, s int, n int")
 
 
 def settled(df: DataFrame, path: str | None = None) -> DataFrame:
