@@ -145,7 +145,7 @@ def distinct_facets(spark, sf):
 
 # watch-list entries: every brand-and-name pair of the catalogue's tracked types
 @query("watchlist_union", f"""
-WITH stored AS (SELECT p_partkey, p_name, p_size FROM part WHERE p_type = 'PROMO'),
+WITH stored AS (SELECT p_partkey, p_name, p_size FROM part),
 wanted AS (SELECT upper(replace(p_name, ' ', '-')) AS n, min(p_partkey) AS pos FROM part GROUP BY p_name
   UNION ALL SELECT concat('Old ', p_name), min(p_partkey) FROM part GROUP BY p_name)
 SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS nom_bateau, p_size AS longueur_m, CAST(NULL AS VARCHAR) AS localisation FROM stored
@@ -154,7 +154,7 @@ SELECT concat('virtual-', replace({sql_fold('n', 'plain')}, ' ', '-'), '-', CAST
 WHERE {sql_fold('n', 'plain')} NOT IN (SELECT {sql_fold('p_name', 'plain')} FROM stored)""")
 def watchlist_union(spark, sf):
     part = table(spark, sf, "part")
-    stored = part.filter("p_type = 'PROMO'").selectExpr(
+    stored = part.selectExpr(
         "CAST(p_partkey AS STRING) AS id", "p_name AS nom_bateau", "p_size AS longueur_m",
         "CAST(NULL AS STRING) AS localisation")
     names = part.groupBy("p_name").agg(F.min("p_partkey").alias("position"))

@@ -156,7 +156,7 @@ _RECIPIENT = """CASE c_custkey % 6 WHEN 0 THEN concat('Natïon ', CAST(c_nationk
 
 @query("route_cascade", f"""
 WITH b AS (SELECT n_nationkey AS id, n_name, concat(lower(n_name), CASE WHEN n_nationkey % 2 = 0 THEN '@one.example' ELSE '@two.example' END) AS email FROM nation),
-a AS (SELECT {sql_fold("concat('nation ', CAST(n_nationkey AS VARCHAR))", 'recipient')} AS k, concat(lower(n_name), '@two.example') AS mail FROM nation WHERE n_nationkey % 5 <> 0),
+a AS (SELECT {sql_fold("concat('nation ', CAST(n_nationkey AS VARCHAR))", 'recipient')} AS k, CASE WHEN n_nationkey % 5 <> 0 THEN concat(lower(n_name), '@two.example') END AS mail FROM nation),
 r AS (SELECT c_custkey, coalesce({_RECIPIENT}, '') AS raw FROM customer),
 m AS (SELECT c_custkey, raw, coalesce(a.mail, trim(raw)) AS m1 FROM r LEFT JOIN a ON {sql_fold('raw', 'recipient')} = a.k),
 m2 AS (SELECT *, CASE WHEN ends_with(m1, '@one.example') THEN replace(m1, '@one.example', '@two.example')
@@ -167,8 +167,9 @@ SELECT c_custkey, CASE WHEN e.n = 1 THEN e.id ELSE nm.id END AS broker_id,
 FROM e LEFT JOIN (SELECT lower(n_name) AS nl, min(n_nationkey) AS id FROM nation GROUP BY 1 HAVING count(*) = 1) nm ON lower(raw) = nl AND raw <> ''""")
 def route_cascade(spark, sf):
     leads = table(spark, sf, "customer").selectExpr("c_custkey", f"{_RECIPIENT} AS recipient_contact_name")
-    aliases = table(spark, sf, "nation").filter("n_nationkey % 5 <> 0").selectExpr(
-        "concat('nation ', CAST(n_nationkey AS STRING)) AS alias_key", "concat(lower(n_name), '@two.example') AS email")
+    aliases = table(spark, sf, "nation").selectExpr(
+        "concat('nation ', CAST(n_nationkey AS STRING)) AS alias_key",
+        "CASE WHEN n_nationkey % 5 <> 0 THEN concat(lower(n_name), '@two.example') ELSE '' END AS email")
     out = L.route(leads, roles.brokers(spark, sf), aliases, F.lit(NOW).cast("timestamp"), ("one.example", "two.example"))
     return out.select("c_custkey", "broker_id", day("processed_at").alias("processed_at"))
 
@@ -184,7 +185,8 @@ def first_wins(spark, sf):
 
 
 @query("new_only", """
-SELECT event_id, user_id FROM events WHERE event_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')""")
+SELECT event_id, user_id FROM events WHERE event_id NOT IN (SELECT CASE WHEN o_orderstatus = 'P' THEN -o_orderkey - 1 ELSE o_orderkey END FROM orders)""")
 def new_only(spark, sf):
-    stored = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").selectExpr("o_orderkey AS event_id")
+    stored = table(spark, sf, "orders").selectExpr(
+        "CASE WHEN o_orderstatus = 'P' THEN -o_orderkey - 1 ELSE o_orderkey END AS event_id")
     return L.new_only(table(spark, sf, "events").select("event_id", "user_id"), stored, "event_id")

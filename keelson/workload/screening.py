@@ -312,8 +312,9 @@ SELECT page_id AS position, lead_id, rtrim(split_part(url, '#', 1), '/') AS cano
 def grounding(spark, sf):
     pages = table(spark, sf, "pages")
     claimed = pages.selectExpr("page_id % 20 AS lead_id", "'source' AS kind", "page_id AS position", "concat(' ', url, '#claimed') AS url")
-    docs = pages.filter("NOT contains(url, 'www.')").selectExpr(
-        "page_id % 20 AS lead_id", "page_id AS ordinal", "url", "'other' AS source_type")
+    docs = pages.selectExpr(
+        "page_id % 20 AS lead_id", "page_id AS ordinal", "'other' AS source_type",
+        "CASE WHEN contains(url, 'www.') THEN concat('https://else.example/', CAST(page_id AS STRING)) ELSE url END AS url")
     out = K.grounded_claims(claimed, docs)
     return out.select("position", "lead_id", F.rtrim(F.substring_index("url", "#", 1), F.lit("/")).alias("canonical"))
 
@@ -374,7 +375,7 @@ _HEAD = "CASE o_orderkey % 6 WHEN 0 THEN 'Founder' WHEN 1 THEN 'Directeur genera
 
 @query("profile_select", f"""
 WITH p AS (SELECT o_custkey AS lead_id, o_orderkey AS ordinal, {_HEAD} AS h, concat('https://p.example/', CAST(o_orderkey % 50 AS VARCHAR)) AS url,
-   CASE WHEN o_orderkey % 10 = 0 THEN 'Cannes' ELSE 'Paris' END AS loc FROM orders WHERE o_orderpriority <> '5-LOW'),
+   CASE WHEN o_orderkey % 10 = 0 THEN 'Cannes' ELSE 'Paris' END AS loc FROM orders),
 s AS (SELECT *, contains(loc, 'Cannes') AND lead_id % 2 = 0 AS corroborated,
   CASE h WHEN 'Founder' THEN 3 WHEN 'Yacht owner' THEN 5 WHEN 'Directeur general manager' THEN 2 WHEN 'Senior sailor' THEN 1 ELSE 0 END AS importance FROM p),
 a AS (SELECT *, bool_or(corroborated) OVER (PARTITION BY lead_id) AS any_c FROM s),
@@ -382,7 +383,7 @@ k AS (SELECT * FROM a WHERE corroborated = any_c AND (corroborated OR importance
 SELECT lead_id, ordinal, corroborated, importance, row_number() OVER (PARTITION BY lead_id ORDER BY CASE WHEN corroborated THEN 0 ELSE -importance END, ordinal) AS rank,
   concat('X ', lead_id, '\n', h, '\nMétier: ', h, '\nEntreprise: Co\nLocation: ', loc, '\n', 'Co') AS profile_text FROM k QUALIFY rank <= 3""")
 def profile_select(spark, sf):
-    rows = table(spark, sf, "orders").filter("o_orderpriority <> '5-LOW'").selectExpr(
+    rows = table(spark, sf, "orders").selectExpr(
         "o_custkey AS lead_id", "o_orderkey AS ordinal", f"{_HEAD} AS h", "CASE WHEN o_orderkey % 10 = 0 THEN 'Cannes' ELSE 'Paris' END AS loc")
     text = F.to_json(F.struct(
         F.lit("").alias("name"), F.lit("X").alias("firstName"), F.col("lead_id").cast("string").alias("lastName"), F.col("h").alias("headline"),
