@@ -36,6 +36,8 @@ def local_session(name: str = "keelson", cpus: str | None = None, shuffle: int =
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", os.environ.get("KEELSON_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        # the supplied tables have one row group each
+        .config("keelson.read.partitions", cpus)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config(
             "spark.sql.streaming.stateStore.providerClass",

@@ -13,6 +13,7 @@ from ..plans.barrier import filter_computed
 from ..sources import bodies
 from . import roles
 from .roles import (
+    dealt,
     EVIDENCE_DOCS_SQL, EVIDENCE_SCORED_SQL, CUSTOMER_EMAIL, q, sql_any, sql_domain,
     sql_fold, sql_host, sql_list, sql_path, sql_source_type, table,
 )
@@ -134,7 +135,7 @@ WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*>[\\s\
 SELECT page_id, CAST(i - 1 AS INT) AS position, {sql_decode("regexp_extract(a, '(?i)href=\"([^\"]*)\"', 1)")} AS href,
   {sql_decode("regexp_extract(a, '(?i)<a\\b[^>]*>([\\s\\S]*?)</a>', 1)")} AS title FROM a""")
 def outlinks(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "html")
+    pages = dealt(spark, sf, "pages").select("page_id", "html")
     return bodies.anchors(pages, "html", ["page_id"], bodies.ANY_ANCHOR).select(
         "page_id", "position", "href", markup.decode_html(F.col("title_html")).alias("title"))
 
@@ -144,7 +145,7 @@ WITH t AS (SELECT page_id, {sql_decode("regexp_extract(html, '(?i)<title[^>]*>([
   {sql_decode("regexp_replace(regexp_replace(html, '<script[\\s\\S]*?</script>', ' ', 'gi'), '<style[\\s\\S]*?</style>', ' ', 'gi')")} AS body FROM pages)
 SELECT page_id, title, body, length(body) AS chars FROM t WHERE length(body) >= 80""")
 def html_text(spark, sf):
-    out = table(spark, sf, "pages").select(
+    out = dealt(spark, sf, "pages").select(
         "page_id", markup.html_title(F.col("html"), None).alias("title"),
         markup.visible_text(F.col("html"), None).alias("body"))
     return filter_computed(out.withColumn("chars", F.length("body")), F.col("chars") >= 80)
@@ -155,7 +156,7 @@ _TITLE_RE = r"<title[^>]*>([^<]*)</title>"
 
 
 def result_bodies(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = dealt(spark, sf, "pages")
     title = F.regexp_extract("html", _TITLE_RE, 1)
     link = F.concat(F.lit("https://site"), (F.col("page_id") % 9).cast("string"), F.lit(".example/"), F.col("page_id").cast("string"))
     html = F.concat(
@@ -232,7 +233,7 @@ def hit_ranking(spark, sf):
 @query("text_fold", f"""
 SELECT doc_id, {', '.join(f"md5({sql_fold('text', v)}) AS {v}" for v in ('evidence', 'builder', 'recipient', 'plain', 'marks'))} FROM documents""")
 def text_fold(spark, sf):
-    return table(spark, sf, "documents").select(
+    return dealt(spark, sf, "documents").select(
         "doc_id", *[F.md5(fold(F.col("text"), v)).alias(v) for v in ("evidence", "builder", "recipient", "plain", "marks")])
 
 
@@ -242,7 +243,7 @@ c AS (SELECT {CUSTOMER_EMAIL} AS e FROM customer),
 d AS (SELECT {sql_domain('e')} AS domain FROM m UNION ALL SELECT {sql_domain('e')} FROM c)
 SELECT domain, domain IN {sql_list(V.FREE_MAIL_FULL)} AS free_full, domain IN {sql_list(V.FREE_MAIL_SHORT)} AS free_short, count(*) AS n FROM d GROUP BY domain""")
 def email_domains(spark, sf):
-    found = table(spark, sf, "documents").select(
+    found = dealt(spark, sf, "documents").select(
         F.explode(F.regexp_extract_all("text", F.lit("[^ ]*@[^ ]*"), F.lit(0))).alias("e"))
     both = found.unionByName(table(spark, sf, "customer").selectExpr(f"{CUSTOMER_EMAIL} AS e"))
     counts = both.select(email_domain(F.col("e")).alias("domain")).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
@@ -254,7 +255,7 @@ def email_domains(spark, sf):
 SELECT doc_id, md5(regexp_replace(trim(regexp_replace(text, '[{V.WHITESPACE}]+', ' ', 'g'), '{V.WHITESPACE}'),
   {q(V.SECRET_PATTERN)}, '\\1=[redacted]', 'g')) AS redacted FROM documents""")
 def redact_texts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(redact(F.col("text"), None)).alias("redacted"))
+    return dealt(spark, sf, "documents").select("doc_id", F.md5(redact(F.col("text"), None)).alias("redacted"))
 
 
 _LINES = "string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x{85}\\x{2028}\\x{2029}]')"
@@ -272,7 +273,7 @@ k AS (SELECT doc_id, lang, list_filter(h, lambda x: length(x) BETWEEN 8 AND 180
 SELECT doc_id, coalesce(h[1], '') AS headline,
   left(rtrim(coalesce(list_filter(s, lambda x: {sql_any('lower(x)', V.ROLE_LINE_TERMS)})[1], CASE WHEN lang = 'fr' THEN s[1] END, ''), ' .'), 280) AS statement FROM k""")
 def headlines(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = dealt(spark, sf, "documents")
     kind = F.when(F.col("lang") == "fr", "linkedin").otherwise("other")
     return docs.select("doc_id", E.headline(F.col("text")).alias("headline"), E.statement(F.col("text"), kind).alias("statement"))
 

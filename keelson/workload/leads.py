@@ -8,7 +8,7 @@ from ..functions import vocab as V
 from ..operators import leads as L
 from ..operators.validation import lead_document_rules, outcome_counts, with_errors
 from . import roles
-from .roles import CUSTOMER_EMAIL, LEAD_STATUS, LEADS_SQL, sql_fold, table
+from .roles import CUSTOMER_EMAIL, LEAD_STATUS, LEADS_SQL, dealt, sql_fold, table
 
 QUERIES, ORACLE = {}, {}
 NOW = "2026-01-01 00:00:00"
@@ -80,7 +80,7 @@ def leads_with_broker(spark, sf):
 
 def documents(spark, sf):
     """Orders as JSON lead documents; some lack a required part, some are cut off."""
-    rows = table(spark, sf, "orders").join(
+    rows = dealt(spark, sf, "orders").join(
         table(spark, sf, "customer").selectExpr("c_custkey AS o_custkey", "c_name", "c_mktsegment", "c_nationkey",
                                                 f"{CUSTOMER_EMAIL} AS email"), "o_custkey")
     text = F.to_json(F.struct(

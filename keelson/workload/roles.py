@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for heavy work on every row.  A file of one row group is one task however many cores
+    there are; a session that reads such files can set ``keelson.read.partitions`` to deal the rows
+    out.  Without the setting the scan stays as it is."""
+    tasks = spark.conf.get("keelson.read.partitions", None)
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(int(tasks)) if tasks else rows
+
+
 
 
 # --- SQL helpers for the comparison queries ------------------------------------------
@@ -128,7 +137,7 @@ DOCUMENT_URL = (
 def evidence_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One lead per document source; its facts come from its own first document and the
     first mail address in its documents.  Three in four keep company, country and city."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = dealt(spark, sf_dir, "documents").select(
         "source", "doc_id", "lang", F.when(F.contains("text", F.lit("@")), F.nullif(F.regexp_extract("text", EMAIL_RE, 0), F.lit(""))).alias("mail"),
         F.regexp_extract("text", r"^\S*(?:\s+\S*){0,3}", 0).alias("w"))
     first = fenced(docs).groupBy("source").agg(
@@ -168,7 +177,7 @@ ev_leads AS (
 
 def untyped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a URL; scoring adds the source type in its own join."""
-    return table(spark, sf_dir, "documents").selectExpr(
+    return dealt(spark, sf_dir, "documents").selectExpr(
         "source AS lead_id", "doc_id AS ordinal", f"{DOCUMENT_URL} AS url", "text")
 
 

@@ -13,7 +13,7 @@ from ..operators import report as R
 from ..schemas import ADVERSE_RECORD, COMPANY_ITEM, PROFILE_ITEM
 from . import roles
 from .roles import (
-    EVIDENCE_LEADS_SQL, EVIDENCE_SCORED_SQL, q, sql_domain, sql_fold, sql_host, sql_in_domain, sql_list, table,
+    EVIDENCE_LEADS_SQL, EVIDENCE_SCORED_SQL, dealt, q, sql_domain, sql_fold, sql_host, sql_in_domain, sql_list, table,
 )
 
 QUERIES, ORACLE = {}, {}
@@ -247,7 +247,7 @@ _SANC = "CASE event_id % 3 WHEN 0 THEN 'clear' WHEN 1 THEN 'hit' ELSE 'possible_
 def candidate_reports(spark, sf):
     """Captured replies, one per event, that hold a report with unusable parts; two
     documents per event are its collected evidence."""
-    rows = table(spark, sf, "events").selectExpr(
+    rows = dealt(spark, sf, "events").selectExpr(
         "event_id AS lead_id", f"{_RISK} AS risk", f"{_IDENT} AS ident", f"{_SANC} AS sanc", "get_json_object(props, '$.k') AS k", "event_type", "value")
     report = F.to_json(F.struct(
         F.lit("x").alias("unknown_key"),
@@ -343,7 +343,7 @@ def adverse_normalise(spark, sf):
     two = hit(F.when(F.col("event_id") % 8 == 0, "").otherwise(F.concat(F.lit("https://m.example/"), F.col("event_id").cast("string"))),
               F.when(F.col("event_id") % 9 == 0, "low").otherwise("high"))
     text = F.to_json(F.struct(F.lit(" FR ").alias("country"), F.array(one, two).alias("hits")))
-    records = table(spark, sf, "events").select(
+    records = dealt(spark, sf, "events").select(
         F.col("user_id").alias("lead_id"), F.col("event_id").alias("record"), F.from_json(text, ADVERSE_RECORD).alias("item"))
     return P.adverse_items(records, ["lead_id"]).select(
         "lead_id", "record", "position", "source_url", "category", "confidence", "jurisdiction")
@@ -383,7 +383,7 @@ k AS (SELECT * FROM a WHERE corroborated = any_c AND (corroborated OR importance
 SELECT lead_id, ordinal, corroborated, importance, row_number() OVER (PARTITION BY lead_id ORDER BY CASE WHEN corroborated THEN 0 ELSE -importance END, ordinal) AS rank,
   concat('X ', lead_id, '\n', h, '\nMétier: ', h, '\nEntreprise: Co\nLocation: ', loc, '\n', 'Co') AS profile_text FROM k QUALIFY rank <= 3""")
 def profile_select(spark, sf):
-    rows = table(spark, sf, "orders").selectExpr(
+    rows = dealt(spark, sf, "orders").selectExpr(
         "o_custkey AS lead_id", "o_orderkey AS ordinal", f"{_HEAD} AS h", "CASE WHEN o_orderkey % 10 = 0 THEN 'Cannes' ELSE 'Paris' END AS loc")
     text = F.to_json(F.struct(
         F.lit("").alias("name"), F.lit("X").alias("firstName"), F.col("lead_id").cast("string").alias("lastName"), F.col("h").alias("headline"),
