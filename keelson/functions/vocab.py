@@ -174,6 +174,16 @@ TEXT = {
     "sum_homonym": "Homonyme sanctions ou PEP possible, non confirmé ; contrôle renforcé recommandé.",
 }
 
+# --- labels of the summary's sentences, and ends of the search strings (fixed texts) ---
+LABELS = {
+    "metier": "Métier", "statement": "Activité indiquée", "company": "Entreprise",
+    "mission": "Rôle et missions majeures : ", "place": "Localisation",
+}
+SEARCH_ENDS = {
+    "profile": " site:linkedin.com/in", "executive": " CEO founder director entrepreneur company",
+    "sector": " yacht yachting charter maritime",
+}
+
 # --- short report sentences (fixed texts) ---
 SHORT_TEXT = {
     "no_input": "Nom complet ou email manquant.",

@@ -320,8 +320,8 @@ def query_lists(leads: DataFrame, template: str = "broad", key: str = "lead_id")
     elif template == "profile":
         items = [
             F.concat(quoted, F.lit(" site:"), own), F.concat(quoted, F.lit(" "), filled(context)),
-            q(" site:linkedin.com/in"), q(" CEO founder director entrepreneur company"),
-            q(" yacht yachting charter maritime"),
+            q(V.SEARCH_ENDS["profile"]), q(V.SEARCH_ENDS["executive"]),
+            q(V.SEARCH_ENDS["sector"]),
         ]
     elif template == "short":
         mail = F.lower(email)

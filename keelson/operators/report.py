@@ -103,10 +103,10 @@ def executive_summary(name: Column, status: Column, sanctions: Column, pep: Colu
         F.col("company_statement") != "", F.col("company_statement")).otherwise(F.col("any_statement"))
     role = F.when(F.col("field_missions") != "", F.col("field_missions")).otherwise(F.col("field_about"))
     excerpt = F.concat(F.rtrim(F.left(role, F.lit(280))), F.when(F.length(role) > 280, "…").otherwise(""))
-    metier = F.coalesce(_sentence("Métier", F.col("field_metier")), _sentence("Activité indiquée", statement))
-    company = _sentence("Entreprise", F.col("field_entreprise"))
-    mission = F.when(role != "", F.concat(F.lit("Rôle et missions majeures : "), excerpt))
-    place = _sentence("Localisation", F.col("field_location"))
+    metier = F.coalesce(_sentence(V.LABELS["metier"], F.col("field_metier")), _sentence(V.LABELS["statement"], statement))
+    company = _sentence(V.LABELS["company"], F.col("field_entreprise"))
+    mission = F.when(role != "", F.concat(F.lit(V.LABELS["mission"]), excerpt))
+    place = _sentence(V.LABELS["place"], F.col("field_location"))
     nothing = F.when(F.coalesce(metier, company, mission, place).isNull(), TEXT["no_fields"])
     relevance = F.when(F.col("any_sector"), TEXT["rel_sector"]).when(
         F.col("any_executive"), TEXT["rel_economic"]).otherwise(TEXT["rel_none"])
