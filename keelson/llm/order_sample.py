@@ -113,38 +113,71 @@ def cut(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     return floors.join(taken, "_sid", "left").select("_sid", F.coalesce("_cut", "_floor").alias("_cut"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
-        preference: str | None = None) -> DataFrame:
-    """doc id, source, size, source_size, target, copies, taken (words, repeats counted) per row.
+def relative_odds(preference: str | None) -> Column:
+    return F.coalesce(F.col(preference).cast("double"), F.lit(1.0)) if preference else F.lit(1.0)
 
-    Null text has no words; null source is a source of its own and comes last; a document without
-    words takes no words.  Rows with one id share a draw: they are taken or left together.  Other
-    columns are not read; an empty table gives an empty mix.  ``preference``: column of positive
-    relative odds, which makes inclusion unequal inside a source as well (null counts as 1).
-    """
-    odds = F.coalesce(F.col(preference).cast("double"), F.lit(1.0)) if preference else F.lit(1.0)
+
+def rank_key(doc_id: Column, share: Column, odds: Column) -> Column:
+    """Random odds over inclusion odds as an integer that keeps the order; last if nothing is drawn."""
+    u = (uniform_key(doc_id) + F.lit(0.5)) / F.lit(float(1 << KEY_BITS))
+    ranked = F.try_divide(u / (1 - u), F.try_divide(share, 1 - share) * odds)
+    return F.when(share > 0, F.floor(ranked / (1 + ranked) * F.lit(float(1 << KEY_BITS)))).otherwise(
+        F.lit(1 << KEY_BITS) - 1).cast("long")
+
+
+def decided(docs: DataFrame, doc_id: str, text: str, source: str, weights: Sequence[float], share: float,
+            most: float, preference: str | None) -> tuple[DataFrame, DataFrame]:
+    """The narrow rows with their rank keys, and per source what its documents get: ``_whole`` copies,
+    and one more up to the key ``_cut``."""
     rows = materialise(docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-        odds.alias("_odds")))
+        relative_odds(preference).alias("_odds")))
     planned = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     size = F.col("source_size")
     planned = materialise(
         planned.withColumn("_whole", F.coalesce(F.floor(F.try_divide("target", size)), F.lit(0)).cast("long"))
         .withColumn("_rest", F.col("target") - F.col("_whole") * size)
+        .withColumn("_share", F.try_divide("_rest", size))
         .withColumnRenamed("source", "_source"))
-    u = (uniform_key(F.col("doc_id")) + F.lit(0.5)) / F.lit(float(1 << KEY_BITS))
-    f = F.try_divide("_rest", size)
-    ranked = F.try_divide(u / (1 - u), F.try_divide(f, 1 - f) * F.col("_odds"))
     keyed = materialise(
         rows.join(planned, rows["source"].eqNullSafe(planned["_source"]))
-        .withColumn("_key", F.when(f > 0, F.floor(ranked / (1 + ranked) * F.lit(float(1 << KEY_BITS))))
-                    .otherwise(F.lit(1 << KEY_BITS) - 1).cast("long"))
+        .withColumn("_key", rank_key(F.col("doc_id"), F.col("_share"), F.col("_odds")))
         .drop("_source", "_odds"))
     # a source whose rest is nothing has no sample
     wanted = planned.filter(F.col("_rest") > 0).select("_sid", "_rest")
     cuts = cut(keyed.select("_sid", "_key", "size"), wanted)
-    copies = F.col("_whole") + F.when(F.col("_key") <= F.col("_cut"), 1).otherwise(0)
-    return keyed.join(cuts, "_sid", "left").select(
+    return keyed, materialise(planned.join(cuts, "_sid", "left").select("_sid", "_source", "_whole", "_share", "_cut"))
+
+
+def copies() -> Column:
+    return F.col("_whole") + F.when(F.col("_key") <= F.col("_cut"), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+        weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
+        preference: str | None = None) -> DataFrame:
+    """doc id, source, size, source_size, target, copies, taken (words, repeats counted) per row.
+
+    Null text has no words; null source is a source of its own and comes last; a document without
+    words takes no words.  Rows with one id share a draw: they are taken or left together.  Other
+    columns are not read; an empty table gives an empty mix.  ``preference``: column of positive
+    relative odds, which makes inclusion unequal inside a source as well (null counts as 1).
+    """
+    keyed, plan = decided(docs, doc_id, text, source, weights, share, most, preference)
+    return keyed.join(plan.select("_sid", "_cut"), "_sid", "left").select(
         F.col("doc_id").alias(doc_id), F.col("source").alias(source), "size", "source_size", "target",
-        copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        copies().alias("copies"), (copies() * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+          weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
+          preference: str | None = None) -> DataFrame:
+    """The rows that :func:`mix` takes, whole, with ``copies``.  Rows meet the plan of their source, one
+    row each, and draw again from their id: texts need no join on documents."""
+    _, plan = decided(docs, doc_id, text, source, weights, share, most, preference)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_doc"), F.col(source).alias("_src"),
+                       relative_odds(preference).alias("_odds"))
+    drawn = rows.join(plan, F.col("_src").eqNullSafe(F.col("_source"))).withColumn(
+        "_key", rank_key(F.col("_doc"), F.col("_share"), F.col("_odds"))).withColumn("_copies", copies())
+    return drawn.filter(F.col("_copies") > 0).select(
+        *[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "copies"], F.col("_copies").alias("copies"))

@@ -1,7 +1,7 @@
 import math
 import re
 
-from keelson.llm.order_sample import mix
+from keelson.llm.order_sample import mix, mixed
 from tests.llm.conftest import AWKWARD, prose
 
 
@@ -40,6 +40,8 @@ def test_targets_and_words_come_near(docs):
     for s in by:
         taken = sum(r["taken"] for r in result if r["source"] == s)
         assert abs(taken - want[s]) <= 23, (s, taken, want[s])  # half of the longest document
+    whole = {r["doc_id"]: (r["copies"], r["text"]) for r in mixed(docs(*rows)).collect()}
+    assert whole == {r["doc_id"]: (r["copies"], rows[r["doc_id"]][1]) for r in result if r["copies"]}
     again = {r["doc_id"]: r["copies"] for r in mix(docs(*rows[::-1])).collect()}
     assert again == {r["doc_id"]: r["copies"] for r in result}
 
