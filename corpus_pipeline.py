@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from keelson.llm.anchor_cover import near_duplicates
 from keelson.llm.arrow_text import arrow_batches, table
 from keelson.llm.ftrl import fit, score, training_rows
-from keelson.llm.order_sample import mix
+from keelson.llm.order_sample import mixed
 from keelson.llm.secrets_markov import ratio_table, redacted, scan, spans
 from keelson.llm.wu_manber import contaminated, find_items, n_hit
 from keelson.session import materialise
@@ -59,11 +59,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the number of copies."""
-    taken = mix(docs).filter("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies").distinct()
-    rows = docs.drop("copies")
-    return rows.join(taken, rows["doc_id"].eqNullSafe(taken["_id"]) & rows["source"].eqNullSafe(taken["_source"])).drop(
-        "_id", "_source")
+    return mixed(docs)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination),
