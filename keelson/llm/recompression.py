@@ -20,7 +20,7 @@ Scale.  Every task works through slabs of about ``SLAB`` words: repeats inside a
 and what goes on are the occurrences in the smallest document of the slab (of an anchor, two occurrences).
 So a phrase, anchor or window that a third of all documents share reaches its group a few times per
 slab, not once per document.  Anchors and windows travel as packed arrays, dealt by the range of their
-digest into buckets of about ``BUCKET`` entries.
+digest into buckets of about ``BUCKET`` entries; settled ones go round the buckets and pass through.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ ANCHOR = 5
 ROUNDS = 10
 SLAB = 1_000_000
 BUCKET = 1_000_000
+CHUNK = 50_000
 NO_ID = 2**63 - 1
 
 U = np.uint64
@@ -160,8 +161,15 @@ PACKED_KINDS = (pa.int32(), pa.bool_(), *[pa.binary()] * 5)
 
 def packs(digest: np.ndarray, w: np.ndarray, v: np.ndarray, ids: np.ndarray, ths: np.ndarray, s: np.ndarray,
           settled: np.ndarray, buckets: int) -> list[pa.Array]:
-    """Entries of a slab as one row per bucket: ``settled`` ones without, others with their digest."""
-    group = ((digest >> U(32)) * U(buckets) >> U(32)).astype(np.int64) * 2 + settled
+    """Entries of a slab: open ones as one row per bucket with their digest, ``settled`` ones without.
+
+    Settled entries are compared with nothing, so they are dealt in chunks round the buckets, from one
+    that the slab's first entry names: those of one digest do not meet."""
+    group = ((digest >> U(32)) * U(buckets) >> U(32)).astype(np.int64) * 2
+    done = np.flatnonzero(settled)
+    if len(done):
+        first = mixed(digest[done[:1]] ^ mixed(ids[done[:1]].view(U) ^ ths[done[:1]].view(U)))[0]
+        group[done] = (int(first % U(buckets)) + np.arange(len(done)) // CHUNK) % buckets * 2 + 1
     order = np.argsort(group, kind="stable")
     edges = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
     rows = []
@@ -296,21 +304,28 @@ def window_rows(docs: DataFrame, window: int, slab: int, buckets: int) -> DataFr
 
 def decided(entries: DataFrame, buckets: int, kind: type, rule: Callable, n: int) -> DataFrame:
     """(id, th, s, n) of the settled entries and of those that ``rule`` picks among the others of a bucket."""
-    def decide(group: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, ths, s = (np.concatenate([unpacked(g[k], t) for g in group])
-                       for k, t in ((4, np.int64), (5, np.int64), (6, np.int32)))
-        w = [np.frombuffer(g[2], kind) for g in group]
-        v = np.concatenate([np.frombuffer(g[3], np.uint16) for g in group])
-        chosen = np.concatenate([np.full(len(unpacked(g[6], np.int32)), g[1]) for g in group])
-        open_ = ~chosen
-        chosen[open_] = rule([np.concatenate(w), v], ids[open_])
-        out = [ids[chosen], ths[chosen], s[chosen], np.full(int(chosen.sum()), n, np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["id", "th", "s", "n"])
+    names = ["id", "th", "s", "n"]
+
+    def places(row: tuple) -> list[np.ndarray]:
+        return [unpacked(row[4], np.int64), unpacked(row[5], np.int64), unpacked(row[6], np.int32)]
+
+    def batch_of(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, np.full(len(columns[0]), n, np.int32))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
+        group = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[1]:
+                    yield batch_of(places(row))
+                else:
+                    group.append(row)
         if group:
-            yield from decide(group)
+            columns = [np.concatenate(x) for x in zip(*map(places, group))]
+            w = np.concatenate([np.frombuffer(g[2], kind) for g in group])
+            v = np.concatenate([np.frombuffer(g[3], np.uint16) for g in group])
+            chosen = rule([w, v], columns[0])
+            yield batch_of([x[chosen] for x in columns])
 
     # one bucket to a task, where hashing the numbers would put several together
     return entries.repartitionById(buckets, "bucket").mapInArrow(run, "id long, th long, s int, n int")

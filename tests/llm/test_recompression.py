@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from keelson.llm.recompression import hashed, phrases, without_repeats
+from keelson.llm.recompression import first_rows, hashed, keyed, phrases, unpacked, window_rows, with_ranges, without_repeats
 from tests.llm.conftest import AWKWARD, prose
 
 
@@ -64,5 +64,18 @@ def test_equal_passages_get_equal_symbols():
     assert len(parts[0] & parts[1]) >= 8
 
 
+def test_settled_entries_of_a_common_passage_are_dealt_out(docs):
+    common = prose(5000, 13)
+    rows = [(i, f"{prose(i, 20)} {common} {prose(-i - 1, 20)}", "s") for i in range(2000)]
+    texts = keyed(docs(*rows), "doc_id", "text").select("id", "th", "text").repartition(100, "id")
+    buckets, found = 16, first_rows(texts, 13, 500, 16)
+    hot = texts.selectExpr("id", "th", "explode(sequence(0, 48)) s", "0 n")
+    for entries in (found.filter("bucket is not null"), window_rows(with_ranges(texts, hot), 13, 500, buckets)):
+        load = [0] * buckets
+        for r in entries.filter("settled").select("bucket", "ps").collect():
+            load[r["bucket"]] += len(unpacked(r["ps"], np.int32))
+        assert sum(load) >= 1500 and max(load) < sum(load) / 4
+
+
 def test_empty(docs):
     assert without_repeats(docs()).count() == 0
