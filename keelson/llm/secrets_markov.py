@@ -3,12 +3,12 @@
 Three patterns find assignments to names like ``password``, access keys and long hex runs.  Further
 runs of key characters are candidates: two first-order character models, one of random strings and
 one of ordinary identifiers, give each a log-likelihood ratio, and those above ``threshold`` that
-touch no pattern match are spans of the kind ``markov``.  Both models are counted from samples with
-labels: what the patterns matched anywhere in the corpus is random; runs in documents without any
-match, from a hash sample of about ``sample`` documents, that are built like identifiers are ordinary.
+touch no pattern match are spans of the kind ``markov``.  Both models are counted over the whole
+corpus: what the patterns matched anywhere is random; runs in documents without any match that are
+built like identifiers are ordinary.
 
-DataFrame functions only.  Texts are read once in full for all patterns, and again for the sample;
-what is kept in between is a narrow table of matches.  Spans are worked out inside each row, so
+DataFrame functions only.  Texts are read once for all patterns, and again for the ordinary runs,
+which are too many to keep; what is kept in between is a narrow table of matches.  Spans are worked out inside each row, so
 nothing is shuffled but pair counts, of which there are at most as many as pairs of characters.
 """
 
@@ -34,7 +34,6 @@ PART = "(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)"
 ORDINARY = f"(?<![A-Za-z0-9+/_-]){PART}(?:[_/-]?(?:{PART}|[0-9]++))*+(?![A-Za-z0-9+/_-])"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 SIDE = len(ALPHABET) + 1  # 0 stands for the start and for any other character
-SAMPLE = 2000
 THRESHOLD = 12.0
 #: A random string has at least so many different characters; lines of dashes have not.
 DIFFERENT = 8
@@ -91,14 +90,11 @@ def scan(docs: DataFrame, keys: list[str], text: str = "text", keep_text: bool =
     return materialise(plain.select(*keys, *(["_text"] if keep_text else []), *columns))
 
 
-def ratio_table(scanned: DataFrame, docs: DataFrame, text: str = "text", key: str = "doc_id",
-                sample: int = SAMPLE) -> np.ndarray:
+def ratio_table(scanned: DataFrame, docs: DataFrame, text: str = "text") -> np.ndarray:
     """log P(random) - log P(ordinary) of every pair of characters."""
     values = F.concat(*[F.transform(f"_{k}", lambda s: s["value"]) for k in PATTERNS])
     random = pair_counts(scanned.select(F.explode(values).alias("value")))
-    rate = min(1.0, sample / max(1, scanned.count()))
-    drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) < int(rate * (1 << 30))
-    clean = docs.select(F.col(key), F.col(text).alias("_text")).filter(drawn & F.col("_text").isNotNull())
+    clean = docs.select(F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
     for pattern, _, _ in PATTERNS.values():
         clean = clean.filter(~F.col("_text").rlike(pattern))
     ordinary = pair_counts(clean.select(F.explode(F.regexp_extract_all("_text", F.lit(ORDINARY), F.lit(0))).alias("value"))
@@ -135,14 +131,14 @@ def written(column: str) -> Column:
         F.get(names, s["kind"]), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE,
-                 threshold: float = THRESHOLD, keep_text: bool = False, columns: list[str] | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
+                 keep_text: bool = False, columns: list[str] | None = None) -> DataFrame:
     """``columns`` (the key by default), matches by kind, ``_base`` and ``_all`` spans of every row.
 
     Null and empty texts have no spans; repeated rows are scanned row by row; other columns are not
     read; an empty table gives an empty result."""
     scanned = scan(docs, columns or [key], text, keep_text)
-    return spans(scanned, ratio_table(scanned, docs, text, key, sample), threshold)
+    return spans(scanned, ratio_table(scanned, docs, text), threshold)
 
 
 def redacted(text: Column, found_spans: Column, mark: str = "[SECRET]") -> Column:

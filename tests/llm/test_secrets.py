@@ -3,9 +3,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from keelson.llm.secrets_markov import find_secrets, redacted, written
+from keelson.llm.secrets_markov import ALPHABET, ORDINARY, SIDE, find_secrets, ratio_table, redacted, scan, written
 from tests.llm.conftest import AWKWARD, prose
 
 BOTH = lambda word: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in word)
@@ -52,6 +53,24 @@ def test_markov_spans(docs):
     assert got[2000] == "markov:4:47" and got[2001] == "" and got[2002] == "assign:0:49" and got[2003] == ""
 
 
+def test_ordinary_pairs_of_all_documents_count(docs):
+    rows = [(i, prose(i, 10).replace("0", "o"), "s") for i in range(5000)]
+    rows += [(5000, "QUX_QUX_QUX_QUX", "rare"), (5001, "token=abcdefghijklmnop ZZTOPZZ", "s")]
+    want = np.zeros((SIDE, SIDE))
+    for _, text, _ in rows[:-1]:
+        for word in (w for w in re.findall(ORDINARY, text) if len(w) >= 6):
+            at = [0, *(ALPHABET.index(c) + 1 for c in word)]
+            np.add.at(want, (at[:-1], at[1:]), 1)
+    single = want.sum(axis=0) + 0.5
+    want += SIDE / 10 * single / single.sum()
+    matched = np.zeros((SIDE, SIDE))
+    np.add.at(matched, (range(16), range(1, 17)), 1)
+    matched += 1
+    df = docs(*rows)
+    got = ratio_table(scan(df, ["doc_id"]), df)
+    assert np.allclose(got, np.log(matched / matched.sum(axis=1, keepdims=True)) - np.log(want / want.sum(axis=1, keepdims=True)))
+
+
 def test_redaction(docs):
     rows = [(i, t, "s") for i, t in enumerate(TEXTS)]
     out = find_secrets(docs(*rows), columns=["doc_id", "text"]).select("doc_id", redacted(F.col("text"), F.col("_base")).alias("t"))
