@@ -6,10 +6,10 @@ and may have any name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.anchor_cover import near_duplicates
+from keelson.llm.anchor_cover import first_rows
 from keelson.llm.arrow_text import arrow_batches, table
 from keelson.llm.ftrl import fit, score, training_rows
 from keelson.llm.order_sample import mixed
@@ -32,13 +32,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("score") < REJECT_AT).select("row.*")
 
 
+def row_digest(docs: DataFrame) -> Column:
+    """64 bits of all columns but the text; nulls count, and maps go by their JSON."""
+    parts = []
+    for f in docs.schema.fields:
+        if f.name != "text":
+            c = F.col(f"`{f.name}`")
+            parts += [c.isNull(), F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c]
+    return F.xxhash64(*parts)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest id stays, once; rows without id all stay, as
-    nothing tells which document they are."""
-    groups = near_duplicates(docs)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Of each group one row stays: the one of the smallest id, rows without id last, then of the
+    smallest digest of its text and of its other columns.  Rows are judged one by one, so different
+    texts under one id stay, and copies without id go."""
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", row_digest(docs).alias("_other"),
+                       F.xxhash64(F.isnull("text"), "text").alias("_same"))
+    keys = ["_same", "_other"]
+    first = first_rows(rows, keys, [F.isnull("doc_id"), F.col("doc_id")])
+    return rows.join(first, keys, "left_semi").dropDuplicates(keys).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -250,15 +250,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     has the id null.  Other columns are not read; an empty table gives an empty result.
     """
     marked = materialise(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"]))
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("_first")))
-    roots = components(links(nodes.select("fp"), threshold, blocks, limit))
-    grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "_first", F.coalesce("root", "fp").alias("root"))
-    named = grouped.groupBy("root").agg(F.min("_first").alias("component_id"))
-    named = grouped.join(named, "root").select("fp", "component_id")
+    named = grouped(marked, F.min("doc_id"), threshold, blocks, limit).select("fp", F.col("first").alias("component_id"))
     return marked.join(named, "fp").select(
         F.col("doc_id").alias(doc_id), written(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def grouped(marked: DataFrame, first: Column, threshold: int = THRESHOLD, blocks: tuple = BLOCKS,
+            limit: int = LIMIT) -> DataFrame:
+    """fp, root and ``first`` of every fingerprint: the component, and the least value of the rows in it
+    (``first`` is a minimum over rows of ``marked``)."""
+    nodes = materialise(marked.groupBy("fp").agg(first.alias("_first")))
+    roots = components(links(nodes.select("fp"), threshold, blocks, limit))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "_first", F.coalesce("root", "fp").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("_first").alias("first")), "root").select("fp", "root", "first")
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``keys`` of one row of each component of (text, keys, columns of ``order``): the first by
+    ``order``, then by the keys, which identify the row."""
+    plain = rows.select(*keys, "text", *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    names = [*[f"_o{i}" for i in range(len(order))], *keys]
+    marked = materialise(fingerprints(plain, names))
+    kept = grouped(marked, F.min(F.struct(*names))).groupBy("root").agg(F.min("first").alias("first"))
+    return kept.select(*[F.col(f"first.{k}").alias(k) for k in keys])
+
+
 def written(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

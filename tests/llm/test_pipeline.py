@@ -41,6 +41,14 @@ def test_each_decision_takes_effect(spark, inputs):
     assert all(r["copies"] in (1, 2) for r in seen["mixing"].values()) and set(seen["mixing"]) <= set(seen["secrets"])
 
 
+def test_near_dedup_judges_rows(spark, inputs):
+    texts = [prose(3000 + i, 200) for i in range(5)]
+    rows = [(7, texts[0], "a"), (7, texts[1], "a"), (7, texts[2], "a"), (7, texts[2], "a"), (7, texts[2], "b"), (3, texts[1], "a"),
+            (None, texts[3], "a"), (None, texts[3].upper(), "b"), (None, texts[4], "a"), (8, texts[4], None)]
+    got = [(r["doc_id"], r["text"].lower()) for r in corpus_pipeline.near_dedup(spark, table(spark, rows), inputs).collect()]
+    assert sorted(got, key=str) == sorted([(7, texts[0]), (3, texts[1]), (7, texts[2]), (None, texts[3]), (8, texts[4])], key=str)
+
+
 def test_awkward_rows_and_empty(spark, inputs):
     for rows in (AWKWARD, []):
         docs = table(spark, rows)
