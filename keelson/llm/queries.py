@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = ("mixing_query", "archive_query", "decontamination_query", "toxicity_query", "secrets_query",
            "search_query", "token_query", "url_query", "repeats_query",
-           "simhash_query", "cluster_query", "fim_query")
+           "simhash_query", "cluster_query", "fim_query", "language_query")
 
 
 def queries() -> dict:
