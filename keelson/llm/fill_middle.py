@@ -8,16 +8,17 @@ are then told apart again by the marks in that stream alone, given their place i
 sorted once more, which restores the text into a second digest.  Both sorts use the same
 partitioner, so texts are shuffled once.
 
-Scale: a task sorts its pieces in Python, spilling beyond ``spark.python.worker.memory``.  The key
-of a document is a digest of its id, its text and the number of the task that read it: rows that repeat
-spread over as many keys as there are reading tasks, inside a task their text travels once (``RECENT``
-rows back) with one head for every copy.  Lost executors are made up for by the lineage, keys being the same then.
+Scale: texts are dealt to tasks of about ``TASK_BYTES``, which sort in Python, spilling beyond
+``spark.python.worker.memory``.  The key of a document is a digest of its id, its text and the number of the task
+that read it: rows that repeat spread over as many keys as there are reading tasks, and inside a task their
+text travels once (``RECENT`` texts back) with one head for every copy.  Lost executors are made up for by
+the lineage, keys being the same then.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECE = 1 << 16
+TASK_BYTES = 64 << 20
 RECENT = 10_000
 #: How often a text is changed, and how often a changed one has its suffix first, of 100.
 RATE, SUFFIX_FIRST = 100, 50
@@ -112,6 +114,12 @@ def segments(stream: Iterable[bytes], form: str) -> Iterator[tuple[str, bytes]]:
         yield segment, held
 
 
+def sorting_tasks(docs: DataFrame, text: str) -> int:
+    """How many tasks hold the texts, from their bytes: compressed sizes of files say little about them."""
+    total = docs.agg(F.sum(F.octet_length(text).cast("long")).alias("n")).first()["n"] or 0
+    return -(-total // TASK_BYTES)
+
+
 def fill_in_middle(docs: DataFrame, seed: int = 7, rate: int = RATE, suffix_first: int = SUFFIX_FIRST,
                    keep_text: bool = True, piece: int = PIECE, doc_id: str = "doc_id", text: str = "text",
                    partitions: int | None = None) -> DataFrame:
@@ -129,8 +137,7 @@ def fill_in_middle(docs: DataFrame, seed: int = 7, rate: int = RATE, suffix_firs
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).rdd
-    # as many sorting tasks as reading ones: a task holds about what a reading task holds
-    n_parts = partitions or max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), sorting_tasks(docs, text))
 
     def cut(task: int, part: Iterable) -> Iterator[tuple]:
         sent = set()
