@@ -1,17 +1,19 @@
 """Table maintenance as set operations: seeding, patches, deletes, clean-up, defaults.
 
-Parquet has no MERGE, so each job returns the complete new table for a swap.
+Parquet has no MERGE, so each job returns the complete new table for a swap.  The ``*_in_place`` jobs work on a
+table filed by its key (``sources.filed``) and rewrite only the buckets that hold changed rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
 from ..functions.vocab import NOT_AVAILABLE
 from ..plans.ordering import first_per_key, keys_of
+from ..sources import filed
 
 
 def seed_missing(existing: DataFrame, wanted: DataFrame, key: str, ordinal: str | None = None) -> DataFrame:
@@ -71,6 +73,52 @@ def set_null_children(children: DataFrame, deleted: DataFrame, parent: str, key:
         parent, F.when(F.col("_gone").isNull(), F.col(parent))).select(*children.columns)
 
 
+def _key(spark: SparkSession, path: str) -> str:
+    return filed.info(spark, path)["key"]
+
+
+def patch_in_place(spark: SparkSession, path: str, patches: DataFrame, fields: list[str], ordinal: str,
+                   stamp: Column | None = None, stamp_column: str = "updated_at", owner: str | None = None,
+                   mark: int | None = None) -> list[int]:
+    """``apply_patches`` on a filed table; returns the buckets rewritten.  A batch of patches with a
+    rising ``mark`` is applied once, however often it is repeated."""
+    key = _key(spark, path)
+    return filed.change(
+        spark, path, filed.buckets_of(spark, path, patches, key),
+        lambda rows: apply_patches(rows, patches, key, fields, ordinal, stamp, stamp_column, owner), mark)
+
+
+def delete_in_place(spark: SparkSession, path: str, keys: DataFrame, on: list[str] | None = None,
+                    mark: int | None = None) -> list[int]:
+    """``delete_keys`` on a filed table; ``on`` may name more columns than its key (an owner)."""
+    key = _key(spark, path)
+    return filed.change(spark, path, filed.buckets_of(spark, path, keys, key),
+                        lambda rows: delete_keys(rows, keys, on or [key]), mark)
+
+
+def children_buckets(spark: SparkSession, path: str, deleted: DataFrame, parent: str, key: str) -> list[int]:
+    """Buckets of the rows that refer to a deleted parent: read from two columns of the children."""
+    children = filed.read(spark, path).select(_key(spark, path), parent)
+    gone = keys_of(deleted, [key]).select(F.col(key).alias(parent))
+    return filed.buckets_of(spark, path, children.join(gone, parent, "left_semi"), _key(spark, path))
+
+
+def cascade_in_place(spark: SparkSession, path: str, deleted: DataFrame, parent: str, key: str,
+                     mark: int | None = None) -> list[int]:
+    """``cascade_delete`` on filed children."""
+    return filed.change(spark, path, children_buckets(spark, path, deleted, parent, key),
+                        lambda rows: cascade_delete(rows, deleted, parent, key), mark)
+
+
+def set_null_in_place(spark: SparkSession, path: str, deleted: DataFrame, parent: str, key: str,
+                      mark: int | None = None) -> list[int]:
+    """``set_null_children`` on filed children, which must be filed by another column than ``parent``."""
+    if _key(spark, path) == parent:
+        raise ValueError("children filed by their parent would change their bucket")
+    return filed.change(spark, path, children_buckets(spark, path, deleted, parent, key),
+                        lambda rows: set_null_children(rows, deleted, parent, key), mark)
+
+
 def clean_empty(df: DataFrame) -> DataFrame:
     """Blank texts and empty arrays become null; 0 and false stay."""
     out = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("leads", "catalogue", "attempts", "evidence", "screening", "streams", "files")
+MODULES = ("leads", "catalogue", "attempts", "evidence", "screening", "streams", "files", "tables")
 
 
 def _merged(name: str) -> dict:
