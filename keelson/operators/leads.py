@@ -20,7 +20,9 @@ def parse_documents(raw: DataFrame, text: str = "value") -> DataFrame:
     schema = T.StructType([*LEAD_DOCUMENT.fields, T.StructField("corrupt", T.StringType())])
     parsed = raw.withColumn("doc", F.from_json(
         F.col(text), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}))
-    return fenced(parsed.withColumn("raw_payload", F.col(text))).withColumn("corrupt", F.col("doc.corrupt"))
+    parsed = parsed.withColumn("raw_payload", F.col(text))
+    # streams take no fence; nothing filters between parsing and keyed state there
+    return (parsed if raw.isStreaming else fenced(parsed)).withColumn("corrupt", F.col("doc.corrupt"))
 
 
 # flat lead column -> path in the document

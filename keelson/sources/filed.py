@@ -120,5 +120,6 @@ def change(spark: SparkSession, path: str, touched: Iterable[int], to: Callable[
 def upsert(spark: SparkSession, path: str, rows: DataFrame, mark: int | None = None) -> list[int]:
     """Add rows or replace those of the same key, one row a key; only their buckets are rewritten."""
     key = info(spark, path)["key"]
-    return change(spark, path, buckets_of(spark, path, rows, key),
-                  lambda old: old.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows), mark)
+    keys = rows.select(F.col(key).alias("_key")).distinct()
+    return change(spark, path, buckets_of(spark, path, rows, key), lambda old: old.join(
+        keys, F.col(key).eqNullSafe(F.col("_key")), "left_anti").unionByName(rows), mark)

@@ -1,87 +1,128 @@
-"""Continuous lead intake: validate, de-duplicate, route, store and enqueue, exactly once."""
+"""Continuous lead intake: validate, de-duplicate, route, store and enqueue, exactly once.
+
+The lead ids seen so far are keyed state (RocksDB), so a batch costs what it holds, however large the
+store is.  The store is three logs that fold their batches (``sources.batchlog``): files stay few.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import attempts as A
 from ..operators import leads as L
-from ..operators.validation import lead_document_rules, split, with_errors
-
-
-PREFIXES = 64
-
-
-def read_back(spark, path: str, before: int | None = None, prefixes: list[int] | None = None) -> DataFrame | None:
-    """Rows the earlier batches stored, None while there are none.  ``prefixes`` reads only the
-    folders that can hold the keys of a batch."""
-    try:
-        stored = spark.read.option("basePath", path).parquet(path)
-    except AnalysisException as exc:
-        # only a store without files counts as empty; any other failure must not look like one
-        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
-    if before is not None:
-        stored = stored.filter(F.col("batch_id") < before)
-    return stored if prefixes is None else stored.filter(F.col("prefix").isin(prefixes))
-
-
-def write_batch(df: DataFrame, path: str, batch_id: int, key: str | None = None, prefixes: int = PREFIXES) -> None:
-    """Write one batch to its own folder; repeating a batch replaces it.  With ``key`` the rows are
-    filed by a hash of it."""
-    place = f"{path}/batch_id={batch_id}"
-    if key is None:
-        df.write.mode("overwrite").parquet(place)
-    else:
-        df.withColumn("prefix", prefix(key, prefixes)).write.mode("overwrite").partitionBy("prefix").parquet(place)
-
-
-def prefix(key: str, prefixes: int = PREFIXES) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(prefixes)).cast("int")
+from ..operators.validation import lead_document_rules, with_errors
+from ..sources import batchlog
+
+CREATED, DUPLICATE, REJECTED = "created", "duplicate", "rejected"
+#: Columns the stream adds to those of a lead.
+EXTRA = "ordinal", "errors", "rejected", "key", "copies"
+
+
+def checked_documents(documents: DataFrame, now: Column) -> DataFrame:
+    """Documents of (ordinal, value) as flat leads with the failed rules; unusable ones have a key of their own."""
+    checked = with_errors(L.parse_documents(documents), lead_document_rules())
+    bad = F.size("errors") > 0
+    keyed = checked.withColumns({
+        "rejected": bad, "key": F.when(bad, F.col("ordinal").cast("string")).otherwise(F.col("doc.lead.id")),
+        "errors": F.array_join("errors", "|"), "copies": F.lit(1).cast("long")})
+    return L.flatten_documents(keyed, now, keep=EXTRA)
+
+
+def first_copies(rows: DataFrame) -> DataFrame:
+    """Of the copies of a lead inside an Arrow batch the first, with their number: an id that holds a third of
+    all documents sends one row a batch to its task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            order = pc.sort_indices(batch, sort_keys=[(c, "ascending") for c in ("rejected", "key", "ordinal")])
+            mine = batch.select(["rejected", "key"]).take(order)
+            flags, keys = mine.column("rejected").to_pylist(), mine.column("key").to_pylist()
+            firsts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1] or flags[i] != flags[i - 1]]
+            copies = [b - a for a, b in zip(firsts, [*firsts[1:], len(keys)])]
+            kept = batch.take(order.take(pa.array(firsts)))
+            yield kept.set_column(kept.schema.get_field_index("copies"), "copies", pa.array(copies, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+class FirstUsable(StatefulProcessor):
+    """State per lead id: the ordinal of the document that made the lead.  The first usable document of an
+    id becomes a lead, later ones are reported with the lead's id; unusable ones pass and leave no state.
+    Without ``keep_hours`` an id is remembered for ever."""
+
+    def __init__(self, fields: list[str], keep_hours: float | None = None):
+        self.fields, self.keep_ms = fields, None if keep_hours is None else int(keep_hours * 3_600_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "ordinal long", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if key[0]:
+            for row in rows:
+                yield Row(**row.asDict(), outcome=REJECTED)
+            return
+        first, copies = None, 0
+        for row in rows:
+            copies += row["copies"]
+            if first is None or row["ordinal"] < first["ordinal"]:
+                first = row
+        if self.seen.exists():
+            known = {"ordinal": first["ordinal"], "rejected": False, "key": first["key"], "source_lead_id": first["key"]}
+            yield Row(**(dict.fromkeys(self.fields) | known | {"copies": copies, "outcome": DUPLICATE}))
+        else:
+            self.seen.update((first["ordinal"],))
+            yield Row(**(first.asDict() | {"copies": copies, "outcome": CREATED}))
+
+    def close(self) -> None:
+        pass
+
+
+def outcomes(documents: DataFrame, now: Column, keep_hours: float | None = None) -> DataFrame:
+    """Stream of (ordinal, value) to flat leads with their outcome; of a duplicate only ordinal, id and number."""
+    rows = first_copies(checked_documents(documents, now))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields]).add("outcome", "string")
+    return rows.groupBy("rejected", "key").transformWithState(
+        statefulProcessor=FirstUsable(rows.columns, keep_hours), outputStructType=schema, outputMode="Append",
+        timeMode="None" if keep_hours is None else "ProcessingTime")
 
 
 def store_batch(batch: DataFrame, batch_id: int, store: str, brokers: DataFrame, aliases: DataFrame,
-                now: Column, domains: tuple[str, str] | None = None, prefixes: int = PREFIXES) -> None:
-    """One micro-batch: rejected documents, new leads with owner, one attempt per new lead.
-
-    Keys stored by earlier batches are skipped, which keeps the unlimited uniqueness.  The store
-    is filed by ``prefixes`` hash folders of the lead key, of which a batch reads those its own keys
-    fall in: a small batch reads a small part of the store.
-    """
-    spark = batch.sparkSession
-    # read by both branches, so documents are parsed once
-    checked = with_errors(L.parse_documents(batch), lead_document_rules()).persist()
-    good, bad = split(checked)
-    write_batch(bad.select("ordinal", "raw_payload", F.array_join("errors", "|").alias("errors")),
-                f"{store}/rejected", batch_id)
-    fresh = L.first_wins(L.flatten_documents(good, now, keep=("ordinal",)), "source_lead_id", "ordinal")
-    folders = [r[0] for r in good.select(prefix("doc.lead.id", prefixes)).distinct().toLocalIterator()]
-    known = read_back(spark, f"{store}/leads", batch_id, folders)
-    if known is not None:
-        fresh = L.new_only(fresh, known, "source_lead_id")
-    write_batch(L.route(fresh, brokers, aliases, now, domains), f"{store}/leads", batch_id, "source_lead_id", prefixes)
-    # attempts are derived from what was stored, so both outputs name the same leads
-    stored = spark.read.schema(fresh.schema).parquet(f"{store}/leads/batch_id={batch_id}")
-    attempts = A.enqueue(stored, now, key="source_lead_id")
-    active = read_back(spark, f"{store}/attempts", batch_id, folders)
-    if active is not None:
-        attempts = A.guard_one_active(attempts, active.drop("prefix"), "requested_at")
-    write_batch(attempts, f"{store}/attempts", batch_id, "lead_id", prefixes)
-    checked.unpersist()
+                now: Column, domains: tuple[str, str] | None = None, fold_at: int = batchlog.FOLD_AT) -> None:
+    """One micro-batch of outcomes: rejected documents, duplicates, new leads with owner, one attempt per new
+    lead.  A log that has the batch already is left as it is, so a batch that failed half-way can be repeated."""
+    # read by all four logs, so the state is asked once
+    rows = batch.persist()
+    try:
+        batchlog.append(rows.filter(F.col("outcome") == REJECTED).select("ordinal", "raw_payload", "errors"),
+                        f"{store}/rejected", batch_id, fold_at)
+        repeats = F.col("copies") - F.when(F.col("outcome") == CREATED, 1).otherwise(0)
+        batchlog.append(rows.filter((F.col("outcome") != REJECTED) & (repeats > 0)).select("source_lead_id", repeats.alias("copies")),
+                        f"{store}/duplicates", batch_id, fold_at)
+        created = rows.filter(F.col("outcome") == CREATED).drop(*[c for c in EXTRA if c != "ordinal"], "outcome")
+        batchlog.append(L.route(created, brokers, aliases, now, domains), f"{store}/leads", batch_id, fold_at)
+        batchlog.append(A.enqueue(created, now, key="source_lead_id"), f"{store}/attempts", batch_id, fold_at)
+    finally:
+        rows.unpersist()
 
 
 def intake_stream(documents: DataFrame, store: str, checkpoint: str, brokers: DataFrame, aliases: DataFrame,
-                  now: Column, domains: tuple[str, str] | None = None) -> DataStreamWriter:
+                  now: Column, domains: tuple[str, str] | None = None, keep_hours: float | None = None,
+                  fold_at: int = batchlog.FOLD_AT) -> DataStreamWriter:
     """Writer for a stream of (ordinal, value); start it with a trigger.
 
-    Repeated ids are settled after validation, so an unusable copy never displaces a
-    usable one: by ordinal inside a batch and against the store across batches.  The
-    stream keeps no state of its own."""
+    Repeated ids are settled after validation, so an unusable copy never displaces a usable one: by
+    ordinal inside a batch, by arrival across batches.  The session needs RocksDB as its state store
+    (``session.tune``)."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        store_batch(batch, batch_id, store, brokers, aliases, now, domains)
+        store_batch(batch, batch_id, store, brokers, aliases, now, domains, fold_at)
 
-    return documents.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return outcomes(documents, now, keep_hours).writeStream.outputMode("append").foreachBatch(run).option(
+        "checkpointLocation", checkpoint)

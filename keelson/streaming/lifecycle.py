@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.attempts import ACTIONS, lifecycle_states, next_state
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CODES = {a: i for i, a in enumerate(ACTIONS)}
 OUTPUT = "id string, events long, status string, retry_count int"
 
@@ -82,8 +81,62 @@ class Lifecycle(StatefulProcessor):
 
 
 def lifecycle_stream(events: DataFrame, max_retries: int = 3, stale_minutes: float | None = None) -> DataFrame:
-    """Stream of (id, ordinal, action) to the changing state of every attempt."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Stream of (id, ordinal, action) to the changing state of every attempt.  The session needs
+    RocksDB as its state store (``session.tune``)."""
     return events.groupBy("id").transformWithStateInPandas(
         statefulProcessor=Lifecycle(max_retries, stale_minutes), outputStructType=OUTPUT,
         outputMode="Update", timeMode="None" if stale_minutes is None else "ProcessingTime")
+
+
+class Recovery(StatefulProcessor):
+    """State per attempt: (status, retry_count, number of events, time of the last event in milliseconds).
+
+    Recovery goes by the events' own times, so a repeated run gives the same result: an attempt that is
+    still running more than ``stale_minutes`` after its last event is recovered before its next event is applied, or
+    by a timer once the watermark has passed that time.  Events of a batch are applied in order of
+    (time, ordinal); one that arrives in a later batch than a younger one is applied on arrival.
+    """
+
+    def __init__(self, stale_minutes: float, max_retries: int = 3):
+        self.stale_ms, self.max_retries = int(stale_minutes * 60_000), max_retries
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("attempt", "status string, retry_count int, events long, at long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        stored = self.state.get() if self.state.exists() else None
+        status, retries, events, last = stored or ("pending", 0, 0, None)
+        before, recovered = last, False
+        for at, _, action in sorted((r["at_ms"], r["ordinal"], r["action"]) for r in rows):
+            if status == "running" and last is not None and at - last > self.stale_ms:
+                status, retries = next_state((status, retries), "fail", self.max_retries)
+                recovered = True
+            status, retries = next_state((status, retries), action, self.max_retries)
+            last, events = at if last is None else max(last, at), events + 1
+        self.state.update((status, retries, events, last))
+        if before is not None:
+            self.handle.deleteTimer(before + self.stale_ms)
+        if status == "running":
+            self.handle.registerTimer(last + self.stale_ms)
+        yield Row(id=key[0], events=events, status=status, retry_count=retries, recovered=recovered)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        status, retries, events, last = self.state.get()
+        if status == "running":
+            status, retries = next_state((status, retries), "fail", self.max_retries)
+            self.state.update((status, retries, events, last))
+            yield Row(id=key[0], events=events, status=status, retry_count=retries, recovered=True)
+
+    def close(self) -> None:
+        pass
+
+
+def recovery_stream(events: DataFrame, stale_minutes: float, max_retries: int = 3, late: str = "0 seconds") -> DataFrame:
+    """Stream of (id, ordinal, action, ts) to (id, events, status, retry_count, recovered) whenever an attempt
+    changes; ``late`` is how far events may lag behind the newest one."""
+    timed = events.withWatermark("ts", late).selectExpr("id", "ordinal", "action", "ts", "unix_millis(ts) AS at_ms")
+    return timed.groupBy("id").transformWithState(
+        statefulProcessor=Recovery(stale_minutes, max_retries),
+        outputStructType="id string, events long, status string, retry_count int, recovered boolean",
+        outputMode="Update", timeMode="EventTime")

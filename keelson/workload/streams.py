@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.attempts import latest
 from ..session import fresh_path
+from ..sources import batchlog
 from ..streaming import counter, intake, lifecycle
 from . import attempts as AW
 from . import leads as LW
@@ -66,8 +67,8 @@ def stream_intake(spark, sf):
     aliases = table(spark, sf, "nation").selectExpr("'no alias' AS alias_key", "'none@one.example' AS email")
     now = F.lit(LW.NOW).cast("timestamp")
     finish(intake.intake_stream(docs, out, checkpoint, roles.brokers(spark, sf), aliases, now))
-    leads = intake.read_back(spark, f"{out}/leads")
-    attempts = intake.read_back(spark, f"{out}/attempts").select(
+    leads = batchlog.read(spark, f"{out}/leads")
+    attempts = batchlog.read(spark, f"{out}/attempts").select(
         F.col("lead_id").alias("source_lead_id"), F.col("status").alias("attempt_status"))
     return leads.join(attempts, "source_lead_id", "left").select(
         "source_lead_id", "broker_id", F.col("contact_display_name").alias("contact"), "attempt_status")
@@ -80,9 +81,46 @@ def stream_lifecycle(spark, sf):
         "concat(CAST(user_id AS STRING), '-', CAST(event_id % 4 AS STRING)) AS id", "event_id AS ordinal", f"{AW.ACTION} AS action")
     states = lifecycle.lifecycle_stream(events)
 
+    return changes_of(spark, states, out, checkpoint).drop("batch_id")
+
+
+def changes_of(spark, states, out, checkpoint):
+    """The last of the rows a stream of changing states gave for every attempt."""
     def run(batch, batch_id):
-        intake.write_batch(batch, out, batch_id)
+        batchlog.append(batch.withColumn("batch_id", F.lit(batch_id)), out, batch_id)
 
     finish(states.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint))
-    changes = spark.read.option("basePath", out).parquet(out)
-    return latest(changes, "id", "batch_id", "events", report=None).drop("batch_id")
+    return latest(batchlog.read(spark, out), "id", "batch_id", "events", report=None)
+
+
+STALE_MINUTES = 1440
+
+
+# a running attempt without an event for a day is recovered: before its next event, or by the last watermark
+@query("stream_recovery", f"""
+WITH RECURSIVE e AS (
+  SELECT concat(CAST(user_id AS VARCHAR), '-', CAST(event_id % 4 AS VARCHAR)) AS id, {AW.ACTION} AS a, epoch_ms(ts) AS t,
+    row_number() OVER w AS rn, coalesce(epoch_ms(ts) - lag(epoch_ms(ts)) OVER w > {STALE_MINUTES * 60_000}, false) AS stale
+  FROM events WINDOW w AS (PARTITION BY user_id, event_id % 4 ORDER BY epoch_ms(ts), event_id)),
+s AS (
+  SELECT DISTINCT id, CAST(0 AS BIGINT) AS rn, 'pending' AS st, 0 AS r, CAST(0 AS BIGINT) AS t FROM e
+  UNION ALL
+  SELECT id, rn,
+    CASE WHEN a = 'claim' AND st = 'pending' THEN 'running' WHEN a = 'complete' AND st = 'running' THEN 'completed'
+      WHEN a = 'fail' AND st = 'running' THEN CASE WHEN r < 3 THEN 'pending' ELSE 'failed' END ELSE st END,
+    CASE WHEN a = 'claim' AND st = 'pending' THEN r + 1 ELSE r END, t
+  FROM (SELECT s.id, e.rn, a, r, e.t,
+      CASE WHEN stale AND st = 'running' THEN CASE WHEN r < 3 THEN 'pending' ELSE 'failed' END ELSE st END AS st
+    FROM s JOIN e ON e.id = s.id AND e.rn = s.rn + 1)),
+l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY rn DESC) = 1),
+m AS (SELECT max(epoch_ms(ts)) AS mark FROM events)
+SELECT id, rn AS events, r AS retry_count,
+  CASE WHEN st = 'running' AND t + {STALE_MINUTES * 60_000} < mark THEN CASE WHEN r < 3 THEN 'pending' ELSE 'failed' END ELSE st END AS status
+FROM l, m""")
+def stream_recovery(spark, sf):
+    out, checkpoint = folders(spark)
+    events = stream(spark, sf, "events").selectExpr(
+        "concat(CAST(user_id AS STRING), '-', CAST(event_id % 4 AS STRING)) AS id", "event_id AS ordinal", f"{AW.ACTION} AS action",
+        "CAST(ts AS TIMESTAMP) AS ts")
+    states = lifecycle.recovery_stream(events, STALE_MINUTES)
+    return changes_of(spark, states, out, checkpoint).select("id", "events", "retry_count", "status")
