@@ -6,7 +6,8 @@ each bucket.  A change reads the buckets its keys fall in, writes them under a n
 the new state, so it happens as a whole or not at all, readers are never disturbed, and a writer that dies
 leaves nothing that counts.  At most two generations of a bucket exist.
 
-Choose the number of buckets so that one is a few files: a change of ``n`` keys rewrites at most ``n`` of them.
+A table gets a bucket for every ``BUCKET_ROWS`` rows unless a number is given: a change of ``n`` keys rewrites at
+most ``n`` buckets.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import types as T
 
 from .versions import Files, advance, current
 
-BUCKETS = 64
+#: Fewest buckets of a table, and rows of a bucket when it is filed.
+BUCKETS, BUCKET_ROWS = 16, 500_000
 
 
 def bucket_of(key: str | Column, buckets: int) -> Column:
@@ -53,11 +55,12 @@ def _write(df: DataFrame, files: Files, key: str, buckets: int, number: int) ->
     return {int(n.split("=")[1]): f"gen={number}/{n}" for n in files.names(place) if n.startswith("_bucket=")}
 
 
-def create(df: DataFrame, path: str, key: str, buckets: int = BUCKETS, mark: int | None = None) -> None:
+def create(df: DataFrame, path: str, key: str, buckets: int | None = None, mark: int | None = None) -> None:
     """File a table; the folder must not hold one yet."""
     files = Files(df.sparkSession, path)
     if current(files) is not None:
         raise FileExistsError(f"there is a filed table in {path}")
+    buckets = buckets or max(BUCKETS, -(-df.count() // BUCKET_ROWS))
     filed = _write(df, files, key, buckets, 0)
     advance(files, 0, {"key": key, "buckets": buckets, "schema": df.schema.jsonValue(), "mark": mark,
                        "folders": [filed[b] for b in sorted(filed)]})

@@ -21,18 +21,17 @@ from ..operators.validation import lead_document_rules, with_errors
 from ..sources import batchlog
 
 CREATED, DUPLICATE, REJECTED = "created", "duplicate", "rejected"
-#: Columns the stream adds to those of a lead.
-EXTRA = "ordinal", "errors", "rejected", "key", "copies"
+PASSING = 256
 
 
-def checked_documents(documents: DataFrame, now: Column) -> DataFrame:
-    """Documents of (ordinal, value) as flat leads with the failed rules; unusable ones have a key of their own."""
+def checked_documents(documents: DataFrame) -> DataFrame:
+    """Documents of (ordinal, value) with their lead id as key and the failed rules; unusable ones, which need no
+    state, share ``PASSING`` keys.  Texts travel as they came: only those that make a lead are taken apart."""
     checked = with_errors(L.parse_documents(documents), lead_document_rules())
     bad = F.size("errors") > 0
-    keyed = checked.withColumns({
-        "rejected": bad, "key": F.when(bad, F.col("ordinal").cast("string")).otherwise(F.col("doc.lead.id")),
-        "errors": F.array_join("errors", "|"), "copies": F.lit(1).cast("long")})
-    return L.flatten_documents(keyed, now, keep=EXTRA)
+    passing = F.pmod(F.xxhash64("ordinal"), F.lit(PASSING)).cast("string")
+    return checked.select(bad.alias("rejected"), F.when(bad, passing).otherwise(F.col("doc.lead.id")).alias("key"),
+                          "ordinal", F.array_join("errors", "|").alias("errors"), "value", F.lit(1).cast("long").alias("copies"))
 
 
 def first_copies(rows: DataFrame) -> DataFrame:
@@ -45,7 +44,7 @@ def first_copies(rows: DataFrame) -> DataFrame:
             order = pc.sort_indices(batch, sort_keys=[(c, "ascending") for c in ("rejected", "key", "ordinal")])
             mine = batch.select(["rejected", "key"]).take(order)
             flags, keys = mine.column("rejected").to_pylist(), mine.column("key").to_pylist()
-            firsts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1] or flags[i] != flags[i - 1]]
+            firsts = [i for i in range(len(keys)) if i == 0 or flags[i] or keys[i] != keys[i - 1] or flags[i - 1]]
             copies = [b - a for a, b in zip(firsts, [*firsts[1:], len(keys)])]
             kept = batch.take(order.take(pa.array(firsts)))
             yield kept.set_column(kept.schema.get_field_index("copies"), "copies", pa.array(copies, pa.int64()))
@@ -58,8 +57,8 @@ class FirstUsable(StatefulProcessor):
     id becomes a lead, later ones are reported with the lead's id; unusable ones pass and leave no state.
     Without ``keep_hours`` an id is remembered for ever."""
 
-    def __init__(self, fields: list[str], keep_hours: float | None = None):
-        self.fields, self.keep_ms = fields, None if keep_hours is None else int(keep_hours * 3_600_000)
+    def __init__(self, keep_hours: float | None = None):
+        self.keep_ms = None if keep_hours is None else int(keep_hours * 3_600_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "ordinal long", self.keep_ms)
@@ -74,23 +73,23 @@ class FirstUsable(StatefulProcessor):
             copies += row["copies"]
             if first is None or row["ordinal"] < first["ordinal"]:
                 first = row
-        if self.seen.exists():
-            known = {"ordinal": first["ordinal"], "rejected": False, "key": first["key"], "source_lead_id": first["key"]}
-            yield Row(**(dict.fromkeys(self.fields) | known | {"copies": copies, "outcome": DUPLICATE}))
-        else:
+        known = self.seen.exists()
+        if not known:
             self.seen.update((first["ordinal"],))
-            yield Row(**(first.asDict() | {"copies": copies, "outcome": CREATED}))
+        yield Row(**(first.asDict() | {"copies": copies, "value": None if known else first["value"],
+                                       "outcome": DUPLICATE if known else CREATED}))
 
     def close(self) -> None:
         pass
 
 
-def outcomes(documents: DataFrame, now: Column, keep_hours: float | None = None) -> DataFrame:
-    """Stream of (ordinal, value) to flat leads with their outcome; of a duplicate only ordinal, id and number."""
-    rows = first_copies(checked_documents(documents, now))
+def outcomes(documents: DataFrame, keep_hours: float | None = None) -> DataFrame:
+    """Stream of (ordinal, value) to (rejected, key, ordinal, errors, value, copies, outcome): one row for every
+    unusable document, and one a batch for every lead id in it."""
+    rows = first_copies(checked_documents(documents))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields]).add("outcome", "string")
     return rows.groupBy("rejected", "key").transformWithState(
-        statefulProcessor=FirstUsable(rows.columns, keep_hours), outputStructType=schema, outputMode="Append",
+        statefulProcessor=FirstUsable(keep_hours), outputStructType=schema, outputMode="Append",
         timeMode="None" if keep_hours is None else "ProcessingTime")
 
 
@@ -101,12 +100,13 @@ def store_batch(batch: DataFrame, batch_id: int, store: str, brokers: DataFrame,
     # read by all four logs, so the state is asked once
     rows = batch.persist()
     try:
-        batchlog.append(rows.filter(F.col("outcome") == REJECTED).select("ordinal", "raw_payload", "errors"),
+        batchlog.append(rows.filter(F.col("outcome") == REJECTED).select("ordinal", F.col("value").alias("raw_payload"), "errors"),
                         f"{store}/rejected", batch_id, fold_at)
         repeats = F.col("copies") - F.when(F.col("outcome") == CREATED, 1).otherwise(0)
-        batchlog.append(rows.filter((F.col("outcome") != REJECTED) & (repeats > 0)).select("source_lead_id", repeats.alias("copies")),
-                        f"{store}/duplicates", batch_id, fold_at)
-        created = rows.filter(F.col("outcome") == CREATED).drop(*[c for c in EXTRA if c != "ordinal"], "outcome")
+        batchlog.append(rows.filter((F.col("outcome") != REJECTED) & (repeats > 0)).select(
+            F.col("key").alias("source_lead_id"), repeats.alias("copies")), f"{store}/duplicates", batch_id, fold_at)
+        documents = rows.filter(F.col("outcome") == CREATED).select("ordinal", "value")
+        created = L.flatten_documents(L.parse_documents(documents), now, keep=("ordinal",))
         batchlog.append(L.route(created, brokers, aliases, now, domains), f"{store}/leads", batch_id, fold_at)
         batchlog.append(A.enqueue(created, now, key="source_lead_id"), f"{store}/attempts", batch_id, fold_at)
     finally:
@@ -124,5 +124,5 @@ def intake_stream(documents: DataFrame, store: str, checkpoint: str, brokers: Da
     def run(batch: DataFrame, batch_id: int) -> None:
         store_batch(batch, batch_id, store, brokers, aliases, now, domains, fold_at)
 
-    return outcomes(documents, now, keep_hours).writeStream.outputMode("append").foreachBatch(run).option(
+    return outcomes(documents, keep_hours).writeStream.outputMode("append").foreachBatch(run).option(
         "checkpointLocation", checkpoint)
