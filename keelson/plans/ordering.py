@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 BLOCK = 1_000_000
 
 
@@ -68,3 +70,28 @@ def numbered(
         .withColumn(rank, (F.col("_offset") + F.row_number().over(inside)).cast("long"))
         .drop("_k", "_b", "_offset", *names)
     )
+
+
+def positions(df: DataFrame, order: list[tuple[str, bool]], out: str = "position", partitions: int | None = None) -> DataFrame:
+    """Every row with its place, from 1, in the order of (column, ascending) pairs, which must be total.
+
+    Ranges of the order are dealt to partitions and sorted there; the rows go to a table of the shared
+    folder with their place inside their partition, partitions are counted, and a row's position is its place plus the
+    rows of the partitions before.  A value that a third of all rows share is split by the columns after it, so
+    no partition is hot, and no window sees more than its partition's count.  Null sorts first when ascending.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
+    placed = materialise(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(
+        "_place", F.monotonically_increasing_id()))
+    # the id is the partition's number above 33 bits that count its rows
+    part, inside = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
+    starts, total = [], 0
+    for r in sizes:  # one number a partition
+        starts.append((r["p"], total))
+        total += r["n"]
+    offsets = spark.createDataFrame(starts, "_part long, _before long")
+    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(
+        out, F.col("_before") + inside + 1).drop("_part", "_before", "_place")
