@@ -6,7 +6,8 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from keelson.llm.secrets_markov import ALPHABET, ORDINARY, SIDE, find_secrets, ratio_table, redacted, scan, written
+from keelson.llm.secrets_markov import (ALPHABET, DIFFERENT, ORDINARY, SIDE, THRESHOLD, find_secrets, ratio_table, redacted, running, scan,
+                                        spans, written)
 from tests.llm.conftest import AWKWARD, prose
 
 BOTH = lambda word: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in word)
@@ -53,6 +54,68 @@ def test_markov_spans(docs):
     assert got[2000] == "markov:4:47" and got[2001] == "" and got[2002] == "assign:0:49" and got[2003] == ""
 
 
+def brute_markov(text, ratios):
+    """All spans: base ones, and random runs of what they leave of the text."""
+    base = brute(text)
+    rest = list(text or "")
+    for x in filter(None, base.split(",")):
+        _, a, b = x.split(":")
+        rest[int(a): int(b)] = "\x01" * (int(b) - int(a))
+    added = []
+    for m in re.finditer("[A-Za-z0-9+/_-]{20,}", "".join(rest)):
+        at = [0, *(ALPHABET.index(c) + 1 for c in m[0])]
+        if len(set(m[0])) > DIFFERENT and sum(ratios[a, b] for a, b in zip(at, at[1:])) > THRESHOLD:
+            added.append((m.start(), 3, m.end()))
+    kinds = ["assign", "access", "hex", "markov"]
+    known = [(int(a), kinds.index(k), int(b)) for k, a, b in (x.split(":") for x in base.split(",") if x)]
+    return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(known + added))
+
+
+def test_markov_spans_equal_brute_force(docs):
+    r = random.Random(8)
+    rows = [(i, prose(i, 30).replace("0", "o"), "s") for i in range(200)] + [(300 + i, f"secret={key(i)}", "s") for i in range(60)]
+    for i in range(150):
+        parts = [r.choice([key(i)[: r.randrange(15, 40)], "/", "-", "%016x" % r.randrange(1 << 62), "token=" + key(-i), " ", "é", "AKIA" + "Q7" * 9,
+                           "SnakeCase_" * 4, "plainwordsjoinedtogether", "é" + key(5 + i)]) for _ in range(r.randrange(1, 9))]
+        rows.append((1000 + i, "".join(parts), "s"))
+    df = docs(*rows)
+    scanned = scan(df, ["doc_id"])
+    ratios = ratio_table(scanned, df)
+    got = {x["doc_id"]: x["w"] for x in spans(scanned, ratios).select("doc_id", written("_all").alias("w")).collect()}
+    assert got == {d: brute_markov(t, ratios) for d, t, _ in rows}
+    assert sum("markov" in w for w in got.values()) > 30
+
+
+def test_a_key_beside_a_match_is_found(docs):
+    rows = [(i, prose(i, 60).replace("0", "o"), "s") for i in range(300)] + [(1000 + i, f"secret={key(i)}", "s") for i in range(60)]
+    rows += [(2000, f"{'0123456789abcdef' * 2}/{key(900)}", "s")]
+    got = find_secrets(docs(*rows)).filter("doc_id = 2000").select(written("_all").alias("w")).first()["w"]
+    # the hex run is cut out, and the key with its slash is scored by itself; hex runs inside the key stay their own
+    assert got.startswith("hex:0:32,markov:32:")
+
+
+def test_running_folds(spark):
+    r = random.Random(1)
+    for n in (0, 1, 2, 7, 64, 65, 500):
+        values = [r.randrange(100) for _ in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<int>")
+        got = df.select(running(F.col("v"), lambda a, b: a + b).alias("s"), running(F.col("v"), lambda a, b: F.greatest(a, b)).alias("m")).first()
+        assert got["s"] == [sum(values[:i]) for i in range(n)] and got["m"] == [max(values[:i], default=0) for i in range(n)]
+
+
+def test_many_matches_in_one_text(docs):
+    import time
+
+    text = " ".join("%016x" % (i * 2654435761 % 2**60) for i in range(100_000))
+    find_secrets(docs((1, "token=abcdefghijklmn", "s"))).collect()
+    start = time.time()
+    out = find_secrets(docs((1, text, "s")), columns=["doc_id", "text"]).select(
+        written("_all").alias("w"), redacted(F.col("text"), F.col("_all")).alias("t")).first()
+    took = time.time() - start
+    assert out["w"] == brute(text) and out["t"] == " ".join(["[SECRET]"] * 100_000)
+    assert took < 60, took  # a quadratic form took 23 s for 8,000
+
+
 def test_ordinary_pairs_of_all_documents_count(docs):
     rows = [(i, prose(i, 10).replace("0", "o"), "s") for i in range(5000)]
     rows += [(5000, "QUX_QUX_QUX_QUX", "rare"), (5001, "token=abcdefghijklmnop ZZTOPZZ", "s")]
