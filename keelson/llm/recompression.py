@@ -368,6 +368,13 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.withColumn("th", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
 
 
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """id, th, text, each once: rows that repeat have the same ranges, which are worked out for one of them.  Copies
+    go on the map side; without a repeated id there are none, and nothing is shuffled."""
+    texts = rows.select("id", "th", "text")
+    return texts if texts.filter("th <> 0").isEmpty() else texts.groupBy("id", "th").agg(F.first("text").alias("text"))
+
+
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
                     slab: int = SLAB, bucket: int = BUCKET, keep_text: bool = True) -> DataFrame:
     """doc id, n_words, n_removed, kept_sha256 and, with ``keep_text``, ``kept``: the words that no
@@ -379,7 +386,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     arrow_batches(docs.sparkSession)
     rows = keyed(docs, doc_id, text)
-    ranges = repeats(rows.select("id", "th", "text"), window, slab, bucket)
+    ranges = repeats(distinct_texts(rows), window, slab, bucket)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

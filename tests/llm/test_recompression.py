@@ -79,3 +79,15 @@ def test_settled_entries_of_a_common_passage_are_dealt_out(docs):
 
 def test_empty(docs):
     assert without_repeats(docs()).count() == 0
+
+
+def test_many_equal_rows_and_copies_of_them(spark):
+    """A third of all rows are one row: its ranges are worked out once."""
+    shared, own = prose(1, 40), prose(2, 30)
+    rows = [(1, shared + " " + prose(3, 20)), (7, own + " " + shared), (9, own)]
+    hot = spark.range(0, 100_000, 1, 8).selectExpr("CAST(7 AS BIGINT) AS doc_id", f"'{own} {shared}' AS text")
+    some = spark.createDataFrame([(1, rows[0][1]), (9, own), (None, shared)], "doc_id long, text string")
+    out = without_repeats(hot.unionByName(some), keep_text=False)
+    got = {tuple(r) for r in out.groupBy("doc_id", "n_words", "n_removed", "kept_sha256").count().collect()}
+    want = {r[0]: r for r in brute([(1, rows[0][1], ""), (7, rows[1][1], ""), (9, own, ""), (None, shared, "")])}
+    assert got == {(*want[d][:4], n) for d, n in ((1, 1), (7, 100_000), (9, 1), (None, 1))}
