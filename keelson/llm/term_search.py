@@ -8,8 +8,8 @@ k best of all blocks are merged by rank.
 
 The queries are a stated set (ids divisible by ``every``) against all rows.  A task holds one query
 block and one candidate block, of ``QUERY_BLOCK`` and ``BLOCK`` rows on average; the score array is
-filled for ``LINES`` queries at a time.  Blocks are dealt by a hash of a running number, so equal vectors or ids
-cannot fill one block.  Each row travels once per block of the other side.
+filled for ``LINES`` queries at a time.  Candidates are dealt by a hash of a running number and queries, which are
+distinct, by one of id and vector, so neither equal vectors nor one id can fill a block.  Each row travels once per block of the other side.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     n_blocks = max(1, -(-rows.count() // block))
     n_queries = max(1, -(-queries.count() // query_block))
     dealt = F.xxhash64(F.monotonically_increasing_id())
-    left = (queries.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(n_queries)))
+    left = (queries.withColumn("qb", F.pmod(F.xxhash64("vec_id", "w"), F.lit(n_queries)))
             .withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))))
     right = (rows.withColumn("cb", F.pmod(dealt, F.lit(n_blocks)))
              .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long")))))

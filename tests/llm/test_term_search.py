@@ -33,3 +33,20 @@ def test_repeated_rows_and_few_candidates(spark):
     rows = [(0, [1.0]), (0, [1.0]), (1, [0.5]), (1, [0.5]), (2, [-1.0])]
     assert run(spark, rows) == [(0, 1, 1, 32768), (0, 2, 1, 32768), (0, 3, 2, -65536)]
     assert run(spark, [(0, [1.0])]) == [] and run(spark, []) == []
+
+
+def test_one_query_id_that_holds_a_third_of_all_rows(spark):
+    r = random.Random(2)
+    rows = [(i + 1, [r.uniform(-1, 1) for _ in range(4)]) for i in range(400)] + [(0, [r.uniform(-1, 1) for _ in range(4)]) for _ in range(200)]
+    # queries that share an id get the best of all of them
+    best = {}
+    for q, w in [(i, v) for i, v in rows if i % 50 == 0]:
+        for i, v in rows:
+            if i != q:
+                score = sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(w, v))
+                best.setdefault(q, {}).setdefault(i, []).append(score)
+    want = []
+    for q, found in best.items():
+        pairs = sorted((-s, i) for i, scores in found.items() for s in scores)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(pairs)]
+    assert run(spark, rows, query_block=16, block=64) == sorted(want)
