@@ -6,9 +6,9 @@ endings that the sample does not hold.  FTRL-proximal keeps a gradient sum and a
 coordinate, which gives each its own learning rate, and L1 keeps most weights at exactly zero: the
 model that travels to the scoring tasks is the list of non-zero weights, at most ``2 ** BITS``.
 
-Scale: the model is fitted by one task on a sample of at most about ``sample`` labelled rows (a
-parameter; drawn by a hash of the id, so it does not grow with the input); its ids are what is
-broadcast to pick the training texts.  Scoring reads every text once, whole, without a shuffle.
+Scale: the model is fitted by one task on a sample of at most about ``sample`` labelled texts (a
+parameter; drawn by a hash of id and text at a rate from their number, so it does not grow with the input); their
+hashes are what is broadcast to pick the training texts.  Scoring reads every text once, whole, without a shuffle.
 """
 
 from __future__ import annotations
@@ -109,17 +109,22 @@ def held_out(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id",
                   text: str = "text", label: str = "toxic") -> DataFrame:
-    """(order, label, text) of at most about ``sample`` labelled rows that are not held out.  Of
-    several labels of one id the largest counts; rows without id, label or text teach nothing."""
+    """(order, label, text) of at most about ``sample`` labelled texts that are not held out.  Of
+    several labels of one id the largest counts; a text that repeats under its id is one text; rows without id,
+    label or text teach nothing, and empty tables give none."""
     usable = (labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label"))
               .filter(F.col("_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("_id")))
               .groupBy("_id").agg(F.max("label").alias("label")))
-    rate = min(1.0, sample / max(1, usable.count()))
-    order = F.xxhash64(F.col("_id").cast("string"), F.lit("sample"))
-    # the ids of the sample: bounded by the parameter, not by the input
-    chosen = usable.withColumn("order", order).filter(F.pmod("order", F.lit(1 << 30)) < int(rate * (1 << 30)))
-    return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).join(
-        F.broadcast(chosen), "_id").select("order", "label", "text")
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).filter(
+        F.col("text").isNotNull() & F.col("_id").isNotNull()).withColumn(
+        "order", F.xxhash64(F.col("_id").cast("string"), "text", F.lit("sample")))
+    # narrow and distinct before they meet: an id that holds many rows sends each of its texts once a task
+    texts = rows.select("_id", "order").distinct().join(usable, "_id")
+    rate = min(1.0, sample / max(1, texts.count()))
+    # bounded by the parameter, not by the input
+    chosen = texts.filter(F.pmod("order", F.lit(1 << 30)) < int(rate * (1 << 30))).select("order", "label")
+    return rows.select("order", "text").join(F.broadcast(chosen), "order").dropDuplicates(["order"]).select(
+        "order", "label", "text")
 
 
 def score(docs: DataFrame, weights: dict[int, float], keys: list[str], text: str = "text",

@@ -51,3 +51,47 @@ def test_l1_keeps_rare_noise_at_zero():
     for i in range(50):
         model.learn(np.array([1, 100 + i]), i % 2)
     assert (model.weights(np.arange(100, 150)) == 0).all()
+
+
+def test_weights_equal_a_plain_learner(spark, docs):
+    """Per-coordinate FTRL-proximal, one coordinate at a time, over the same order of rows."""
+    import math
+
+    from keelson.llm.ftrl import ALPHA, BETA, EPOCHS, L1, L2
+
+    rows = [(i, prose(i % 40, 12) + (" vile words here" if i % 3 == 0 else ""), "s") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    taught = training_rows(docs(*rows), labels)
+    got = fit(taught)
+    lines = []
+    for r in taught.orderBy("order", "label", "text").collect():
+        data = np.frombuffer(r["text"].encode(), np.uint8)
+        lines.append((sorted({0, *buckets(data, np.array([0, len(data)]))[1].tolist()}), r["label"]))
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        if abs(zi) <= L1:
+            return 0.0
+        return (math.copysign(L1, zi) - zi) / ((BETA + math.sqrt(n.get(i, 0.0))) / ALPHA + L2)
+
+    for epoch in range(EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(lines)):
+            at, label = lines[k]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in at:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    want = {i: weight(i) for i in z if weight(i) != 0}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want) and len(want) > 3
+
+
+def test_an_id_that_holds_many_rows_is_bounded(spark, docs):
+    same = spark.range(20_000).selectExpr("CAST(1 AS BIGINT) AS doc_id", "'one text' AS text")
+    many = spark.range(5_000).selectExpr("CAST(2 AS BIGINT) AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    rows = training_rows(same.unionByName(many), labels, sample=500)
+    assert 300 < rows.count() < 700 and {r["label"] for r in rows.collect()} == {1}
+    assert training_rows(same, labels).count() == 1
