@@ -151,8 +151,9 @@ def html_text(spark, sf):
     return filter_computed(out.withColumn("chars", F.length("body")), F.col("chars") >= 80)
 
 
-# pages re-cut as result bodies of the three formats
+# pages re-cut as result bodies of the three formats; in each, the links of the page are hits
 _TITLE_RE = r"<title[^>]*>([^<]*)</title>"
+_NAV_RE = r'<a href="(/[^"]*)"[^>]*>([\s\S]*?)</a>'
 
 
 def result_bodies(spark, sf):
@@ -163,12 +164,22 @@ def result_bodies(spark, sf):
         F.regexp_replace("html", '<a href="/', '<a class="x result__a" href="https://nav.example/'),
         F.lit('<a class="other" href="https://no.example">no</a><a class="result-link" href="//localhost/x">bad</a><a class=\'result__a\' href="'),
         link, F.lit('">'), title, F.lit('</a><td class="result-snippet">snip '), title, F.lit("</td>"))
-    json = F.to_json(F.array(F.array(F.lit("q")), F.array(title, F.lit("B")), F.array(F.lit("d1"), F.lit("d2")),
-                             F.array(link, F.lit("http://127.0.0.1/"))))
+    hrefs, names = (F.transform(F.regexp_extract_all("html", F.lit(_NAV_RE), F.lit(i)), to) for i, to in (
+        (1, lambda h: F.concat(F.lit("https://nav.example"), h)), (2, lambda t: t)))
+    json = F.to_json(F.array(
+        F.array(F.lit("q")), F.concat(names, F.array(title, F.lit("B"))),
+        F.concat(F.transform(names, lambda _, i: F.concat(F.lit("d"), i.cast("string"))), F.array(F.lit("own"), F.lit("d2"))),
+        F.concat(F.transform(hrefs, markup.decode_html), F.array(link, F.lit("http://127.0.0.1/")))))
     json = F.regexp_replace(json, r'^\[\["q"\]', '["q"')
-    rss = F.concat(F.lit("<rss><channel><item><title><![CDATA["), title, F.lit("]]></title><link>"), link,
-                   F.lit("</link><description>&lt;b&gt;desc&lt;/b&gt; one</description></item><item><title>dup</title><link>"),
-                   link, F.lit("/</link></item></channel></rss>"))
+
+    def item(name, href, text):
+        return F.concat(F.lit("<item><title><![CDATA["), name, F.lit("]]></title><link>"), href, F.lit("</link><description>"),
+                        text, F.lit("</description></item>"))
+
+    items = F.transform(F.arrays_zip(names.alias("name"), hrefs.alias("href")), lambda x, i: item(
+        x["name"], x["href"], F.concat(F.lit("&lt;b&gt;desc&lt;/b&gt; "), i.cast("string"))))
+    rss = F.concat(F.lit("<rss><channel>"), F.array_join(items, "\n"), item(title, link, F.lit("&lt;b&gt;desc&lt;/b&gt; own")),
+                   F.lit("<item><title>dup</title><link>"), link, F.lit("/</link></item></channel></rss>"))
     kind = F.when(F.col("page_id") % 3 == 0, "html").when(F.col("page_id") % 3 == 1, "json").otherwise("rss")
     return pages.select("page_id", kind.alias("format"),
                         F.when(kind == "html", html).when(kind == "json", json).otherwise(rss).alias("body"))
@@ -177,18 +188,19 @@ def result_bodies(spark, sf):
 _T = sql_decode(f"regexp_extract(html, '{_TITLE_RE}', 1)")
 # an RSS title is read from between CDATA marks, so the tag rule sees the same text
 _LINK = "concat('https://site', CAST(page_id % 9 AS VARCHAR), '.example/', CAST(page_id AS VARCHAR))"
+_NAV_URL = f"rtrim(concat('https://nav.example', {sql_decode('h')}), '/')"
 
 
 @query("search_hits", f"""
-WITH nav AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"[^>]*>[\\s\\S]*?</a>', 1)) AS h,
-    unnest(regexp_extract_all(html, '<a href="/[^"]*"[^>]*>([\\s\\S]*?)</a>', 1)) AS t,
-    generate_subscripts(regexp_extract_all(html, '<a href="/[^"]*"', 0), 1) - 1 AS position FROM pages WHERE page_id % 3 = 0),
-html_nav AS (SELECT page_id, position, rtrim(concat('https://nav.example', {sql_decode('h')}), '/') AS url, {sql_decode('t')} AS title, '' AS snippet FROM nav
-  QUALIFY row_number() OVER (PARTITION BY page_id, rtrim(concat('https://nav.example', {sql_decode('h')}), '/') ORDER BY position) = 1),
+WITH nav AS (SELECT page_id, unnest(regexp_extract_all(html, '{_NAV_RE}', 1)) AS h, unnest(regexp_extract_all(html, '{_NAV_RE}', 2)) AS t,
+    generate_subscripts(regexp_extract_all(html, '{_NAV_RE}', 0), 1) - 1 AS position FROM pages),
+hits AS (SELECT page_id, {_NAV_URL} AS url, {sql_decode('t')} AS title,
+    CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN concat('d', position) ELSE concat('desc ', position) END AS snippet FROM nav
+  QUALIFY row_number() OVER (PARTITION BY page_id, {_NAV_URL} ORDER BY position) = 1),
 own AS (SELECT page_id, html, {_LINK} AS url, {_T} AS title,
    trim(concat('snip ', {_T})) AS snip FROM pages)
-SELECT page_id, url, title, snippet FROM html_nav
-UNION ALL SELECT page_id, url, title, CASE page_id % 3 WHEN 0 THEN snip WHEN 1 THEN 'd1' ELSE 'desc one' END FROM own""")
+SELECT page_id, url, title, snippet FROM hits
+UNION ALL SELECT page_id, url, title, CASE page_id % 3 WHEN 0 THEN snip WHEN 1 THEN 'own' ELSE 'desc own' END FROM own""")
 def search_hits(spark, sf):
     return bodies.search_hits(
         result_bodies(spark, sf), ["page_id"], window=None, title=None, snippet=None).select("page_id", "url", "title", "snippet")
