@@ -11,9 +11,10 @@ from ..operators import identity as I
 from ..operators import providers as P
 from ..operators import report as R
 from ..schemas import ADVERSE_RECORD, COMPANY_ITEM, PROFILE_ITEM
+from . import evidence as EW
 from . import roles
 from .roles import (
-    EVIDENCE_LEADS_SQL, EVIDENCE_SCORED_SQL, dealt, q, sql_domain, sql_fold, sql_host, sql_in_domain, sql_list, table,
+    EVIDENCE_LEADS_SQL, EVIDENCE_SCORED_SQL, dealt, q, sql_any, sql_domain, sql_fold, sql_host, sql_in_domain, sql_list, table,
 )
 
 QUERIES, ORACLE = {}, {}
@@ -215,6 +216,70 @@ def report_json(spark, sf):
     return reports.select("lead_id", F.to_json("report").alias("report"))
 
 
+# headline and statement of a relevant document, and the facts of the best document that names the lead; the supplied
+# texts hold no lines with profile fields (``profile_fields`` checks those)
+_HEADS = f"""{FACTS_SQL},
+heads AS (SELECT *, coalesce(list_filter(list_transform(list_slice({EW._LINES}, 1, 30), lambda x: {EW._bare('x')}),
+      lambda x: length(x) BETWEEN 8 AND 180 AND NOT regexp_matches(lower(x), '^(cookie|javascript)'))[1], '') AS headline,
+    list_filter(list_transform(list_slice({EW._LINES}, 1, 20), lambda x: regexp_replace({EW._bare('x')}, '[{V.WHITESPACE}]+', ' ', 'g')),
+      lambda x: length(x) BETWEEN 8 AND 350 AND NOT regexp_matches(lower(x), '^(cookie|javascript|your cart|we noticed that you are using)')) AS st
+  FROM facts),
+said AS (SELECT *, left(rtrim(coalesce(list_filter(st, lambda x: {sql_any('lower(x)', V.ROLE_LINE_TERMS)})[1],
+    CASE WHEN f_trusted THEN st[1] END, ''), ' .'), 280) AS statement FROM heads),
+best AS (SELECT * FROM heads WHERE named QUALIFY row_number() OVER (PARTITION BY lead_id ORDER BY score DESC, ordinal) = 1),
+lines AS (SELECT lead_id, coalesce(arg_min(statement, (-score, ordinal)) FILTER (WHERE statement <> ''), '') AS statement FROM said GROUP BY lead_id)"""
+_PRIORITY = f"concat_ws(' et ', CASE WHEN f_sector THEN {q(V.SIGNALS['sector'])} END, CASE WHEN f_exec THEN {q(V.SIGNALS['executive'])} END)"
+_USABLE = "(n_relevant > 0 AND r.full_name <> '')"
+
+
+@query("report_reasons", f"""WITH {_HEADS},
+top AS (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY CASE WHEN is_person THEN 2 WHEN is_page THEN 1 ELSE 0 END DESC, score DESC, ordinal) AS rk FROM heads),
+notes AS (SELECT lead_id, string_agg(left(CASE WHEN headline <> '' THEN headline ELSE concat({q(V.TEXT['note_head'])}, signals, '.') END, 500), '|' ORDER BY rk) AS notes
+  FROM top WHERE rk <= 5 GROUP BY lead_id),
+why AS (SELECT r.*, concat(CASE identity_status WHEN 'confirmed' THEN {q(V.TEXT['confirmed'])} WHEN 'probable' THEN {q(V.TEXT['probable'])}
+    WHEN 'ambiguous' THEN {q(V.TEXT['ambiguous'])} ELSE {q(V.TEXT['unresolved'])} END,
+    CASE WHEN {_PRIORITY} <> '' THEN concat({q(V.TEXT['priority_head'])}, {_PRIORITY}, {q(V.TEXT['priority_tail'])}) ELSE '' END) AS rationale
+  FROM resolved r LEFT JOIN (SELECT lead_id, f_sector, f_exec FROM best) b USING (lead_id))
+SELECT lead_id, CASE WHEN {_USABLE} THEN rationale ELSE '' END AS rationale, coalesce(notes, '') AS source_notes,
+  CASE WHEN r.full_name = '' THEN {q(V.TEXT['no_input'])} WHEN n_relevant = 0 THEN {q(V.TEXT['no_relevant'])}
+    ELSE concat_ws('|', concat(n_relevant, {q(V.TEXT['sources_tail'])}), rationale, CASE WHEN coalesce(sanctions_docs, 0) + coalesce(pep_docs, 0) > 0
+      THEN {q(V.TEXT['screening_match'])} ELSE {q(V.TEXT['screening_none'])} END) END AS reasons
+FROM why r LEFT JOIN notes USING (lead_id)""")
+def report_reasons(spark, sf):
+    """Rationale, reasons and source notes of every report."""
+    r = F.col("report")
+    return R.assemble(roles.untyped_documents(spark, sf), roles.evidence_leads(spark, sf)).select(
+        "lead_id", r["identity_resolution"]["selected_profile_rationale"].alias("rationale"),
+        F.array_join(F.transform(r["sources"], lambda s: s["note"]), "|").alias("source_notes"),
+        F.array_join(r["kyc_assessment"]["key_reasons"], "|").alias("reasons"))
+
+
+@query("report_person", f"""WITH {_HEADS}
+SELECT r.lead_id, CASE WHEN single AND b.lead_id IS NOT NULL THEN r.full_name ELSE '' END AS match_name,
+  CASE WHEN single THEN coalesce(b.headline, '') ELSE '' END AS match_headline,
+  CASE WHEN single AND b.f_city THEN r.city ELSE '' END AS match_location, CASE WHEN single AND b.f_company THEN r.company_name ELSE '' END AS match_company,
+  CASE WHEN known THEN statement ELSE '' END AS title, CASE WHEN known AND any_company THEN r.company_name ELSE '' END AS company,
+  CASE WHEN known AND named_city THEN r.city ELSE '' END AS location, CASE WHEN known AND named_country THEN r.country ELSE '' END AS country
+FROM (SELECT r.*, {_USABLE} AND NOT (identity_status = 'ambiguous' AND NOT has_context) AS single,
+    {_USABLE} AND identity_status IN ('confirmed', 'probable') AS known FROM resolved r) r
+  LEFT JOIN best b ON b.lead_id = r.lead_id LEFT JOIN lines l ON l.lead_id = r.lead_id""")
+def report_person(spark, sf):
+    """The matched person of a single match, and what the profile says of an identified one."""
+    r = F.col("report")
+    people, query = r["identity_resolution"]["matched_persons"], r["query_input"]
+    separate = (r["identity_resolution"]["status"] == "ambiguous") & (
+        (query["company_name"] == "") & (query["country"] == "") & (query["city"] == "") & (query["email"] == ""))
+    one = F.when(~separate, F.get(people, F.lit(0)))
+
+    def of(name):
+        return F.coalesce(one[name], F.lit("")).alias(f"match_{name}")
+
+    profile = r["person_profile"]
+    return R.assemble(roles.untyped_documents(spark, sf), roles.evidence_leads(spark, sf)).select(
+        "lead_id", *[of(n) for n in ("name", "headline", "location", "company")], profile["current_title"].alias("title"),
+        profile["current_company"].alias("company"), profile["location"].alias("location"), profile["country"].alias("country"))
+
+
 @query("summary_lines", f"""
 WITH f AS (SELECT c_custkey AS lead_id, c_name, CASE c_nationkey % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'probable' WHEN 2 THEN 'ambiguous' ELSE 'unresolved' END AS st,
   CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS m, CASE WHEN c_custkey % 3 = 0 THEN 'Maison.' ELSE '' END AS co,
