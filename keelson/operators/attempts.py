@@ -161,9 +161,9 @@ def _transition_table(max_retries: int) -> tuple[tuple[int, ...], ...]:
         tuple(index[next_state(s, action, max_retries)] for s in states) for action in ACTIONS)
 
 
-def lifecycle(events: DataFrame, key: str, ordinal: str, action: str, max_retries: int = 3,
-              block: int = 4096) -> DataFrame:
-    """Final (status, retry_count) of every attempt after its ordered events.
+def lifecycle_maps(events: DataFrame, key: str, ordinal: str, action: str, max_retries: int = 3,
+                   block: int = 4096) -> DataFrame:
+    """(key, events, _map): number of events of every attempt, and where they lead from each state.
 
     ``ordinal`` is an integer, unique per attempt; unknown actions change nothing.
     """
@@ -204,13 +204,34 @@ def lifecycle(events: DataFrame, key: str, ordinal: str, action: str, max_retrie
         blocks = joined(blocks.withColumnRenamed("_block", "_at").withColumn(
             "_block", F.floor(F.col("_at") / F.lit(block))), key, "_block")
         left = -(-left // block)
-    whole = joined(blocks.withColumnRenamed("_block", "_at"), key).withColumnRenamed("_events", "events")
-    names = F.array(*[F.lit(s) for s, _ in states])
-    retries = F.array(*[F.lit(r) for _, r in states])
-    end = whole.withColumn("_end", F.element_at("_map", 1))
-    return end.select(
-        key, "events", F.element_at(names, F.col("_end")).alias("status"),
-        F.element_at(retries, F.col("_end")).alias("retry_count"))
+    return joined(blocks.withColumnRenamed("_block", "_at"), key).withColumnRenamed("_events", "events")
+
+
+def _state_columns(number: Column, max_retries: int) -> list[Column]:
+    states = lifecycle_states(max_retries)
+    return [F.element_at(F.array(*[F.lit(s) for s, _ in states]), number).alias("status"),
+            F.element_at(F.array(*[F.lit(r) for _, r in states]), number).alias("retry_count")]
+
+
+def lifecycle(events: DataFrame, key: str, ordinal: str, action: str, max_retries: int = 3,
+              block: int = 4096) -> DataFrame:
+    """Final (status, retry_count) of every attempt after its ordered events."""
+    maps = lifecycle_maps(events, key, ordinal, action, max_retries, block)
+    return maps.select(key, "events", *_state_columns(F.element_at("_map", 1), max_retries))
+
+
+def advanced(states: DataFrame, maps: DataFrame, key: str, max_retries: int = 3) -> DataFrame:
+    """(key, events, status, retry_count) of stored attempts after further events, given as maps; an attempt that is not
+    stored begins as pending.  Attempts without further events stay as they are."""
+    known = F.array(*[F.lit(f"{s}/{r}") for s, r in lifecycle_states(max_retries)])
+    old = states.select(F.col(key).alias("_old"), F.col("events").alias("_before"), F.concat_ws(
+        "/", "status", F.col("retry_count").cast("string")).alias("_state"), F.lit(True).alias("_there"))
+    both = old.join(maps, F.col("_old").eqNullSafe(F.col(key)), "full")
+    at = F.greatest(F.coalesce(F.array_position(known, F.col("_state")), F.lit(1)), F.lit(1)).cast("int")
+    end = F.when(F.col("_map").isNull(), at).otherwise(F.element_at("_map", at))
+    return both.select(
+        F.when(F.col("_there"), F.col("_old")).otherwise(F.col(key)).alias(key),
+        (F.coalesce("_before", F.lit(0)) + F.coalesce("events", F.lit(0))).alias("events"), *_state_columns(end, max_retries))
 
 
 def job_status(review: Column, full_name: Column) -> Column:

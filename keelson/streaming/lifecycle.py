@@ -1,4 +1,9 @@
-"""Attempt lifecycle as keyed state: transitions in event order, stale recovery by timer."""
+"""Attempt lifecycle on a stream: batches folded into a table of states; keyed state where timers are needed.
+
+``store_events`` maps a batch to one transition map an attempt and applies it to the stored state, with DataFrame
+jobs only, so an attempt may have any number of events in a batch.  The processors keep the state in
+RocksDB and recover silent attempts by timer, in processing time or in the events' own time.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +12,41 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.attempts import ACTIONS, lifecycle_states, next_state
+from ..operators.attempts import ACTIONS, advanced, lifecycle_maps, lifecycle_states, next_state
+from ..sources import filed
 
 CODES = {a: i for i, a in enumerate(ACTIONS)}
 OUTPUT = "id string, events long, status string, retry_count int"
 
 
+STATE = "id string, events long, status string, retry_count int"
+
+
+def store_events(batch: DataFrame, batch_id: int, path: str, max_retries: int = 3, buckets: int | None = None) -> None:
+    """Bring the table of states up to a batch of (id, ordinal, action); a repeated batch changes nothing."""
+    spark = batch.sparkSession
+    events = batch.persist()
+    maps = lifecycle_maps(events, "id", "ordinal", "action", max_retries).persist()
+    try:
+        if not filed.exists(spark, path):
+            filed.create(spark.createDataFrame([], STATE), path, "id", buckets)
+        filed.change(spark, path, filed.buckets_of(spark, path, maps, "id"), lambda old: advanced(old, maps, "id", max_retries), batch_id)
+    finally:
+        maps.unpersist()
+        events.unpersist()
+
+
+def lifecycle_table(events: DataFrame, path: str, checkpoint: str, max_retries: int = 3, buckets: int | None = None) -> DataStreamWriter:
+    """Writer for a stream of (id, ordinal, action); the states are ``filed.read(spark, path)``.  Events of one
+    batch are applied by ordinal, batches in their order."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        store_events(batch, batch_id, path, max_retries, buckets)
+
+    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
 class Lifecycle(StatefulProcessor):
     """State per attempt: (status, retry_count, number of events).
 

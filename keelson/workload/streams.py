@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.attempts import latest
 from ..session import fresh_path
-from ..sources import batchlog
+from ..sources import batchlog, filed
 from ..streaming import counter, intake, lifecycle
 from . import attempts as AW
 from . import leads as LW
@@ -79,9 +79,8 @@ def stream_lifecycle(spark, sf):
     out, checkpoint = folders(spark)
     events = stream(spark, sf, "events").selectExpr(
         "concat(CAST(user_id AS STRING), '-', CAST(event_id % 4 AS STRING)) AS id", "event_id AS ordinal", f"{AW.ACTION} AS action")
-    states = lifecycle.lifecycle_stream(events)
-
-    return changes_of(spark, states, out, checkpoint).drop("batch_id")
+    finish(lifecycle.lifecycle_table(events, out, checkpoint))
+    return filed.read(spark, out)
 
 
 def changes_of(spark, states, out, checkpoint):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keelson.operators.attempts import ACTIONS, next_state
 from keelson.operators.attempts import lifecycle as lifecycle_job
-from keelson.sources import batchlog
+from keelson.sources import batchlog, filed
 from keelson.streaming import counter, intake, lifecycle
 from tests.test_tables import BROKERS, document
 
@@ -162,6 +162,24 @@ def test_a_silent_attempt_is_recovered_by_its_timer(spark, tmp_path):
     assert seen[0] == ("running", 1) and seen[-1] == ("pending", 1)
 
 
+def test_batches_folded_into_the_table_of_states(spark, tmp_path):
+    """Many batches, some repeated, an id that is null, and one attempt with most events."""
+    r = random.Random(6)
+    events = [(r.choice(["hot"] * 6 + [None, "a", "b"]) if i % 3 else f"k{r.randrange(30)}", i,
+               r.choice((*ACTIONS, "claim", "claim", "claim", "fail", "noop"))) for i in range(600)]
+    want = {}
+    for key, _, action in events:
+        n, *state = want.get(key, (0, "pending", 0))
+        want[key] = (n + 1, *next_state(tuple(state), action, 3))
+    path = str(tmp_path / "states")
+    for b in range(6):
+        batch = spark.createDataFrame(events[b * 100: (b + 1) * 100], "id string, ordinal long, action string")
+        for _ in range(1 + b % 2):
+            lifecycle.store_events(batch, b, path, buckets=4)
+    got = {x["id"]: tuple(x)[1:] for x in filed.read(spark, path).collect()}
+    assert got == want and filed.read(spark, path).count() == len(want)
+
+
 def test_long_event_sequences_fold_to_the_same_state():
     r = random.Random(1)
     for n in (0, 1, 2, 3, 1000):
