@@ -290,3 +290,14 @@ def contact_names(spark, sf):
         "c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE '' END AS d",
         "CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS f", "CASE WHEN c_custkey % 5 = 0 THEN 'x' END AS l")
     return rows.select("c_custkey", display_name(F.col("d"), F.col("f"), F.col("l"), V.UNKNOWN_CONTACT).alias("contact"))
+
+
+@query("broker_mask", """
+SELECT n_nationkey AS id, n_name AS broker_name, '********' AS password, 'kept' AS mode FROM nation
+UNION ALL SELECT n_nationkey, n_name, NULL, 'dropped' FROM nation""")
+def broker_mask(spark, sf):
+    brokers = table(spark, sf, "nation").selectExpr(
+        "n_nationkey AS id", "n_name AS broker_name", "concat('pw', n_name) AS password", "sha2(n_name, 256) AS password_hash")
+    masked = C.without_secrets(brokers, mask="********").withColumn("mode", F.lit("kept"))
+    dropped = C.without_secrets(brokers).withColumn("mode", F.lit("dropped"))
+    return masked.drop("password_hash").unionByName(dropped, allowMissingColumns=True)

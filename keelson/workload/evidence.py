@@ -151,6 +151,25 @@ def html_text(spark, sf):
     return filter_computed(out.withColumn("chars", F.length("body")), F.col("chars") >= 80)
 
 
+# the description is named by either of two attributes, before or after its content; some pages have an empty one first
+_META = (
+    """CASE page_id % 4 WHEN 0 THEN concat('<meta name="description" content="', about, '">') """
+    """WHEN 1 THEN concat('<META content=', chr(39), about, chr(39), ' property=og:description>') """
+    """WHEN 2 THEN concat('<meta name="description" content=""><meta property="og:description" content="', about, '">') ELSE '' END""")
+
+
+@query("page_description", """
+SELECT page_id, CASE WHEN page_id % 4 < 3 THEN concat('About "', regexp_extract(html, 'lang="([a-z]+)"', 1), '" & page ', page_id, ' <b>') ELSE '' END AS description
+FROM pages""")
+def page_description(spark, sf):
+    pages = dealt(spark, sf, "pages").withColumn("about", F.concat(
+        F.lit("About &quot;"), F.regexp_extract("html", 'lang="([a-z]+)"', 1), F.lit("&quot; &amp; page "),
+        F.col("page_id").cast("string"), F.lit(" &lt;b&gt;")))
+    named = pages.withColumn("html", F.replace("html", F.lit('<meta charset="utf-8">'), F.concat(
+        F.lit('<meta charset="utf-8">'), F.expr(_META))))
+    return named.select("page_id", markup.html_description(F.col("html")).alias("description"))
+
+
 # pages re-cut as result bodies of the three formats; in each, the links of the page are hits
 _TITLE_RE = r"<title[^>]*>([^<]*)</title>"
 _NAV_RE = r'<a href="(/[^"]*)"[^>]*>([\s\S]*?)</a>'
