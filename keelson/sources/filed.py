@@ -49,8 +49,9 @@ def info(spark: SparkSession, path: str) -> dict:
 def _write(df: DataFrame, files: Files, key: str, buckets: int, number: int) -> dict[int, str]:
     """Folders by bucket of the rows, written as generation ``number``."""
     place = f"{files.path}/gen={number}"
-    # rows of a bucket meet, so a bucket is one file unless AQE splits it
-    df.withColumn("_bucket", bucket_of(key, buckets)).repartition("_bucket").write.mode("overwrite").option(
+    # rows of a bucket meet, so a bucket is one file; a number that is given is kept, so buckets are written side by side
+    tasks = min(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    df.withColumn("_bucket", bucket_of(key, buckets)).repartition(tasks, "_bucket").write.mode("overwrite").option(
         "partitionOverwriteMode", "static").partitionBy("_bucket").parquet(place)
     return {int(n.split("=")[1]): f"gen={number}/{n}" for n in files.names(place) if n.startswith("_bucket=")}
 
