@@ -10,6 +10,9 @@ conditions, and its others are tested on the rows found:
 * a broker by its id, a star by itself, and a search without conditions by a key that all listings have.
 
 A listing sends only the kinds of keys some search uses.
+
+Rows that an explode multiplies are joined by sort-merge only: Spark takes their size for that of the table they come
+from, and would build a broadcast of a hundred times that size in the driver.
 """
 
 from __future__ import annotations
@@ -129,18 +132,19 @@ def match_searches(searches: DataFrame, listings: DataFrame, brokers: DataFrame,
     def marked(k: str) -> Column:
         return F.transform(F.coalesce(sent[k], none), lambda key: F.struct(F.lit(k).alias("kind"), key.alias("key")))
 
-    found_by = F.concat(F.array().cast("array<struct<kind:string,key:string>>"), *[marked(k) for k in sorted(used)])
-    reached = rows.withColumn("_at", F.explode(found_by)).select("*", "_at.kind", "_at.key").drop("_at")
+    def sending(kinds: list[str]) -> DataFrame:
+        """A row for each listing and key of the kinds."""
+        found_by = F.concat(F.array().cast("array<struct<kind:string,key:string>>"), *[marked(k) for k in sorted(kinds)])
+        return rows.withColumn("_at", F.explode(found_by)).select("*", "_at.kind", "_at.key").drop("_at")
 
     # of a text the key that fewest listings have; of the others all keys
     by_gram = F.startswith("_kind", F.lit("text")) | F.startswith("_kind", F.lit("place"))
     each = asked.select("search_id", "_kind", by_gram.alias("_one"), F.explode("_keys").alias("key")).distinct()
-    grams = each.filter("_one").select(F.col("_kind").alias("kind"), "key").distinct()
-    counts = reached.select("kind", "key").join(grams, ["kind", "key"], "left_semi").groupBy("kind", "key").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = each.filter("_one").join(counts, (F.col("_kind") == F.col("kind")) & (each["key"] == counts["key"]), "left").groupBy(
+    counts = sending([k for k in used if k.startswith(("text", "place"))]).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = each.filter("_one").join(counts.hint("merge"), (F.col("_kind") == F.col("kind")) & (each["key"] == counts["key"]), "left").groupBy(
         "search_id", "_kind").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), each["key"].alias("key")))["key"].alias("key"))
     path = rarest.unionByName(each.filter("NOT _one").select("search_id", "_kind", "key"))
-    conditions = path.join(asked.drop("_kind", "_keys"), "search_id").withColumnRenamed("_kind", "kind")
+    conditions = path.join(asked.drop("_kind", "_keys").hint("merge"), "search_id").withColumnRenamed("_kind", "kind")
 
     def inside(value: str, name: str) -> Column:
         """A bound that is set holds for a value that is there."""
@@ -150,7 +154,8 @@ def match_searches(searches: DataFrame, listings: DataFrame, brokers: DataFrame,
     def holds(text: str, part: str) -> Column:
         return F.coalesce(F.contains(F.col(text), F.col(part)), F.lit(False))
 
-    pairs = conditions.join(reached, ["kind", "key"])
+    # fewer searches than listings share a key; they are the side a sort-merge join keeps in memory
+    pairs = sending(used).join(conditions.hint("merge"), ["kind", "key"])
     return pairs.filter(
         (F.col("_text").isNull() | holds("_name", "_text") | holds("_builder", "_text"))
         & (F.col("_place").isNull() | holds("_location", "_place"))

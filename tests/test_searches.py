@@ -1,6 +1,7 @@
 """Stored searches, global positions and VARIANT reads."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -64,6 +65,29 @@ def test_searches_equal_testing_every_pair(rows):
     assert none.count() == 0
 
 
+def test_exploded_rows_are_not_broadcast(spark, rows, tmp_path):
+    """Files small enough to broadcast by Spark's estimate; what is exploded from them is not."""
+    r = random.Random(3)
+    names = [("1", "Ann"), ("2", "Bob"), ("3", "cy"), ("4", "CY")]
+    listed, asked = catalogue(r, 80), [ask(r, i) for i in range(60)]
+    tables = []
+    for name, data, schema in (("asked", asked, SEARCH), ("listed", listed, LISTING), ("names", names, "id string, broker_name string")):
+        rows(data, schema).write.parquet(f"{tmp_path}/{name}")
+        tables.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    out = searches.match_searches(*tables)
+    before = plan(out)
+    assert sorted(map(tuple, out.collect())) == sorted((s[0], row[0]) for s in asked for row in listed if found(s, row, names))
+    for text in (before, plan(out)):
+        inside, generated = None, 0
+        for line in text.splitlines():
+            depth = re.match(r"[ :+-]*", line).end()
+            if inside is None or depth <= inside:
+                inside = depth if line[depth:].startswith("BroadcastExchange") else None
+            generated += "Generate " in line
+            assert inside is None or "Generate " not in line
+        assert generated >= 3
+
+
 def test_binary_intervals_cover_a_range_once(rows):
     r = random.Random(2)
     cases = [(0, 0), (5, 5), (1, 14), (0, (1 << 32) - 1), (7, 6)] + [tuple(sorted((r.randrange(5000), r.randrange(5000)))) for _ in range(40)]
