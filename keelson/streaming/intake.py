@@ -22,6 +22,8 @@ from ..sources import batchlog
 
 CREATED, DUPLICATE, REJECTED = "created", "duplicate", "rejected"
 PASSING = 256
+#: Rows, or bytes, of Arrow batches in which the copies of a lead are sought together.
+GATHERED_ROWS, GATHERED_BYTES = 10_000, 16 << 20
 
 
 def checked_documents(documents: DataFrame) -> DataFrame:
@@ -34,13 +36,26 @@ def checked_documents(documents: DataFrame) -> DataFrame:
                           "ordinal", F.array_join("errors", "|").alias("errors"), "value", F.lit(1).cast("long").alias("copies"))
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together, so that their size does not hang on the session's, which other jobs may have lowered."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= GATHERED_ROWS or size >= GATHERED_BYTES:
+            yield pa.concat_batches(held)
+            held, rows, size = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def first_copies(rows: DataFrame) -> DataFrame:
-    """Of the copies of a lead inside an Arrow batch the first, with their number: an id that holds a third of
-    all documents sends one row a batch to its task."""
+    """Of the copies of a lead inside gathered Arrow batches the first, with their number: an id that holds a third
+    of all documents sends one row for ``GATHERED_ROWS`` or ``GATHERED_BYTES`` to its task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in gathered(batches):
             order = pc.sort_indices(batch, sort_keys=[(c, "ascending") for c in ("rejected", "key", "ordinal")])
             mine = batch.select(["rejected", "key"]).take(order)
             flags, keys = mine.column("rejected").to_pylist(), mine.column("key").to_pylist()

@@ -92,6 +92,21 @@ def test_an_id_that_holds_most_documents_sends_few_rows_to_its_task(spark):
     assert len(rows) == 2_000 + len(hot) and not any(r["rejected"] for r in rows)
 
 
+def test_small_arrow_batches_send_no_more_rows_of_a_hot_id(spark):
+    docs = spark.range(0, 6_000, 1, 2).selectExpr("id AS ordinal", """concat('{"lead": {"id": "', CASE WHEN id % 10 > 0 THEN 'hot' ELSE CAST(id AS STRING) END,
+        '", "source": "s"}, "contact": {"name": {"display": "N"}}, "recipient": {"officeName": "o", "officeId": "1"}}') AS value""")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(size)
+    spark.conf.set(size, "100")
+    try:
+        rows = intake.first_copies(intake.checked_documents(docs)).collect()
+    finally:
+        spark.conf.set(size, was)
+    hot = [r for r in rows if r["key"] == "hot"]
+    assert len(hot) == 2 and sum(r["copies"] for r in hot) == 5_400 and min(r["ordinal"] for r in hot) == 1
+    assert len(rows) == 600 + len(hot)
+
+
 def test_counter_keeps_one_row_an_owner_and_few_files(rows, spark, tmp_path):
     path = str(tmp_path / "counts")
     for i in range(12):
