@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -88,6 +89,46 @@ def test_exploded_rows_are_not_broadcast(spark, rows, tmp_path):
         assert generated >= 3
 
 
+def test_a_key_of_many_pairs_is_cut_into_tiles(rows, monkeypatch):
+    """Searches without conditions meet all listings by one key; rows that repeat and a listing without an id count as often as they are there."""
+    monkeypatch.setattr(searches, "SMALL", 1000, raising=False)
+    monkeypatch.setattr(searches, "TILE", 20, raising=False)
+    r = random.Random(4)
+    names = [("1", "Ann"), ("2", "Bob"), ("3", "cy"), ("4", "CY")]
+    listed = catalogue(r, 160)
+    listed += [listed[7], (None, *listed[8][1:])]
+    asked = [(f"all{i}", *[None] * 10) for i in range(100)] + [ask(r, i) for i in range(60)] + [("star", *[None] * 9, True)] * 2
+    out = searches.match_searches(rows(asked, SEARCH), rows(listed, LISTING), rows(names, "id string, broker_name string"))
+    got = out.withColumn("task", F.spark_partition_id()).collect()
+    assert Counter((g[0], g[1]) for g in got) == Counter((s[0], row[0]) for s in asked for row in listed if found(s, row, names))
+    tasks = Counter(g["task"] for g in got if g[0].startswith("all"))
+    assert len(tasks) >= 4 and max(tasks.values()) < 0.6 * sum(tasks.values())
+
+
+def test_listings_of_one_file_are_dealt_out_before_their_keys_are_made(spark, rows, tmp_path):
+    r = random.Random(5)
+    rows(catalogue(r, 80), LISTING).coalesce(1).write.parquet(f"{tmp_path}/listed")
+    out = searches.match_searches(rows([ask(r, i) for i in range(30)], SEARCH), spark.read.parquet(f"{tmp_path}/listed"),
+                                  rows([("1", "Ann")], "id string, broker_name string"))
+    lines = plan(out).splitlines()
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "nom_bateau" in line)
+    deal = next(i for i, line in enumerate(lines) if "RoundRobinPartitioning" in line)
+    keys = max(i for i, line in enumerate(lines[:scan]) if "Generate " in line)
+    assert keys < deal < scan
+
+
+def test_a_listing_sends_few_keys_that_no_search_has(spark):
+    asked = spark.range(300).selectExpr("id * 7919 + 5 AS key")
+    sent = spark.range(300 * 7919).withColumnRenamed("id", "key")
+    kept = sent.filter(searches._marked(searches._marks(asked)))
+    assert kept.join(asked, "key").count() == 300 and kept.count() < 0.01 * 300 * 7919
+    every = spark.range(searches.BUCKETS * 20).withColumnRenamed("id", "key")  # all bits are set, that of the sign too
+    assert every.filter(searches._marked(searches._marks(every))).count() == searches.BUCKETS * 20
+    one = every.filter(f"{searches._BUCKET} = 127")  # the highest bit of a word alone
+    assert one.filter(searches._marked(searches._marks(one))).count() == one.count() > 0
+    assert sent.filter(searches._marked([])).count() == 0
+
+
 def test_binary_intervals_cover_a_range_once(rows):
     r = random.Random(2)
     cases = [(0, 0), (5, 5), (1, 14), (0, (1 << 32) - 1), (7, 6)] + [tuple(sorted((r.randrange(5000), r.randrange(5000)))) for _ in range(40)]
